@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlark.llm import media, packing, token_counts, topk, toxicity, url_filters
+from gridlark.llm import html_extract, jaccard, media, packing, secrets, sentencepiece_wfst, token_counts, topk, toxicity, url_filters
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
@@ -19,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, vocabulary(BYTE_BPE)).drop("text")
@@ -28,6 +33,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE)).drop("ids")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_wfst.round_trip(table(spark, sf_dir, "documents"), vocabulary(PIECES))
+
+
 def held_out(key: str):
     return F.crc32(F.col(key).cast("string")) % 5 == 0
 
@@ -46,6 +55,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(rows.where("vec_id % 50 = 0"), rows)
@@ -56,7 +69,15 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_packing, op5_toxicity, op6_url_filters, op8_top_k, op9_media)}
+def secret_model(spark: SparkSession):
+    return secrets.train(secrets.labelled(spark))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"), secret_model(spark)).drop("candidate")
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_token_counts, op3_packing, op4_sentencepiece, op5_toxicity, op6_url_filters, op7_html_extract, op8_top_k, op9_media, op10_secrets)}
 
 ORACLE_SQL = {
     "op6_url_filters": r"""
