@@ -1,0 +1,55 @@
+import pytest
+from pyspark.sql import functions as F
+
+from gridlark.llm import secrets
+
+KEY = "908038b7daaf91e730d2f64001c52934d43d9336"
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return secrets.train(secrets.labelled(spark, 3000))
+
+
+def test_training_rows(spark):
+    rows = secrets.labelled(spark, 320)
+    assert rows.count() == 320 and rows.where("candidate is null or before is null or after is null").count() == 0
+    assert sorted(rows.collect()) == sorted(secrets.labelled(spark, 320).collect())
+    got = rows.select(F.regexp_extract("candidate", secrets.CANDIDATE, 0).alias("c"), "candidate").where("c = ''").count()
+    assert got < 40
+
+
+def test_accuracy_on_findings_it_has_not_seen(spark, model):
+    other = secrets.labelled(spark, 9000).subtract(secrets.labelled(spark, 3000)).withColumns(secrets.features())
+    out = model.transform(other)
+    assert out.where("prediction = label").count() / out.count() > 0.97
+
+
+def test_findings(spark, model):
+    rows = [
+        (1, f'erei token = "{KEY}" rein'), (2, f"see commit {KEY} and more"), (3, None), (4, ""), (5, "no such thing"), (6, f'TOKEN = "{KEY.upper()}"!! token = "{KEY}"'), (None, f"secret: {KEY}"), (1, f'erei token = "{KEY}" rein'),
+        (7, "x" * 100_000 + f' api_key="{KEY}" ' + "y" * 1000), (8, "id 3f2b8c1e-5a4d-4c3b-9e8f-1a2b3c4d5e6f the"), (9, "4845168114407329 and 4477442803515471234567890"),
+    ]
+    df = spark.createDataFrame([(*r, "z", 1) for r in rows], "doc_id long, text string, candidate string, score int")
+    found = secrets.find_secrets(df, model).collect()
+    texts = {r.doc_id: r.text for r in df.collect()}
+    for r in found:
+        assert texts[r.doc_id][r.start : r.start + r.length] == r.candidate
+    said = {}
+    for r in found:
+        said.setdefault(r.doc_id, []).append(r.is_secret)
+    assert said == {1: [True, True], 2: [False], 6: [True, True], None: [True], 7: [True], 8: [False], 9: [False]}
+    assert secrets.find_secrets(df.where("false"), model).count() == 0
+
+
+def test_redaction(spark, model):
+    rows = [(1, f'a token = "{KEY}" b', "x"), (2, f"commit {KEY} and", "x"), (3, None, "x"), (4, "", "x"), (None, f'secret = "{KEY}"', "x"), (4, "", "x")]
+    out = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, n_secrets string"), model).collect()
+    got = sorted(((r.doc_id or 0), r.text or "", r.n_secrets) for r in out)
+    assert got == sorted([(1, 'a token = "[SECRET]" b', 1), (2, f"commit {KEY} and", 0), (3, "", 0), (4, "", 0), (4, "", 0), (0, 'secret = "[SECRET]"', 1)])
+
+
+def test_plan_is_native(spark, model):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    plan = secrets.find_secrets(df, model)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
