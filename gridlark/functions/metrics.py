@@ -57,20 +57,20 @@ def two_classes(value: Column) -> Column:
 
 def auc_of() -> Column:
     # whole numbers up to the one division
-    return two_classes(F.sum((2 * F.col("tp") - F.col("pos")) * F.col("neg")).cast("double") / (2.0 * F.max("n_pos").cast("double") * F.max("n_neg")))
+    return two_classes(F.try_divide(F.sum((2 * F.col("tp") - F.col("pos")) * F.col("neg")).cast("double"), 2.0 * F.max("n_pos").cast("double") * F.max("n_neg")))
 
 
 def ap_of() -> Column:
     """Sum of recall steps times precision over distinct thresholds, without interpolation."""
-    return two_classes(F.sum(F.col("pos") / F.col("n_pos") * F.col("tp") / (F.col("tp") + F.col("fp"))))
+    return two_classes(F.sum(F.try_divide("pos", "n_pos") * F.col("tp") / (F.col("tp") + F.col("fp"))))
 
 
 def recall_at_fpr_of(limit: float = 0.10) -> Column:
-    return two_classes(F.coalesce(F.max(F.when(F.col("fp") / F.col("n_neg") <= limit, F.col("tp") / F.col("n_pos"))), F.lit(0.0)))
+    return two_classes(F.coalesce(F.max(F.when(F.try_divide("fp", "n_neg") <= limit, F.try_divide("tp", "n_pos"))), F.lit(0.0)))
 
 
 def f1_of() -> Column:
-    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.col("n_pos")
+    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.try_divide("tp", "n_pos")
     return two_classes(F.max(2 * precision * recall / (precision + recall + 1e-10)))
 
 
@@ -155,7 +155,7 @@ def delong(pairs: DataFrame, by: list[str], buckets: int = BUCKETS, with_p: bool
     for m in ("a", "b"):
         c = curve(rows.select(*by, "y", F.col(f"s_{m}").alias("s")), by, buckets)
         below_neg, below_pos = F.col("n_neg") - F.col("fp"), F.col("tp") - F.col("pos")
-        c = c.select(*by, F.col("s").alias(f"s_{m}"), ((below_neg + F.col("neg") / F.lit(2.0)) / F.col("n_neg")).alias(f"v_{m}"), ((below_pos + F.col("pos") / F.lit(2.0)) / F.col("n_pos")).alias(f"w_{m}"), *(["n_pos", "n_neg"] if m == "a" else []))
+        c = c.select(*by, F.col("s").alias(f"s_{m}"), F.try_divide(below_neg + F.col("neg") / F.lit(2.0), F.col("n_neg")).alias(f"v_{m}"), F.try_divide(below_pos + F.col("pos") / F.lit(2.0), F.col("n_pos")).alias(f"w_{m}"), *(["n_pos", "n_neg"] if m == "a" else []))
         rows = rows.join(c, [*by, f"s_{m}"])
     pos, neg = F.col("y") == 1, F.col("y") == 0
     when = lambda cond, c: F.when(cond, F.col(c))
@@ -164,7 +164,7 @@ def delong(pairs: DataFrame, by: list[str], buckets: int = BUCKETS, with_p: bool
         *[f(when(k, f"{x}_a")).alias(f"{x}a") for x, k in (("v", pos), ("w", neg)) for f in (F.var_samp,)], *[F.var_samp(when(k, f"{x}_b")).alias(f"{x}b") for x, k in (("v", pos), ("w", neg))],
         *[F.covar_samp(when(k, f"{x}_a"), when(k, f"{x}_b")).alias(f"{x}c") for x, k in (("v", pos), ("w", neg))],
     )
-    variance = (F.col("va") + F.col("vb") - 2 * F.col("vc")) / F.col("n_pos") + (F.col("wa") + F.col("wb") - 2 * F.col("wc")) / F.col("n_neg")
+    variance = F.try_divide(F.col("va") + F.col("vb") - 2 * F.col("vc"), F.col("n_pos")) + F.try_divide(F.col("wa") + F.col("wb") - 2 * F.col("wc"), F.col("n_neg"))
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     told = told.withColumn("var", variance)
     zero = lambda c: F.when(both, c).otherwise(F.lit(0.0))
