@@ -6,29 +6,40 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlark.llm.common import materialize
 
+WAYS = 4
+
+
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], by: str) -> DataFrame:
+    """Equi-join with a frame that has one row per key. The keys are salted by a column of the other side, so that a hot key is WAYS tasks'
+    work, and both sides are shuffled for the join, so that AQE can split it further (it can't where a side comes from an aggregate on the same key)."""
+    salts = F.explode(F.array(*[F.lit(i) for i in range(WAYS)]))
+    return many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(WAYS)).cast("int")).join(one.withColumn("_salt", salts), [*on, "_salt"]).drop("_salt")
+
 
 def connected(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of an edge: component is the smallest node that can be reached.
 
     Each round links every node's larger neighbours to its smallest one, then its smaller ones (large star, small star),
-    until no edge changes; the number of rounds grows with the logarithm of the longest path. Per round two aggregates that combine
-    before the shuffle and two equi-joins that AQE can split where a node is in very many edges. Null ends and loops are
+    until every node has one edge, to a node without one; the number of rounds grows with the logarithm of the longest path. Per
+    round two aggregates that combine before the shuffle and two joins in which a node that is in very many edges is spread. Null ends and loops are
     dropped; repeated edges count once; no edges give no rows.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}").distinct()
     e = materialize(spark, e, "edges")
-    seen = None
-    while True:
+    while not is_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = spread_join(both, low, ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        small = spread_join(large, low, ["u"], "v").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         e = materialize(spark, small, "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
     # every edge now leads to a root, the smallest node of its component
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def is_stars(e: DataFrame) -> bool:
+    """Whether each u has one edge only and no v is a u."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    per = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return not per.agg(F.coalesce(F.max(F.col("out") + F.col("into")), F.lit(0)).alias("most")).first().most > 1

@@ -6,10 +6,11 @@ import gc
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlark.llm.common import materialize, ship, slices
-from gridlark.llm.components import connected
+from gridlark.llm.components import connected, spread_join
 from gridlark.llm.shingles import WORDS, Shingler, overlap
 
 PERCENT = 80
@@ -18,6 +19,8 @@ MAX_COMMON = 200_000
 SHARES = 64
 CHUNK = 2_000_000
 STAR_FACTOR = 20
+PARTS = 512
+PARITIES = [f"p{k}" for k in range(PARTS // 64)]
 
 
 def release(spark: SparkSession) -> None:
@@ -140,6 +143,47 @@ def led(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "pivot long, share int, doc long, n int, pos int, leader long")
 
 
+def compressed(docs: DataFrame) -> DataFrame:
+    """(doc, text) with the texts as compressed UTF-8, which a shuffle and the shared folder hold in less than half the space."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                texts = [pack((t or "").encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], names=["doc", "text"])
+
+    return docs.mapInArrow(run, "doc long, text binary")
+
+
+def sketched(texts: DataFrame, words: int) -> DataFrame:
+    """(doc, n, p0 .. p7) of compressed() texts: per document its set's size, and for each of PARTS parts of all shingles, dealt by hash, the parity of how many it
+    holds. Two sets differ in one shingle at least for each parity that differs."""
+
+    def run(batches):
+        shingler = Shingler(words)
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                texts = [unpack(x).decode("utf-8", "surrogatepass") for x in part.column(1).to_pylist()]
+                sets = [s for i, j in slices(texts) for s in shingler.sets(texts[i:j])]
+                parity = np.stack([np.bincount((s >> np.uint64(40)).astype(np.int64) % PARTS, minlength=PARTS) & 1 for s in sets])
+                longs = np.packbits(parity.astype(np.uint8), axis=1).view("<i8")
+                cols = [part.column(0), pa.array([len(s) for s in sets], pa.int32()), *[pa.array(longs[:, k]) for k in range(PARTS // 64)]]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc", "n", *PARITIES])
+
+    return texts.mapInArrow(run, "doc long, n int, " + ", ".join(f"{c} long" for c in PARITIES))
+
+
+def may_differ_so(x: str, y: str, percent: int) -> str:
+    """Whether two sets may link by their parities: at the threshold they differ in at most (100 - percent) / (100 + percent) of the sum of
+    their sizes."""
+    differ = " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in PARITIES)
+    return f"{100 + percent} * ({differ}) <= {100 - percent} * ({x}.n + {y}.n)"
+
+
 def may_link(x: str, y: str, percent: int) -> str:
     """Whether two sets that share a pivot may link, if it is the first they share: by their sizes and by what is left behind it."""
     need = f"{percent} * ({x}.n + {y}.n)"
@@ -147,23 +191,24 @@ def may_link(x: str, y: str, percent: int) -> str:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, linked) of pairs (a, b), by the exact Jaccard similarity of the documents' shingle sets."""
+    """(a, b, linked) of pairs (a, b), by the exact Jaccard similarity of the documents' shingle sets. texts: compressed()."""
     x = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
     y = texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
     joined = pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "ta", "tb")
 
     def run(batches):
         shingler, last = Shingler(words), (None, None)
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                ta, tb = part.column(2).to_pylist(), part.column(3).to_pylist()
+            for start in range(0, batch.num_rows, 100):
+                part = batch.slice(start, 100)
+                a, b, ta = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)
+                tb = [unpack(x).decode("utf-8", "surrogatepass") for x in part.column(3).to_pylist()]
                 linked = []
                 for i, j in slices(tb):
                     for k, s in zip(range(i, j), shingler.sets(tb[i:j]), strict=True):
                         if last[0] != a[k]:
-                            last = (a[k], shingler.sets([ta[k]])[0])
+                            last = (a[k], shingler.sets([unpack(ta[k].as_py()).decode("utf-8", "surrogatepass")])[0])
                         both = overlap(last[1], s)
                         linked.append(100 * both >= percent * (len(s) + len(last[1]) - both))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
@@ -183,7 +228,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     2. Pivots and regions: see windows(). Common shingles, counted over all documents, come last in the order, so that passages many
        documents share make no region but for sets made of them. At most MAX_COMMON count as common, a bound for what
        is sent to tasks; it changes only the work, not the result.
-    3. Stars: each document is compared with the leaders of its regions, first the one it shares most regions with. Documents that
+    3. Stars: each document is compared with those leaders of its regions that are near enough by the parities of parts of their sets (a lower bound of
+    how much two sets differ), first the one it shares most regions with. Documents that
        link with a leader are in one component and need not be compared among one another.
     4. Regions that still hold several components go on: a new leader among what isn't in the first one's component, compared with all others
        in its windows, again and again while many are left; then every pair of documents of different
@@ -208,21 +254,24 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     regions = materialize(spark, led(rows.repartition(partitions, "pivot", "share"), percent), "regions")
     release(spark)
     classes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("class"))
-    of_class = sets.where("n > 0").join(classes, ["n", "s1", "s2"]).where("doc <> class").select(F.col("class").alias("a"), F.col("doc").alias("b"))
+    of_class = spread_join(sets.where("n > 0"), classes, ["n", "s1", "s2"], "doc").where("doc <> class").select(F.col("class").alias("a"), F.col("doc").alias("b"))
     in_region = regions.select("doc").distinct()
     same = materialize(spark, of_class.join(in_region, of_class.b == in_region.doc, "left_semi"), "same")
 
-    texts = materialize(spark, usable.join(in_region, "doc", "left_semi"), "texts")
+    texts = materialize(spark, compressed(usable).join(in_region, "doc", "left_semi"), "texts")
     release(spark)
+    sketches = materialize(spark, sketched(texts, words), "sketches")
     # a region of a common pivot has a leader in each share; their own leader ties the shares together
     top = regions.where("share > 0").groupBy("pivot").agg(F.min(F.struct("n", "leader")).alias("t")).select("pivot", F.col("t.leader").alias("a"))
-    across = regions.where("share > 0 and doc = leader").join(top, "pivot").select("a", F.col("leader").alias("b"))
+    across = spread_join(regions.where("share > 0 and doc = leader"), top, ["pivot"], "doc").select("a", F.col("leader").alias("b"))
     star = regions.select(F.col("leader").alias("a"), F.col("doc").alias("b")).unionByName(across).where("a <> b")
     star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("w"))
-    star = materialize(spark, star, "star")
+    star = star.alias("t").join(sketches.alias("x"), F.expr("t.a = x.doc")).join(sketches.alias("y"), F.expr("t.b = y.doc and " + may_differ_so("x", "y", percent)))
+    star = materialize(spark, star.select("t.a", "t.b", "t.w"), "star")
     best = star.groupBy("b").agg(F.max_by("a", F.struct("w", -F.col("a"))).alias("a")).select("a", "b")
     done = materialize(spark, verified(best, texts, words, percent), "pairs")
     component = grouped(spark, same, done)
+    release(spark)
     rest = apart(star.select("a", "b"), component).join(done, ["a", "b"], "left_anti")
     done = done.unionByName(materialize(spark, verified(rest, texts, words, percent), "pairs"))
     component = grouped(spark, same, done)
@@ -230,7 +279,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     used, before = None, float("inf")
     while True:
-        left, leaders, work = mixed(spark, regions, component, used)
+        left, leaders, work = mixed(spark, regions, sketches, component, used)
         if not work.pairs:
             break
         star_again = STAR_FACTOR * work.rows + 1_000_000 < work.pairs < 0.75 * before
@@ -269,12 +318,12 @@ def apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
     return pairs.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
 
-def mixed(spark: SparkSession, regions: DataFrame, component: DataFrame, used: DataFrame | None):
-    """Rows of regions that hold several components, with `main` (of the region's smallest set); the region's next leader, the smallest
+def mixed(spark: SparkSession, regions: DataFrame, sketches: DataFrame, component: DataFrame, used: DataFrame | None):
+    """Rows of regions that hold several components, with their parities and `main` (of the region's smallest set); the region's next leader, the smallest
     set outside the main component that wasn't one (used); and how many pairs and rows that makes."""
     rows = regions.join(component.select(F.col("node").alias("doc"), "component"), "doc", "left").select("pivot", "doc", "n", "pos", F.coalesce("component", "doc").alias("component"))
     main = rows.groupBy("pivot").agg(F.min_by("component", F.struct("n", "doc")).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("pivot", "main")
-    left = materialize(spark, rows.join(main, "pivot").select("pivot", "doc", "n", "pos", "component", (F.col("component") == F.col("main")).alias("main")), "mixed")
+    left = materialize(spark, spread_join(rows, main, ["pivot"], "doc").join(sketches.drop("n"), "doc").select("pivot", "doc", "n", "pos", "component", (F.col("component") == F.col("main")).alias("main"), *PARITIES), "mixed")
     open_rows = left if used is None else left.join(used, ["pivot", "doc"], "left_anti")
     per = open_rows.groupBy("pivot").agg(F.count("*").alias("r"), F.count_if(~F.col("main")).alias("u"), F.min_by("doc", F.when(~F.col("main"), F.struct("n", "doc"))).alias("doc"))
     work = per.agg(F.coalesce(F.sum(F.col("r").cast("double") * F.col("u")), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("r"), F.lit(0)).alias("rows")).first()
@@ -287,8 +336,8 @@ def crossing(left: DataFrame, leaders: DataFrame | None, percent: int) -> DataFr
     x = left.where("not main").drop("main")
     if leaders is not None:
         x = x.join(leaders, ["pivot", "doc"], "left_semi")
-    x = x.select("pivot", F.struct("doc", "n", "pos", "component").alias("x"))
-    y = left.select("pivot", F.struct("doc", "n", "pos", "component").alias("y"))
-    on = (F.col("l.pivot") == F.col("r.pivot")) & F.expr("l.x.component <> r.y.component and " + may_link("l.x", "r.y", percent))
+    x = x.select("pivot", F.struct("doc", "n", "pos", "component", *PARITIES).alias("x"))
+    y = left.select("pivot", F.struct("doc", "n", "pos", "component", *PARITIES).alias("y"))
+    on = (F.col("l.pivot") == F.col("r.pivot")) & F.expr(f"l.x.component <> r.y.component and {may_link('l.x', 'r.y', percent)} and {may_differ_so('l.x', 'r.y', percent)}")
     found = x.alias("l").join(y.alias("r"), on)
     return found.select(F.least("l.x.doc", "r.y.doc").alias("a"), F.greatest("l.x.doc", "r.y.doc").alias("b")).distinct()
