@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridlark.llm.common import ship
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 700_000
+FOLLOW_ENTRIES = 600_000
 SPACE = "▁"
 INFINITE = float("inf")
+SIGNS = ",.;:!?%*$#&|\"=+(){}[]<>/\\@~^`"
 
 # Numbers of message fields and piece types in the public model format.
 MODEL_PIECES, MODEL_TRAINER, MODEL_NORMALIZER = 1, 2, 3
@@ -91,13 +93,19 @@ class Transducer:
         self.fallback = bool(trainer.get(TRAINER_BYTE_FALLBACK)) and len(self.bytes) == 256
         self.worst = max((c for c, _ in self.cost.values()), default=0.0) + 10.0
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        # words can be composed on their own where no piece goes over the place before a space
-        self.words = not any(SPACE in t.lstrip(SPACE) for t in self.cost)
+        # parts of a text can be composed on their own where no piece goes over the place between: before spaces, and between a letter and signs
+        # that no piece has right after a letter
+        met = {(a, b) for t in self.cost for a, b in zip(t, t[1:], strict=False)}
+        signs = {b for b in SIGNS if not any(x == b and a.isalpha() for a, x in met)}
+        cut = "".join(map(re.escape, sorted(signs)))
+        self.parts = re.compile((f"{SPACE}*[^{SPACE}]*?[^\\W\\d_](?=[{cut}])|" if cut else "") + f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        self.words = not any(b == SPACE != a for a, b in met)
         self.plain = [" \u2047 " if k == UNKNOWN else "" if k in (BYTE, CONTROL) else t.replace(SPACE, " ") for t, k in zip(self.text_of, self.type_of, strict=True)]
         self.starts = {t[:k] for t in self.cost for k in range(1, len(t))}
         self.known: dict[str, bytes] = {}
         self.is_byte = np.array([k == BYTE for k in self.type_of])
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.follows: dict[str, dict[str, bool]] = {}
+        self.n_follows = 0
         self.built: dict[str, tuple[list[tuple[float, str, str]], bool]] = {}
 
     def normalise(self, text: str) -> str:
@@ -170,17 +178,25 @@ class Transducer:
             last = back[at]
             if at and not last:
                 continue
-            for end in range(at + 1, n + 1):
-                piece = text[at:end]
-                if piece in cost or end == at + 1:
-                    if (good := follows.get((last, piece))) is None:
-                        if len(follows) > CACHE_ENTRIES:
-                            follows.clear()
-                        good = follows[last, piece] = self.may_follow(last, piece) if at else self.steps(piece)[1]
-                    if good:
-                        back[end] = piece
-                if piece not in starts:
+            if (after := follows.get(last)) is None:
+                after = follows[last] = {}
+            end = at + 1
+            piece = text[at]
+            while True:
+                if (good := after.get(piece)) is None:
+                    # what isn't a piece leads nowhere, but for single characters, which bytes stand for
+                    known = piece in cost or end == at + 1
+                    good = after[piece] = known and (self.may_follow(last, piece) if at else self.steps(piece)[1])
+                    self.n_follows += 1
+                if good:
+                    back[end] = piece
+                if end == n or piece not in starts:
                     break
+                end += 1
+                piece = text[at:end]
+        if self.n_follows > FOLLOW_ENTRIES:
+            follows.clear()
+            self.n_follows = 0
         return self.trace(text, back)
 
     def trace(self, text: str, back: list[str]) -> list[str]:
@@ -205,7 +221,7 @@ class Transducer:
         """The ids of a text, 32-bit."""
         text = self.normalise(text)
         out, known = [], self.known
-        for word in _WORDS.findall(text) if self.words else [text] if text else []:
+        for word in self.parts(text) if self.words else [text] if text else []:
             if (found := known.get(word)) is None:
                 if len(known) > CACHE_ENTRIES:
                     known.clear()
@@ -240,9 +256,6 @@ class Transducer:
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
-_WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-
-
 @functools.lru_cache(maxsize=2)
 def transducer(path: str) -> Transducer:
     return Transducer(path)
