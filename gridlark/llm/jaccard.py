@@ -229,7 +229,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
        documents share make no region but for sets made of them. At most MAX_COMMON count as common, a bound for what
        is sent to tasks; it changes only the work, not the result.
     3. Stars: each document is compared with those leaders of its regions that are near enough by the parities of parts of their sets (a lower bound of
-    how much two sets differ), first the one it shares most regions with. Documents that
+    how much two sets differ). Documents that
        link with a leader are in one component and need not be compared among one another.
     4. Regions that still hold several components go on: a new leader among what isn't in the first one's component, compared with all others
        in its windows, again and again while many are left; then every pair of documents of different
@@ -265,15 +265,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     top = regions.where("share > 0").groupBy("pivot").agg(F.min(F.struct("n", "leader")).alias("t")).select("pivot", F.col("t.leader").alias("a"))
     across = spread_join(regions.where("share > 0 and doc = leader"), top, ["pivot"], "doc").select("a", F.col("leader").alias("b"))
     star = regions.select(F.col("leader").alias("a"), F.col("doc").alias("b")).unionByName(across).where("a <> b")
-    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("w"))
+    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     star = star.alias("t").join(sketches.alias("x"), F.expr("t.a = x.doc")).join(sketches.alias("y"), F.expr("t.b = y.doc and " + may_differ_so("x", "y", percent)))
-    star = materialize(spark, star.select("t.a", "t.b", "t.w"), "star")
-    best = star.groupBy("b").agg(F.max_by("a", F.struct("w", -F.col("a"))).alias("a")).select("a", "b")
-    done = materialize(spark, verified(best, texts, words, percent), "pairs")
-    component = grouped(spark, same, done)
-    release(spark)
-    rest = apart(star.select("a", "b"), component).join(done, ["a", "b"], "left_anti")
-    done = done.unionByName(materialize(spark, verified(rest, texts, words, percent), "pairs"))
+    star = materialize(spark, star.select("t.a", "t.b"), "star")
+    done = materialize(spark, verified(star, texts, words, percent), "pairs")
     component = grouped(spark, same, done)
     release(spark)
 
@@ -311,13 +306,6 @@ def grouped(spark: SparkSession, same: DataFrame, done: DataFrame) -> DataFrame:
     return materialize(spark, connected(spark, edges), "components")
 
 
-def apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
-    """The pairs that aren't in one component yet."""
-    ca = component.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    cb = component.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-
-
 def mixed(spark: SparkSession, regions: DataFrame, sketches: DataFrame, component: DataFrame, used: DataFrame | None):
     """Rows of regions that hold several components, with their parities and `main` (of the region's smallest set); the region's next leader, the smallest
     set outside the main component that wasn't one (used); and how many pairs and rows that makes."""
