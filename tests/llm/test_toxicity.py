@@ -31,7 +31,7 @@ def test_matches_against_brute_force():
 
 def test_learned_words_and_edges(spark):
     bad = [(i, f"plain words here you Idiot number {i} see", 1) for i in range(20)]
-    good = [(100 + i, f"plain words here number {i} see idiot savant talent" if i < 8 else f"plain words here number {i} see", 0) for i in range(60)]
+    good = [(100 + i, f"plain words here number {i} see idiot savant talent" if i < 6 else f"plain words here number {i} see", 0) for i in range(60)]
     rows = bad + good
     docs = spark.createDataFrame([(i, t, "zz") for i, t, _ in rows] + [(900, None, "zz"), (901, "", "zz")], "doc_id long, text string, y string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (900, 1), (5, 0), (901, None)], "doc_id long, toxic int")
