@@ -10,14 +10,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 TRAIN_ROWS = 6_000
 CONTEXT = 48
+CASES = 28
 MASK = "[SECRET]"
 
-# What a candidate is made of, words that go with secrets and with other long strings, and common words in code.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]{0,200}[0-9])[A-Za-z0-9+/_\-]{20,}={0,2}"
+# Words and links before a value, what a candidate is made of, words that go with secrets and with other long strings, and common words in code.
+_NAME = r"(?i:token|secret|passw|passphrase|pass|pwd|api.?key|access.?key|auth|bearer|credential|private)[A-Za-z0-9_.\-]{0,16}"
+_LINK = _NAME + r"[^\w\s]{0,3}[ \t]{0,3}[=:>][=>]?\s{0,3}[\"'`]?"
+_SAID = _NAME + r"[ \t]{1,2}(?i:is|was)[ \t]{1,2}[\"'`]?"
+_FLAG = r"--[A-Za-z\-]{0,20}" + _NAME + r"[ \t]{1,2}[\"'`]?"
+#: What stands before the value of a name that speaks for a secret. Short looks back come first: the long ones would cost too much at every sign.
+_LEADS = rf"(?:(?<=[=:>]\s{{0,3}}[\"'`]?)(?<={_LINK})|(?<=(?i:is|was)[ \t]{{1,2}}[\"'`]?)(?<={_SAID})|(?<=[ \t][\"'`]?)(?<={_FLAG})|(?<=(?i:bearer|basic)[ \t]{{1,2}}))"
+#: A value in quotes is all between them; another one ends at a space or quote, before a tag or the next name, without signs that end a sentence or bracket.
+_OPEN = r"(?![\s\"'`])(?!(?i:bearer|basic|token)\s)[^\s\"'`]+?(?=[.,;)\]}]{0,3}(?:[\s\"'`]|\z|<[/A-Za-z!])|[,;&][A-Za-z_\-]{1,40}[=:])"
+_VALUE = rf"(?:(?<=\")[^\"\r\n]++(?=\")|(?<=')[^'\r\n]++(?=')|(?<=`)[^`\r\n]++(?=`)|{_OPEN})"
+_LOGIN = r"(?<=:)(?<=://[^\s/:@\"']{1,64}:)[^\s/@\"']++(?=@)"
+_LONG = r"(?<![A-Za-z0-9+/_\-])(?!([A-Za-z0-9+/_\-])\1*+(?![A-Za-z0-9+/_\-]))[A-Za-z0-9+/_\-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=\"'\-]))?"
+CANDIDATE = rf"{_LEADS}{_VALUE}|{_LOGIN}|{_LONG}"
+PREFIXES = r"^(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_|github_pat_|[sr]k_live_|xox[abprs]-|glpat-|npm_|AIza)"
 SECRET_WORDS = r"(?i)(token|secret|passw|passwd|pwd|api.?key|access.?key|auth|bearer|credential|private)"
 OTHER_WORDS = r"(?i)(commit|sha\d*|md5|hash|digest|checksum|etag|revision|uuid|guid|isbn|serial|order|account|tracking)"
 WORDS = r"(example|sample|test|demo|dummy|your|insert|change|placeholder|version|release|build|config|index|page|image|file|name|data|user|html|http|www|com|org|content|assets|static|download|article|title|default|the|and|for|with|tion|ing|ent|ver|ber)"
-FEATURES = ["length", "changes", "digits", "upper", "hex", "distinct", "covered", "slashes", "path_before", "file_after", "secret_words", "other_words", "assigned", "quoted", "dashes", "longest_run"]
+FEATURES = ["length", "changes", "digits", "upper", "hex", "distinct", "covered", "slashes", "path_before", "file_after", "secret_words", "other_words", "assigned", "quoted", "dashes", "longest_run", "other_signs", "prefix", "named", "name_itself", "plain_word"]
 
 
 def share(c: Column, pattern: str) -> Column:
@@ -50,20 +63,28 @@ def features() -> dict[str, Column]:
         "quoted": flag(F.rlike(before, F.lit("[\"'`]$"))),
         "dashes": F.regexp_count(c, F.lit("[-_]")).cast("double"),
         "longest_run": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0)), lambda x: F.length(x))), F.lit(0)).cast("double"),
+        "other_signs": share(c, r"[^A-Za-z0-9+/_=\-]"),
+        "prefix": flag(F.rlike(c, F.lit(PREFIXES))),
+        "named": flag(F.rlike(before, F.lit(f"(?:{_LINK}|{_SAID}|{_FLAG}|(?i:bearer|basic)[ \\t]{{1,2}}|://[^\\s/:@]{{1,64}}:)$"))),
+        "name_itself": flag(F.rlike(after, F.lit("^[\"'`]?[ \\t]{0,3}[=:]"))),
+        "plain_word": flag(F.rlike(c, F.lit(r"^(?:[A-Z]?[a-z]+|[A-Z]+)$"))),
     }
 
 
 def candidates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per candidate: key, ordinal (from 0), start (code units from 0), candidate, before, after.
 
-    Texts are cut at candidates; the parts between give position and neighbouring words, so text of any length is read whole and
-    once. Null and empty texts have none.
+    Candidates are runs of 20 or more letters, digits and +/_- (digits or not, but not one sign over and over), values of any length and
+    signs that a secret word leads to, and passwords in URLs. Texts are cut at candidates; the parts between, and the candidate before, give
+    position and neighbouring words, so text of any length is read whole and once. Null and empty texts have none.
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     rows = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where(F.size("found") > 0)
     rows = rows.withColumn("parts", F.split("text", CANDIDATE))
     each = rows.select("key", "parts", F.posexplode("found").alias("ordinal", "candidate"), "found")
     before = F.element_at("parts", F.col("ordinal") + 1)
+    # The name of a value can be a candidate itself.
+    before = F.when(F.col("ordinal") > 0, F.concat(F.element_at("parts", F.greatest("ordinal", F.lit(1))), F.element_at("found", F.greatest("ordinal", F.lit(1))), before)).otherwise(before)
     passed = F.aggregate(F.slice("parts", F.lit(1), F.col("ordinal") + 1), F.lit(0), lambda n, x: n + F.length(x))
     ahead = F.aggregate(F.slice("found", F.lit(1), F.col("ordinal")), F.lit(0), lambda n, x: n + F.length(x))
     return each.select(
@@ -76,14 +97,15 @@ def labelled(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
     """Labelled findings (candidate, before, after, label) in publicly documented formats, made by a rule, the same each time.
 
     Label 1: keys and tokens in assignments, headers and settings. Label 0: commits, digests, UUIDs, account and card numbers, paths, file
-    names, words joined by signs, placeholders, and random strings without a word that speaks for a secret.
+    names, words joined by signs, placeholders, names of settings, dull values of secret words, and random strings without a word that speaks for a
+    secret.
     """
     i = F.col("id")
     hexed = F.sha2(F.concat(i.cast("string"), F.lit("a")), 256)
     b64 = F.translate(F.base64(F.unhex(F.sha2(F.concat(i.cast("string"), F.lit("b")), 512))), "\r\n", "")
     alnum = F.translate(b64, "+/=", "xY0")
     digits = F.translate(hexed, "abcdef", "012345")
-    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs]), (F.floor(i / 16) % len(xs) + 1).cast("int"))
+    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs]), (F.floor(i / CASES) % len(xs) + 1).cast("int"))
     cut = lambda c, n: F.substring(c, 1, n)
     cased = lambda c: F.when(F.floor(i / 7) % 4 == 0, F.upper(c)).otherwise(c)
     word = pick("token", "secret", "api_key", "access_key", "password", "auth", "TOKEN", "client_secret", "passwd", "credential", "private_key")
@@ -95,6 +117,15 @@ def labelled(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
     words = F.concat(pick("release-notes", "example_file", "the-quick-brown-fox", "user/content/static", "article-title-index", "download/assets/image"), pick("-", "_", "/"), pick("version", "page", "data", "build"), cut(digits, 3), F.lit("-the-and-for-with"))
     uuid = F.concat_ws("-", cut(hexed, 8), F.substring(hexed, 9, 4), F.substring(hexed, 13, 4), F.substring(hexed, 17, 4), F.substring(hexed, 21, 12))
     holder = pick("your_api_key_goes_here_123", "xxxxxxxxxxxxxxxxxxxxxxxx1234", "EXAMPLE_TOKEN_CHANGE_ME_00", "insert-your-secret-here-0000", "test_test_test_test_test_1", "00000000000000000000000000")
+    letters = F.translate(alnum, "0123456789", "QwErTyUiOp")
+    lead = F.concat(pick("password", "db_password", "DB_PASSWORD", "secret", "pwd", "passwd", "auth_token", "user.password", "passphrase", "api_key", "PASS"), glue)
+    password = pick(
+        F.concat(pick("S", "sun", "Ho", "tr0ub", "kX"), cut(alnum, 5), pick("!", "#", "$", "%", "@", "&", "^", "?", "*"), F.substring(alnum, 9, 4)), F.concat(pick("hunter", "dragon", "Winter", "letmein", "monkey"), cut(digits, 3)), cut(alnum, 12),
+        F.concat(cut(letters, 4), pick("!", "_", "."), F.substring(letters, 9, 6)), cut(hexed, 16), F.concat(pick("Summer", "qwerty", "admin", "P@ss", "Secr"), cut(digits, 4), pick("!", "!!", "#", "$")), F.concat(cut(b64, 8), pick("%", "&", "~", "*", "!")),
+    )
+    dull = pick("None", "null", "true", "false", "required", "string", "the", "str", "********", "<your-password>", "${PASSWORD}", "$TOKEN", "os.environ[", "getpass()", "self.password", "process.env.TOKEN", "{{password}}", "changeme", "invalid", "is", "optional", "xxxx", "<token>", "request.form.get(", "config.secret", "your_password", "missing", "%s", "text", "a")
+    named_key = F.concat(pick("AWS_", "MY_", "SERVICE_", "DATABASE_", "github_", "google_cloud_"), pick("SECRET_ACCESS_", "CONNECTION_", "PRODUCTION_CLIENT_", "DEPLOYMENT_", "oauth_client_"), pick("KEY", "PASSWORD", "TOKEN_VALUE", "SECRET", "credentials"))
+    joined = pick("release-notes-and-changes", "AbstractSingletonProxyFactoryBean", "the-quick-brown-fox-jumps", "user/content/static/pictures", "Donaudampfschifffahrtsgesellschaft", "MAXIMUM_NUMBER_OF_RETRIES", "getElementsByClassName", "article_title_index_page", "internationalization", "InternalServerErrorException", "and/or/either/neither/both", "counterrevolutionaries", "Aufmerksamkeitsdefizit", "XMLHttpRequestEventTarget", "DEFAULT_CONNECTION_TIMEOUT", "responsabilidades-compartidas", "well-known-and-well-loved-songs")
     cases = [
         (1, cased(cut(hexed, 40)), F.concat(word, noise, glue), tail),
         (1, cased(cut(hexed, 32)), F.concat(word, glue), tail),
@@ -112,7 +143,20 @@ def labelled(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
         (0, cut(digits, 24), F.concat(pick("account ", "order ", "tracking ", "serial: ", plain), F.lit("")), F.lit(" the")),
         (0, cut(alnum, 28), F.concat(pick("https://example.com/v?id=", "https://example.net/", "<img src=\"/static/"), F.lit("")), pick(".png", "&page=2", "/")),
         (0, cut(hexed, 64), F.concat(plain, F.lit("")), F.lit(" and the")),
+        (1, F.concat(F.lit("AKIA"), F.upper(cut(letters, 16))), pick("aws ", "key ", "AWS_ACCESS_KEY_ID=", "access_key = \"", plain, ""), tail),
+        (1, cut(letters, 40), F.concat(word, glue), tail),
+        (1, pick(cut(alnum, 32), cut(hexed, 32), cut(letters, 24), cut(b64, 40)), F.concat(pick("https://api.example.com/v1?", "https://example.net/a/b?page=2&", "GET /v2/items?"), pick("api_key=", "token=", "access_token=", "apikey=", "auth=")), pick("&page=2", " and", "\"", "&user=x")),
+        (1, pick(cut(b64, 40), cut(alnum, 40), cut(letters, 40)), pick("export AWS_SECRET_ACCESS_KEY=", "AWS_SECRET_ACCESS_KEY=", "GITHUB_TOKEN=", "DB_PASSWORD=", "CLIENT_SECRET: "), pick(" ", " and", "")),
+        (1, password, lead, tail),
+        (0, dull, lead, pick(" ", ")", " and", ";", ",")),
+        (0, named_key, pick("export ", "", plain, "set ", "env."), pick("=", " = \"", ": ", "=\"", "=abc")),
+        (0, F.concat(joined, pick("-", "_", "/"), pick("version", "page", "data", "build", "garden", "winter"), pick("-the-and-for-with", "/of/all/things", "_in_the_middle")), pick("https://example.org/", "/usr/share/", plain, "src/", "href=\"/", "see "), pick(".html", " and", ".png", "/", "")),
+        (0, joined, pick("", plain, "class ", "see ", "id=\"", "import "), pick(" and", "(", ".", "\"", ",")),
+        (0, cut(hexed, 40), F.concat(named, F.lit("")), pick("", ".", "\n")),
+        (0, cut(alnum, 28), pick("https://example.com/v?id=", "https://example.net/a?page=2&ref=", "<a href=\"/w?v=", "?q="), pick("&page=2", " and", "\"")),
+        (0, pick(cut(hexed, 40), cut(digits, 30), cut(hexed, 64)), pick("commit=", "sha=", "id=", "order=", "digest=", "etag=", "v=", "rev="), pick(" and", "&page=2", "\"", "")),
     ]
+    assert len(cases) == CASES
     made = F.lit(None)
     for k in reversed(range(len(cases))):
         y, c, before, after = cases[k]
@@ -144,11 +188,14 @@ def redact(df: DataFrame, model: PipelineModel, key: str = "doc_id", text: str =
     """df with every secret in its text replaced by MASK, and n_secrets; all rows stay, texts without secrets as they were.
 
     Each row's candidates are scored as in find_secrets, grouped by the key and joined back; candidates that are secrets are replaced wherever
-    they stand in the text, so that repeated rows of a key are redacted alike. A column n_secrets of df is replaced.
+    they stand in the text (those of less than 20 signs where no letter or digit is next to them), so that repeated rows of a key are redacted
+    alike. A column n_secrets of df is replaced.
     """
     found = find_secrets(df, model, key, text, threshold).where("is_secret")
     per = found.groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_set("candidate"), asc=False).alias("_found"))
     kept = df.select(*[c for c in df.columns if c != "n_secrets"])
     joined = kept.join(per, F.col(key).eqNullSafe(F.col("_key")), "left")
-    clean = F.aggregate(F.coalesce("_found", F.array().cast("array<string>")), F.col(text), lambda t, s: F.replace(t, s, F.lit(MASK)))
+    whole = lambda s: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(s, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+    mask = lambda t, s: F.when(F.length(s) < 20, F.regexp_replace(t, whole(s), F.lit(MASK))).otherwise(F.replace(t, s, F.lit(MASK)))
+    clean = F.aggregate(F.coalesce("_found", F.array().cast("array<string>")), F.col(text), mask)
     return joined.select(*[clean.alias(c) if c == text else F.col(c) for c in kept.columns], F.coalesce(F.size("_found"), F.lit(0)).alias("n_secrets"))
