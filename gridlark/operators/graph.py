@@ -169,6 +169,9 @@ def label_propagation(messages: DataFrame, labels: DataFrame, steps: int = 3, al
     return h
 
 
+CUT_STEPS = 5
+
+
 def walks(graph: DataFrame, starts: DataFrame, steps: int, step_of) -> DataFrame:
     """(start, walk, path): from each start, `steps` moves over a simple graph (src, dst both ways). step_of(start, walk, step, node, degree) is a
     column in 0 .. degree - 1 that picks from the neighbours in order. Numbered neighbours make a move an equi-join on (node, place), so
@@ -176,12 +179,15 @@ def walks(graph: DataFrame, starts: DataFrame, steps: int, step_of) -> DataFrame
     w = Window.partitionBy("src").orderBy("dst")
     numbered = graph.select("src", "dst").distinct().select("src", "dst", (F.row_number().over(w) - 1).alias("place"))
     degree = numbered.groupBy("src").agg(F.count("*").alias("deg"))
-    at = starts.select("start", "walk", F.col("start").alias("node"), F.array("start").alias("path"))
+    # Every step reads the moves, and the plan of all steps would be longer than the work: both are computed once.
+    moves = numbered.select(F.col("src").alias("node"), "place", F.col("dst").alias("next")).join(degree.select(F.col("src").alias("next"), F.col("deg").alias("next_deg")), "next", "left").persist()
+    at = starts.select("start", "walk", F.col("start").alias("node"), F.array("start").alias("path")).join(degree.withColumnRenamed("src", "node"), "node", "left")
     for i in range(steps):
-        at = at.join(degree.withColumnRenamed("src", "node"), "node", "left")
-        at = at.withColumn("place", F.when(F.col("deg").isNotNull(), step_of(F.col("start"), F.col("walk"), i, F.col("node"), F.col("deg"))).cast("int"))
-        moves = numbered.select(F.col("src").alias("node"), "place", F.col("dst").alias("next"))
-        at = at.join(moves, ["node", "place"], "left").select("start", "walk", F.coalesce("next", "node").alias("node"), F.when(F.col("next").isNotNull(), F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"))
+        at = at.withColumn("place", F.when(F.col("deg").isNotNull(), step_of(F.col("start"), F.col("walk"), i, F.col("node"), F.col("deg"))).cast("int")).join(moves, ["node", "place"], "left")
+        path = F.when(F.col("next").isNotNull(), F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path")
+        at = at.select("start", "walk", F.coalesce("next", "node").alias("node"), path, F.when(F.col("next").isNotNull(), F.col("next_deg")).otherwise(F.col("deg")).alias("deg"))
+        if i % CUT_STEPS == CUT_STEPS - 1:
+            at = at.localCheckpoint()
     return at.select("start", "walk", "path")
 
 

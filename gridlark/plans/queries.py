@@ -300,12 +300,12 @@ def walks_deterministic(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def node2vec_lr(spark: SparkSession, d: str) -> DataFrame:
-    """Embeddings of one year's graph, and a balanced logistic regression on them: scores of the test rows."""
-    vectors = learners.node2vec(undirected(spark, d), dim=16, n_walks=2, steps=8)
+    """Embeddings of the graph of all years, and a balanced logistic regression on them: scores of the test rows."""
+    vectors = learners.node2vec(graph.simple_undirected(fx.edges(spark, d)))
     index = fx.nodes(spark, d).select("ts_code", F.col("node_idx").alias("node"))
     rows = fx.panel(spark, d).where("split is not null").select("firm_id", "year", "ts_code", "label", "split").join(index, "ts_code").join(vectors, "node")
-    rows = rows.select("firm_id", "year", "label", "split", *[F.col("x")[i].alias(f"x{i}") for i in range(16)])
-    columns = [f"x{i}" for i in range(16)]
+    rows = rows.select("firm_id", "year", "label", "split", *[F.col("x")[i].alias(f"x{i}") for i in range(64)])
+    columns = [f"x{i}" for i in range(64)]
     model = learners.logistic(rows.where("split = 'train'"), columns, "label")
     return learners.scored(model, learners.assembled(rows.where("split = 'test'"), columns), ["firm_id", "year"], "label")
 

@@ -36,6 +36,13 @@ def test_learners_give_scores(spark, sf, name):
         assert all(0 <= r.s <= 1 and r.y in (0, 1) for r in rows)
 
 
+def test_node2vec_scores_every_test_row(spark, sf):
+    from gridlark.plans import fixtures as fx
+
+    wanted = fx.panel(spark, sf).where("split = 'test'").select("firm_id", "year").collect()
+    assert sorted(QUERIES["node2vec_lr"](spark, sf).select("firm_id", "year").collect()) == sorted(wanted)
+
+
 def test_entry():
     import __spark_entry__ as e
 
