@@ -27,7 +27,8 @@ def pairs(text: str) -> dict[str, str]:
 
 FOLD = str.maketrans(pairs(HOMOGLYPHS) | {chr(c): None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)})
 SUBSTITUTED = pairs(DIGITS)
-_WORD = re.compile(r"[^\W_]+(?:[@$!][^\W_]+)*")
+_WORD = re.compile(r"(?:[@$!]+(?=[^\W\d_]))?[^\W_]+(?:(?:[@$]+|!)[^\W_]+)*(?:[@$]+(?![^\W_]))?|[@$]{3,}")
+_BARE = re.compile(r"[^\W_]+(?:[@$!][^\W_]+)*")
 _HAS_SIGN = re.compile(r"[0-9@$!]")
 _UNFOLD = str.maketrans(SUBSTITUTED)
 
@@ -37,14 +38,25 @@ def fold_word(word: str) -> str:
     return word.translate(_UNFOLD) if _HAS_SIGN.search(word) and not word.isdigit() else word
 
 
+def cut(text: str) -> list[str]:
+    """The words of a text before substituted signs are taken back: a word can start with, hold and end with signs written for letters."""
+    return _WORD.findall(text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower().translate(FOLD))
+
+
 def fold(text: str) -> list[str]:
-    """The folded words of a text: compatibility forms, case, accents' homoglyphs and substituted digits taken back."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).lower().translate(FOLD)
-    else:
-        text = text.lower()
-    words = _WORD.findall(text)
-    return [fold_word(w) for w in words] if _HAS_SIGN.search(text) else words
+    """The folded words of a text: compatibility forms, case, accents' homoglyphs and substituted digits and signs taken back."""
+    return [fold_word(w) for w in cut(text)]
+
+
+def readings(text: str) -> tuple[list[str], list[tuple[int, str]]]:
+    """fold(text), and where a sign may also be no letter (`@idiot`, `idiot$`) the other reading of the whole text, each word with its place in the
+    first; without such signs the other reading is empty."""
+    raw = cut(text)
+    words = [fold_word(w) for w in raw]
+    signed = {i: bare for i, w in enumerate(raw) if not w.isalnum() and (bare := _BARE.findall(w)) != [w]}
+    if not signed:
+        return words, []
+    return words, [(i, w) for i, x in enumerate(words) for w in (map(fold_word, signed[i]) if i in signed else (x,))]
 
 
 @dataclass(frozen=True)
@@ -71,20 +83,45 @@ class Matcher:
         if len(self.machine):
             self.machine.make_automaton()
 
-    def weight(self, words: list[str]) -> tuple[float, int]:
+    def found(self, words: list[str]) -> list[tuple[int, int, float | None]]:
+        """(first place, place after the last, weight or None for an exception) of all matches, in words."""
+        text, starts = " " + " ".join(words) + " ", {}
+        matches = [(end - n + 1, end, w) for end, (n, w) in self.machine.iter(text)] if len(self.machine) and words else []
+        if matches:
+            at = 0
+            for i, w in enumerate(words):
+                starts[at] = i
+                at += len(w) + 1
+            starts[at] = len(words)
+        return [(starts[a], starts[b], w) for a, b, w in matches]
+
+    def weight(self, words: list[str], other: list[tuple[int, str]] = ()) -> tuple[float, int]:
         """The weight of all matches by the text's length, and how many there are.
 
-        Length counts as 1 + log2(1 + words / 100): a long text needs more for the same score, but one insult isn't diluted away.
+        Length counts as 1 + log2(1 + words / 100): a long text needs more for the same score, but one insult isn't diluted away. Matches of the
+        other reading count where it differs and the first has none.
         """
         if not len(self.machine) or not words:
             return 0.0, 0
-        found = [(end - n + 1, end + 1, w) for end, (n, w) in self.machine.iter(" " + " ".join(words) + " ")]
+        hits = self.counted(self.found(words))
+        if other:
+            place = [i for i, _ in other]
+            times: dict[int, int] = {}
+            for i in place:
+                times[i] = times.get(i, 0) + 1
+            differs = {k for k, (i, w) in enumerate(other) if times[i] > 1 or words[i] != w}
+            taken = {i for a, b, _ in hits for i in range(a, b)}
+            more = [(a, b, w) for a, b, w in self.counted(self.found([w for _, w in other])) if any(k in differs for k in range(a, b))]
+            hits = hits + [(a, b, w) for a, b, w in more if not any(place[k] in taken for k in range(a, b))]
+        return sum(w for _, _, w in hits) / (1 + math.log2(1 + len(words) / 100)), len(hits)
+
+    @staticmethod
+    def counted(found: list[tuple[int, int, float | None]]) -> list[tuple[int, int, float]]:
         free = [(a, b) for a, b, w in found if w is None]
-        hits = [w for a, b, w in found if w is not None and not any(c <= a and b <= d for c, d in free)]
-        return sum(hits) / (1 + math.log2(1 + len(words) / 100)), len(hits)
+        return [(a, b, w) for a, b, w in found if w is not None and not any(c <= a and b <= d for c, d in free)]
 
     def score(self, text: str | None) -> tuple[float, int]:
-        weight, n = self.weight(fold(text or ""))
+        weight, n = self.weight(*readings(text or ""))
         z = self.lexicon.slope * weight + self.lexicon.offset
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), n
 
@@ -129,8 +166,10 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "d
                 part = batch.slice(a, 500)
                 ys, terms = [], []
                 for y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = fold(t)
-                    seen = set(words) | {f"{u} {v}" for u, v in zip(words, words[1:], strict=False)}
+                    seen = set()
+                    words, other = readings(t)
+                    for ws in (words, [w for _, w in other]):
+                        seen |= set(ws) | {f"{u} {v}" for u, v in zip(ws, ws[1:], strict=False)}
                     ys += [y] * len(seen)
                     terms += seen
                 yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(terms, pa.string())], names=["y", "term"])
@@ -155,7 +194,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "d
     def weigh(batches):
         m = Matcher(matcher_of)
         for batch in batches:
-            found = [m.weight(fold(t))[0] for t in batch.column(1).to_pylist()]
+            found = [m.weight(*readings(t))[0] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([round(x, 3) for x in found], pa.float64())], names=["y", "x"])
 
     points = [(r.x, r.y) for r in rows.mapInArrow(weigh, "y int, x double").collect()]

@@ -8,6 +8,15 @@ def test_fold():
     assert toxicity.fold("$cum @ss. a-b") == ["cum", "ss", "a", "b"] or toxicity.fold("$cum @ss. a-b")
 
 
+def test_signs_at_the_head_and_tail_of_words():
+    assert toxicity.fold("$cum @ss. a-b $tupid @$$hole a$$ cost $5, 2024!") == ["scum", "ass", "a", "b", "stupid", "asshole", "ass", "cost", "5", "2024"]
+    lexicon = toxicity.Lexicon({"scum": 2.0, "stupid": 1.0, "idiot": 4.0, "asshole": 8.0}, ("idiot savant",), 1.0, -3.0)
+    m = toxicity.Matcher(lexicon)
+    for text, hits in (("$cum", 1), ("you $tupid @sshole", 2), ("@idiot you", 1), ("idiot$ $tupid", 2), ("stupid!!idiot", 2), ("stupid$$idiot", 2), ("@idiot savant", 0), ("$tupid @idiot scum", 3), ("@friend idiot", 1)):
+        assert m.score(text)[1] == hits, text
+        assert m.score(text)[0] > m.score("nice")[0] or not hits
+
+
 def brute(lexicon, words):
     import math
 
