@@ -338,7 +338,7 @@ def mlp_cell(spark: SparkSession, d: str) -> DataFrame:
     """Two seeds of two modalities, one task each."""
     modal = {"M1": ["feat_n_orders", "feat_urgent_share"], "M4": ["feat_n_orders", "feat_urgent_share", "fini_avg_discount", "fini_max_qty"]}
     rows = fx.panel(spark, d).where("split is not null").select(F.concat_ws("-", "firm_id", "year").alias("id"), F.col("label").alias("y"), "split", *modal["M4"])
-    cells = spark.createDataFrame([("MLP", m, s, '{"epochs": 10, "hidden": 16}') for m in modal for s in (42, 123)], "model string, modal string, seed int, params string")
+    cells = spark.createDataFrame([("MLP", m, s, '{"epochs": 100}') for m in modal for s in (42, 123)], "model string, modal string, seed int, params string")
     return learners.run_cells(rows, cells, modal)
 
 

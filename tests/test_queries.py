@@ -43,6 +43,10 @@ def test_node2vec_scores_every_test_row(spark, sf):
     assert sorted(QUERIES["node2vec_lr"](spark, sf).select("firm_id", "year").collect()) == sorted(wanted)
 
 
+def test_mlp_cell_trains_past_ten_epochs(spark, sf):
+    assert max(r.best_epoch for r in QUERIES["mlp_cell"](spark, sf).select("best_epoch").distinct().collect()) > 10
+
+
 def test_entry():
     import __spark_entry__ as e
 
