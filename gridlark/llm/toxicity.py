@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridlark.llm.common import ship
 
 MAX_LABELLED = 50_000
-MAX_LEXICON = 5_000
-MAX_EXCEPTIONS = 5_000
+SURE = 3.0
 
 # Letters that look like Latin ones, and digits and signs written for letters.
 HOMOGLYPHS = "аaвbеeкkмmнhоoрpсcтtуyхxіiјjѕsԁdԛqԝwɡgοoαaεeιiκkνvρpτtυuχxηnωwϲcһhӏlʟlıi"
@@ -151,7 +150,8 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "d
     At most max_labelled labelled rows (a documented bound, chosen by a hash of the key) are used; they are broadcast to the scan of docs, so
     that texts are not shuffled. Words and word pairs are counted by the documents of either label that hold them. A word that at least
     min_docs documents of label 1 hold, with log odds above 2 against label 0, gets its smoothed log odds as
-    weight. Word pairs that hold such a word but stand in clean documents are exceptions, as are those given. Slope and offset are fitted on
+    weight. Word pairs that hold such a word but stand in clean documents are exceptions, as are those given. A word with log odds of 2 or less, but
+    above SURE standard deviations, is counted again without the clean documents that hold it in exceptions only. Toxic word pairs aren't learned. Slope and offset are fitted on
     the same rows. Null keys, texts and labels, and keys labelled both ways, are not learned from. With no label 1 the
     lexicon is empty and the offset follows the share of label 1, smoothed.
     """
@@ -181,14 +181,39 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "d
         return Lexicon({}, exceptions, 0.0, min(offset, -1e-3))
     terms = rows.mapInArrow(split, "y int, term string").groupBy("term").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
     odds = F.log((F.col("p") + 0.1) * (n0 + 1) / ((F.col("q") + 0.1) * (n1 + 1)))
-    words = terms.where(~F.contains("term", F.lit(" ")) & (F.col("p") >= min_docs)).withColumn("w", odds).where("w > 2")
-    strong = {r.term: (r.w, r.p) for r in words.orderBy(F.desc("p"), F.desc("w"), "term").limit(MAX_LEXICON).collect()}
-    if strong:
+    deviation = F.sqrt(1 / (F.col("p") + 0.1) + 1 / (F.col("q") + 0.1))
+    words = terms.where(~F.contains("term", F.lit(" ")) & (F.col("p") >= min_docs)).withColumn("w", odds).where((F.col("w") > 2) | (F.col("w") > SURE * deviation))
+    counted = {r.term: (r.w, r.p) for r in words.orderBy(F.desc("p"), F.desc("w"), "term").collect()}
+    weights = {t: w for t, (w, _) in counted.items() if w > 2}
+    if counted:
         parts = F.split("term", " ")
-        near = terms.where(F.contains("term", F.lit(" ")) & (parts[0].isin(list(strong)) | parts[1].isin(list(strong)))).where("q >= 3 and q >= 9 * p")
-        learned = [r.term for r in near.orderBy(F.desc("q"), "term").limit(MAX_EXCEPTIONS).collect()]
+        near = terms.where(F.contains("term", F.lit(" ")) & (parts[0].isin(list(counted)) | parts[1].isin(list(counted)))).where("q >= 3 and q >= 9 * p")
+        learned = [r.term for r in near.orderBy(F.desc("q"), "term").collect()]
+        held = {w for t in learned for w in t.split(" ")}
+        doubtful = {t: 1.0 for t in counted if t not in weights and t in held}
+        if doubtful:
+            # Clean documents that hold the word outside its exceptions are what counts against it.
+            inside = Lexicon(doubtful, tuple(dict.fromkeys([*exceptions, *learned])))
+
+            def outside(batches):
+                m = Matcher(inside)
+                for batch in batches:
+                    hits = []
+                    for t in batch.column(0).to_pylist():
+                        ws, other = readings(t)
+                        seen = set()
+                        for r in (ws, [w for _, w in other]):
+                            seen |= {r[i] for i, _, _ in m.counted(m.found(r))}
+                        hits += seen
+                    yield pa.RecordBatch.from_arrays([pa.array(hits, pa.string())], names=["term"])
+
+            left = {r.term: r.n for r in rows.where("y = 0").select("text").mapInArrow(outside, "term string").groupBy("term").agg(F.count("*").alias("n")).collect()}
+            for t in doubtful:
+                w = math.log((counted[t][1] + 0.1) * (n0 + 1) / ((left.get(t, 0) + 0.1) * (n1 + 1)))
+                if w > 2:
+                    weights[t] = w
+        learned = [t for t in learned if any(w in weights for w in t.split(" "))]
         exceptions = tuple(dict.fromkeys([*exceptions, *learned]))
-    weights = {t: w for t, (w, _) in strong.items()}
     matcher_of = Lexicon(weights, exceptions)
 
     def weigh(batches):
@@ -206,7 +231,7 @@ def score(df: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float
     """df with score (0 to 1), predicted (1 from the threshold on) and n_hits, the matches that counted.
 
     A null or empty text has no match and gets the lexicon's offset alone. Columns of df with one of these names are replaced, others
-    kept; repeated rows are scored each. Narrow; the lexicon travels with the function and has at most MAX_LEXICON phrases.
+    kept; repeated rows are scored each. Narrow; the lexicon travels with the function and is bounded by the labelled rows it is learned from.
     """
     ship(df.sparkSession)
     kept = df.select(*[c for c in df.columns if c not in ("score", "predicted", "n_hits")])

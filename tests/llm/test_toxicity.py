@@ -55,6 +55,16 @@ def test_learned_words_and_edges(spark):
     assert toxicity.score(docs.where("false"), none).count() == 0
 
 
+def test_clean_uses_in_exceptions_do_not_count_against_a_word(spark):
+    bad = [(i, f"plain words here you Idiot number {i} see", 1) for i in range(20)]
+    good = [(100 + i, f"plain words here number {i} see idiot savant talent" if i < 8 else f"plain words here number {i} see", 0) for i in range(60)]
+    docs, labels = spark.createDataFrame([r[:2] for r in bad + good], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in bad + good] + [(5, 0)], "doc_id long, toxic int")
+    lexicon = toxicity.learn(spark, docs, labels)
+    assert "idiot" in lexicon.weights and "idiot savant" in lexicon.exceptions and "plain" not in lexicon.weights
+    out = {r.doc_id: r for r in toxicity.score(docs, lexicon).collect()}
+    assert out[0].predicted == 1 and out[100].predicted == 0 and out[100].n_hits == 0
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     out = queries.op5_toxicity(spark, sf).join(queries.table(spark, sf, "labels"), "doc_id").where("held_out").collect()
