@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -24,19 +26,33 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none, as in tests."""
+    """The folder all executors share, from spark.checkpoint.dir. Only a local session, whose executors are in the driver's process, gets a temporary
+    one where none is set; on a cluster that is an error."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="gridlark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back. The files go when the driver ends."""
+    """Cut the lineage: write df to the shared folder and read it back. The files go by discard(), or when the driver ends."""
     path = f"{shared_dir(spark)}/gridlark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.kept_at = path
+    return back
+
+
+def discard(spark: SparkSession, *frames: DataFrame | None) -> None:
+    """Delete what materialize() wrote for these frames, and let the cleaner drop shuffle files nobody refers to any more."""
+    for df in frames:
+        if df is not None:
+            remove(spark, df.kept_at)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -1,61 +1,79 @@
-"""Exact Jaccard join of documents by pivots, regions and windows in the metric space of shingle sets."""
+"""Exact Jaccard join of documents by pivots, Voronoi regions and triangle-inequality windows in the metric space of shingle sets."""
 
 from __future__ import annotations
 
-import gc
+import contextlib
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridlark.llm.common import materialize, ship, slices
+from gridlark.llm.common import discard, materialize, ship, slices
 from gridlark.llm.components import connected, spread_join
 from gridlark.llm.shingles import WORDS, Shingler, overlap
 
 PERCENT = 80
 COMMON_AT = 64
 MAX_COMMON = 200_000
-SHARES = 64
+CROWD = 64
 CHUNK = 2_000_000
-STAR_FACTOR = 20
+REGION_PAIRS = 2_000
 PARTS = 512
 PARITIES = [f"p{k}" for k in range(PARTS // 64)]
+_SLACK = 1e-9
 
 
-def release(spark: SparkSession) -> None:
-    """Let the cleaner drop shuffle files of frames that are written down by now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most `rows` rows while a job runs whose rows hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def describe(docs: DataFrame, words: int) -> DataFrame:
-    """(doc, n, s1, s2) for each document: the size and two sums that tell its set; (null, count, shingle, null) for shingles that several
-    different sets of a chunk hold."""
+    """(doc, n, s1, s2, p0 .. p7) for each document: the size of its set, two sums that tell it, and for each of PARTS parts of all shingles, dealt by
+    hash, the parity of how many it holds (two sets differ in one shingle at least for each parity that differs); fine: for sets of more than PARTS shingles the
+    same for as many parts, the next power of two; (null, count, shingle, null, ...)
+    for shingles that several different sets of a chunk hold."""
+    schema = "doc long, n long, s1 long, s2 long, " + ", ".join(f"{c} long" for c in PARITIES) + ", fine array<long>"
 
     def run(batches):
         shingler, seen, sets, held = Shingler(words), set(), [], 0
 
+        def batch_of(doc, n, s1, s2, parity, fine):
+            cols = [pa.array(x, pa.int64()) for x in (doc, n, s1, s2)] + [pa.array(x, pa.int64()) for x in parity] + [pa.array(fine, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(cols, names=["doc", "n", "s1", "s2", *PARITIES, "fine"])
+
+        def parities(s, parts):
+            return np.bincount((s >> np.uint64(24)).astype(np.int64) & (parts - 1), minlength=parts) & 1
+
         def frequent():
             values, counts = np.unique(np.concatenate(sets), return_counts=True)
             often = counts >= 4
-            return batch_of([None] * int(often.sum()), counts[often], values[often].view(np.int64), [None] * int(often.sum()))
-
-        def batch_of(doc, n, s1, s2):
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], names=["doc", "n", "s1", "s2"])
+            none = [None] * int(often.sum())
+            return batch_of(none, counts[often], values[often].view(np.int64), none, [none] * len(PARITIES), none)
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):
-                rows = []
-                for doc, s in zip(ids[a:b], shingler.sets(texts[a:b]), strict=True):
+                rows, parity, fine = [], np.zeros((b - a, PARTS), np.uint8), [None] * (b - a)
+                for i, (doc, s) in enumerate(zip(ids[a:b], shingler.sets(texts[a:b]), strict=True)):
                     sig = signature(s)
                     rows.append((doc, len(s), *sig))
+                    parity[i] = parities(s, PARTS)
+                    if len(s) > PARTS:
+                        fine[i] = np.packbits(parities(s, 1 << (len(s) - 1).bit_length()).astype(np.uint8)).view("<i8")
                     if len(s) and sig not in seen:
                         seen.add(sig)
                         sets.append(s)
                         held += len(s)
-                yield batch_of(*zip(*rows, strict=True))
+                yield batch_of(*zip(*rows, strict=True), np.packbits(parity, axis=1).view("<i8").T, fine)
                 if held >= CHUNK:
                     yield frequent()
                     sets, held = [], 0
@@ -64,7 +82,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
         if sets:
             yield frequent()
 
-    return docs.mapInArrow(run, "doc long, n long, s1 long, s2 long")
+    return docs.mapInArrow(run, schema)
 
 
 def signature(s: np.ndarray) -> tuple[int, int]:
@@ -75,72 +93,108 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def windows(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(pivot, share, doc, n, pos): each set in the region of every pivot in whose window it is.
+def assigned(docs: DataFrame, words: int, percent: int, common: np.ndarray, buckets: int, crowd: int = CROWD) -> DataFrame:
+    """(bucket, shingles, docs, crowd): each set under the shingles by which it can meet a partner.
 
-    Pivots are the single shingles; a set's distance to those it holds is the same, so its order decides: shingles that aren't
-    common first, by hash. A partner shares at least ceil(percent * n / 100) of a set's n shingles, so the first
-    shingle in this order that both hold is one of the first n - that + 1 in either: these regions the set is copied to. A
-    set that comes again in the same task is left out, its documents being linked by their signature. The region of a common
-    pivot is dealt into shares.
+    A partner shares at least ceil(percent * n / 100) of a set's n shingles, so, in any order of all shingles, the first one both hold is among the
+    first n - that + 1 of either. Here common shingles come last. A set that comes again in the same task is left out, its documents being linked
+    by their signature. Under a shingle that `crowd` sets or more of a flush hold only the first of them goes on; the others are tied to it
+    in `crowd`, so that a shingle of very many documents is a few rows of each task. Rows travel as arrays: shingles as 64-bit numbers, docs as compressed differences,
+    crowd as triples (first, other, mask).
     """
 
     def run(batches):
-        shingler, seen = Shingler(words), set()
+        shingler, seen, held, size = Shingler(words), set(), [], 0
+        pack = zstandard.ZstdCompressor(level=1).compress
+
+        def flush():
+            shingle, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            values, at, counts = np.unique(shingle, return_inverse=True, return_counts=True)
+            crowded = counts[at] >= crowd
+            ties = np.zeros((0, 3), np.int64)
+            if crowded.any():
+                first = np.full(len(values), np.iinfo(np.int64).max)
+                np.minimum.at(first, at[crowded], doc[crowded])
+                ties = united(first[at[crowded]], doc[crowded], bits(shingle[crowded]))
+                stay = ~crowded | (doc == first[at])
+                shingle, doc = shingle[stay], doc[stay]
+            rows = by_bucket(((shingle & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), buckets)
+            tied = by_bucket(ties[:, 1] % buckets, buckets)
+            out = [(b, shingle[i].tobytes(), pack(np.diff(doc[i], prepend=0).astype("<i8").tobytes()), pack(ties[j].astype("<i8").tobytes())) for b, (i, j) in enumerate(zip(rows, tied, strict=True)) if len(i) or len(j)]
+            cols = list(zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "shingles", "docs", "crowd"])
+
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):
-                cols = [[], [], [], [], []]
                 for doc, s in zip(ids[a:b], shingler.sets(texts[a:b]), strict=True):
                     n = len(s)
                     if not n or (sig := signature(s)) in seen:
                         continue
                     seen.add(sig)
                     k = n - -(-percent * n // 100) + 1
-                    at = np.minimum(np.searchsorted(common, s), max(len(common) - 1, 0))
-                    often = common[at] == s if len(common) else np.zeros(n, bool)
-                    first = np.concatenate([s[~often], s[often]])[:k]
-                    hot = np.zeros(k, np.int32)
-                    hot[int((~often).sum()) :] = 1 + doc % SHARES
-                    for col, x in zip(cols, (first.view(np.int64), hot, np.full(k, doc), np.full(k, n), np.arange(k)), strict=True):
-                        col.append(x)
+                    if len(common):
+                        often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+                        s = np.concatenate([s[~often], s[often]])
+                    held.append((s[:k], np.full(k, doc)))
+                    size += k
+                if size >= CHUNK:
+                    yield flush()
+                    held, size = [], 0
                 if len(seen) > 200_000:
                     seen.clear()
-                if cols[0]:
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(cols, kinds, strict=True)], names=["pivot", "share", "doc", "n", "pos"])
+        if held:
+            yield flush()
+
+    return docs.mapInArrow(run, "bucket int, shingles binary, docs binary, crowd binary")
 
-    return docs.mapInArrow(run, "pivot long, share int, doc long, n int, pos int")
 
+def bits(shingle: np.ndarray) -> np.ndarray:
+    """For each shingle one bit of 64, by its hash."""
+    return (np.uint64(1) << (shingle >> np.uint64(32) & np.uint64(63))).view(np.int64)
 
-def led(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows of regions with two documents or more, each with the leader of its part of the region: the smallest set whose size lets
-    it link (the triangle inequality towards the empty set). A task holds its own regions, which only shares of common pivots
-    make large."""
+
+def united(pivot: np.ndarray, doc: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """(pivot, doc, mask) rows: each pair of different documents once, with the bits of all its rows."""
+    order = np.lexsort((doc, pivot))
+    order = order[(pivot != doc)[order]]
+    if not len(order):
+        return np.zeros((0, 3), np.int64)
+    pivot, doc, mask = pivot[order], doc[order], mask[order]
+    start = np.flatnonzero(np.r_[True, (pivot[1:] != pivot[:-1]) | (doc[1:] != doc[:-1])])
+    return np.stack([pivot[start], doc[start], np.bitwise_or.reduceat(mask, start)], axis=1)
+
+
+def by_bucket(bucket: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """The places of each bucket's rows, in their order."""
+    order = np.argsort(bucket, kind="stable")
+    return np.split(order, np.searchsorted(bucket[order], np.arange(1, buckets)))
+
+
+def pivots(rows: DataFrame) -> DataFrame:
+    """(pivot, doc, crowd, mask) from assigned(): the documents that meet under a shingle each with the first of them, their pivot. crowd: the pivot is that of a
+    crowd and may itself have one for the same shingle. mask has the bits of the shingles under which the two meet: documents that meet there too have
+    one of them in common. Pairs come once a task."""
 
     def run(batches):
-        parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-        if not parts:
-            return
-        pivot, share, doc, n, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-        parts.clear()
-        order = np.lexsort((doc, n, share, pivot))
-        pivot, share, doc, n, pos = (x[order] for x in (pivot, share, doc, n, pos))
-        new = np.r_[True, (pivot[1:] != pivot[:-1]) | (share[1:] != share[:-1])]
-        start = np.flatnonzero(new)
-        size = np.diff(np.r_[start, len(doc)])
-        keep = np.repeat(size > 1, size) | (share > 0)
-        leader = np.empty(len(doc), np.int64)
-        for a, k in zip(start[(size > 1) | (share[start] > 0)].tolist(), size[(size > 1) | (share[start] > 0)].tolist(), strict=True):
-            while k > 0:
-                m = int(np.searchsorted(n[a : a + k], n[a] * 100 // percent, "right"))
-                leader[a : a + m] = doc[a]
-                a, k = a + m, k - m
-        cols = [x[keep] for x in (pivot, share, doc, n, pos, leader)]
-        for a in range(0, len(cols[0]), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in cols], names=["pivot", "share", "doc", "n", "pos", "leader"])
-
-    return rows.mapInArrow(run, "pivot long, share int, doc long, n int, pos int, leader long")
+        unpack = zstandard.ZstdDecompressor().decompress
+        shingles, docs, ties = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int64)]
+        for batch in batches:
+            for shingle, doc, tie in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3)], strict=True):
+                shingles.append(np.frombuffer(shingle, np.uint64))
+                docs.append(np.cumsum(np.frombuffer(unpack(doc), "<i8")))
+                ties.append(np.frombuffer(unpack(tie), "<i8").reshape(-1, 3))
+        shingle, doc = np.concatenate(shingles), np.concatenate(docs)
+        order = np.lexsort((doc, shingle))
+        shingle, doc = shingle[order], doc[order]
+        start = np.flatnonzero(np.r_[len(shingle) > 0, shingle[1:] != shingle[:-1]][: len(shingle)])
+        lead = np.repeat(doc[start], np.diff(np.r_[start, len(doc)]))
+        for pairs, crowd in ((united(lead, doc, bits(shingle)), False), (united(*np.concatenate(ties).T), True)):
+            for a in range(0, len(pairs), 50_000):
+                x = pairs[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(np.full(len(x), crowd)), pa.array(x[:, 2])], names=["pivot", "doc", "crowd", "mask"])
+
+    return rows.mapInArrow(run, "pivot long, doc long, crowd boolean, mask long")
 
 
 def compressed(docs: DataFrame) -> DataFrame:
@@ -157,175 +211,250 @@ def compressed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc long, text binary")
 
 
-def sketched(texts: DataFrame, words: int) -> DataFrame:
-    """(doc, n, p0 .. p7) of compressed() texts: per document its set's size, and for each of PARTS parts of all shingles, dealt by hash, the parity of how many it
-    holds. Two sets differ in one shingle at least for each parity that differs."""
+def least_difference(x: str, y: str) -> Column:
+    """How many shingles at least only one of two sets holds, by their sizes and parities."""
+    return F.expr("greatest(cast(" + " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in PARITIES) + f" as long), abs({x}.n - {y}.n))")
 
-    def run(batches):
-        shingler = Shingler(words)
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                texts = [unpack(x).decode("utf-8", "surrogatepass") for x in part.column(1).to_pylist()]
-                sets = [s for i, j in slices(texts) for s in shingler.sets(texts[i:j])]
-                parity = np.stack([np.bincount((s >> np.uint64(40)).astype(np.int64) % PARTS, minlength=PARTS) & 1 for s in sets])
-                longs = np.packbits(parity.astype(np.uint8), axis=1).view("<i8")
-                cols = [part.column(0), pa.array([len(s) for s in sets], pa.int32()), *[pa.array(longs[:, k]) for k in range(PARTS // 64)]]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc", "n", *PARITIES])
 
-    return texts.mapInArrow(run, "doc long, n int, " + ", ".join(f"{c} long" for c in PARITIES))
+def may_link(differ: Column, nx: Column, ny: Column, percent: int) -> Column:
+    """At the threshold two sets differ in at most (100 - percent) / (100 + percent) of the sum of their sizes."""
+    return (100 + percent) * differ <= (100 - percent) * (nx + ny)
 
 
-def may_differ_so(x: str, y: str, percent: int) -> str:
-    """Whether two sets may link by their parities: at the threshold they differ in at most (100 - percent) / (100 + percent) of the sum of
-    their sizes."""
-    differ = " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in PARITIES)
-    return f"{100 + percent} * ({differ}) <= {100 - percent} * ({x}.n + {y}.n)"
+def closer(pairs: DataFrame, x: str, y: str, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs of documents x and y that may link by their fine parities too, where both have them. Of sets that may link by size one has as many parts as the other or
+    twice as many; then its halves are laid over each other."""
+    for end, name in ((x, "fx"), (y, "fy")):
+        pairs = pairs.join(points.where("fine is not null").select(F.col("doc").alias(end), F.struct("n", "fine").alias(name)), end, "left")
+    half = lambda u, v: f"if(size({u}) > size({v}), zip_with(slice({u}, 1, size({v})), slice({u}, size({v}) + 1, size({v})), (i, j) -> i ^ j), {u})"
+    u, v = half("fx.fine", "fy.fine"), half("fy.fine", "fx.fine")
+    differ = F.expr(f"aggregate(zip_with({u}, {v}, (i, j) -> bit_count(i ^ j)), 0L, (s, i) -> s + i)")
+    return pairs.where(F.coalesce(may_link(differ, F.col("fx.n"), F.col("fy.n"), percent), F.lit(True))).drop("fx", "fy")
 
 
-def may_link(x: str, y: str, percent: int) -> str:
-    """Whether two sets that share a pivot may link, if it is the first they share: by their sizes and by what is left behind it."""
-    need = f"{percent} * ({x}.n + {y}.n)"
-    return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {100 + percent} * (1 + least({x}.n - {x}.pos - 1, {y}.n - {y}.pos - 1)) >= {need}"
+def distance(differ: Column, nx: Column, ny: Column) -> Column:
+    """The Jaccard distance of sets of these sizes that differ in so many shingles."""
+    return 2 * differ / (nx + ny + differ)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, linked) of pairs (a, b), by the exact Jaccard similarity of the documents' shingle sets. texts: compressed()."""
+def verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b, differ, linked) of distinct pairs (a, b): in how many shingles their sets differ and whether they link, exactly. Only the texts that
+    a pair names are joined."""
+    pairs = materialize(spark, pairs.select("a", "b"), "pairs")
+    named = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    texts = materialize(spark, compressed(docs).join(named, "doc", "left_semi"), "texts")
     x = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
     y = texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "ta", "tb")
+    joined = pairs.join(y, "b").join(x, "a").select("a", "b", "ta", "tb")
 
     def run(batches):
         shingler, last = Shingler(words), (None, None)
         unpack = zstandard.ZstdDecompressor().decompress
+        text = lambda x: unpack(x).decode("utf-8", "surrogatepass")
         for batch in batches:
-            for start in range(0, batch.num_rows, 100):
-                part = batch.slice(start, 100)
-                a, b, ta = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)
-                tb = [unpack(x).decode("utf-8", "surrogatepass") for x in part.column(3).to_pylist()]
-                linked = []
-                for i, j in slices(tb):
-                    for k, s in zip(range(i, j), shingler.sets(tb[i:j]), strict=True):
-                        if last[0] != a[k]:
-                            last = (a[k], shingler.sets([unpack(ta[k].as_py()).decode("utf-8", "surrogatepass")])[0])
-                        both = overlap(last[1], s)
-                        linked.append(100 * both >= percent * (len(s) + len(last[1]) - both))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-    return joined.mapInArrow(run, "a long, b long, linked boolean")
-
-
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, common_at: int = COMMON_AT) -> DataFrame:
+            a, b, ta, tb = batch.columns
+            ids, tb, differ, linked = a.to_pylist(), tb.to_pylist(), [], []
+            for i, j in slices(tb, 64 << 10):
+                for k, s in zip(range(i, j), shingler.sets([text(t) for t in tb[i:j]]), strict=True):
+                    if last[0] != ids[k]:
+                        last = (ids[k], shingler.sets([text(ta[k].as_py())])[0])
+                    both, total = overlap(last[1], s), len(s) + len(last[1])
+                    differ.append(total - 2 * both)
+                    linked.append(100 * both >= percent * (total - both))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(differ, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "differ", "linked"])
+
+    with small_batches(spark, 500):
+        out = materialize(spark, joined.mapInArrow(run, "a long, b long, differ long, linked boolean"), "verified")
+    discard(spark, pairs, texts)
+    return out
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, common_at: int = COMMON_AT, region_pairs: int = REGION_PAIRS, crowd: int = CROWD) -> DataFrame:
     """(key, n_shingles, component_id) for each document: the connected components of all links of
     Jaccard similarity of percent / 100 or more between sets of distinct `words`-word shingles, exactly.
 
     A document with fewer words has its whole sequence as one shingle; one without words, or with a null text, has an
-    empty set, links with nothing and is its own component. Keys are unique integers; rows with a null key come back with a null component.
-    Rows with the same key count as documents of that key, each with its own set. Other columns aren't read. An empty table gives no rows.
-
-    1. Equal sets are one class, found by a 128-bit signature (an aggregate); the class of the smallest key goes on.
-    2. Pivots and regions: see windows(). Common shingles, counted over all documents, come last in the order, so that passages many
-       documents share make no region but for sets made of them. At most MAX_COMMON count as common, a bound for what
-       is sent to tasks; it changes only the work, not the result.
-    3. Stars: each document is compared with those leaders of its regions that are near enough by the parities of parts of their sets (a lower bound of
-    how much two sets differ). Documents that
-       link with a leader are in one component and need not be compared among one another.
-    4. Regions that still hold several components go on: a new leader among what isn't in the first one's component, compared with all others
-       in its windows, again and again while many are left; then every pair of documents of different
-       components whose windows meet is compared. Thus each pair that may link is compared, or is in one component already.
+    empty set, links with nothing and is its own component. Keys are integers; rows with a null key come back with a null component.
+    Rows with the same key are one node of the graph, each with its own set: a key is linked with all that one of its rows links with. Other columns aren't
+    read. An empty table gives no rows.
+
+    1. Equal sets are one class, found by a 128-bit signature (an aggregate); the smallest key of each stands for it.
+    2. Pivots are documents. Two unrelated documents are at distance 1 from almost any pivot, where no triangle inequality can tell them apart;
+       so the pivots a document is measured against are those it meets under a shingle of its own (see assigned), the first document there. Any two
+       documents that link meet under one shingle and so have a pivot in common. Common shingles, counted over all documents, come last in the order,
+       so that passages many documents share make no region but for sets made of them. At most MAX_COMMON count as common, a bound for
+       what is sent to tasks; it changes only the work, not the result.
+    3. Distances to pivots are exact where a lower bound (sizes, and parities of parts of the sets) doesn't rule a link out, else that bound up to 1. Documents
+       that link with a pivot are in one component and need not be compared among one another.
+    4. A pivot's region holds all documents that meet it, also those of a crowd tied to it through another pivot, whose distance the triangle inequality
+       bounds. Regions that still hold several components go on. One with more than region_pairs pairs to compare gets a
+       second pivot, the smallest document outside the first one's component, and is cut into the two Voronoi cells; a document is copied to a cell too whose pivot is at most
+       2 * eps farther from it than its own (eps the distance of a link), and so on recursively while this makes less work.
+    5. In what is left, pairs of different components are compared whose distances to the pivot differ by eps at most and that the lower bound
+       allows: for each document and component the nearest by that bound first, then all that are still in different components.
 
     All steps are aggregates and equi-joins that AQE can split; what a task holds is bounded by its share of a shuffle. Steps are
-    written to the shared folder, so that lost executors cost the current step only.
+    written to the shared folder, so that lost executors cost the current step only, and deleted once the next is written.
     """
     spark = docs.sparkSession
     ship(spark)
     source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     usable = source.where("doc is not null")
+    if usable.groupBy("doc").count().where("count > 1").limit(1).count():
+        found = with_repeated_keys(spark, usable, words, percent, common_at, region_pairs, crowd)
+    else:
+        found = of_unique_keys(spark, usable, words, percent, common_at, region_pairs, crowd)
+    return found.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(without_key(source, words, key))
+
+
+def of_unique_keys(spark: SparkSession, usable: DataFrame, words: int, percent: int, common_at: int, region_pairs: int, crowd: int) -> DataFrame:
+    """(doc, n, component) of documents with keys of their own."""
     told = materialize(spark, describe(usable, words), "sets")
     sets = told.where("doc is not null")
     often = told.where("doc is null").groupBy("s1").agg(F.sum("n").alias("n")).where(F.col("n") >= common_at)
     common = np.array([r.s1 for r in often.orderBy(F.desc("n"), "s1").limit(MAX_COMMON).select("s1").collect()], np.int64).view(np.uint64)
     common.sort()
-
-    rows = windows(usable, words, percent, common)
     total = sets.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), F.lit(0)).alias("rows")).first().rows
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // CHUNK))
-    regions = materialize(spark, led(rows.repartition(partitions, "pivot", "share"), percent), "regions")
-    release(spark)
-    classes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("class"))
-    of_class = spread_join(sets.where("n > 0"), classes, ["n", "s1", "s2"], "doc").where("doc <> class").select(F.col("class").alias("a"), F.col("doc").alias("b"))
-    in_region = regions.select("doc").distinct()
-    same = materialize(spark, of_class.join(in_region, of_class.b == in_region.doc, "left_semi"), "same")
-
-    texts = materialize(spark, compressed(usable).join(in_region, "doc", "left_semi"), "texts")
-    release(spark)
-    sketches = materialize(spark, sketched(texts, words), "sketches")
-    # a region of a common pivot has a leader in each share; their own leader ties the shares together
-    top = regions.where("share > 0").groupBy("pivot").agg(F.min(F.struct("n", "leader")).alias("t")).select("pivot", F.col("t.leader").alias("a"))
-    across = spread_join(regions.where("share > 0 and doc = leader"), top, ["pivot"], "doc").select("a", F.col("leader").alias("b"))
-    star = regions.select(F.col("leader").alias("a"), F.col("doc").alias("b")).unionByName(across).where("a <> b")
-    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    star = star.alias("t").join(sketches.alias("x"), F.expr("t.a = x.doc")).join(sketches.alias("y"), F.expr("t.b = y.doc and " + may_differ_so("x", "y", percent)))
-    star = materialize(spark, star.select("t.a", "t.b"), "star")
-    done = materialize(spark, verified(star, texts, words, percent), "pairs")
-    component = grouped(spark, same, done)
-    release(spark)
-
-    used, before = None, float("inf")
-    while True:
-        left, leaders, work = mixed(spark, regions, sketches, component, used)
-        if not work.pairs:
-            break
-        star_again = STAR_FACTOR * work.rows + 1_000_000 < work.pairs < 0.75 * before
-        before = work.pairs
-        new = crossing(left, leaders if star_again else None, percent).join(done, ["a", "b"], "left_anti")
-        checked = materialize(spark, verified(materialize(spark, new, "cross"), texts, words, percent), "pairs")
-        done = done.unionByName(checked)
-        component = grouped(spark, same, done)
-        release(spark)
-        if not star_again:
+    rows = assigned(usable, words, percent, common, partitions, crowd).repartitionById(partitions, F.col("bucket"))
+    met = materialize(spark, pivots(rows).groupBy("pivot", "doc", "crowd").agg(F.bit_or("mask").alias("mask")), "pivots")
+
+    classes = materialize(spark, sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("class"), *[F.first(c).alias(c) for c in [*PARITIES, "fine"]]), "classes")
+    member = spread_join(sets.select("doc", "n", "s1", "s2"), classes.select("n", "s1", "s2", "class"), ["n", "s1", "s2"], "doc", "left")
+    member = materialize(spark, member.select("doc", "n", F.coalesce("class", "doc").alias("class")), "members")
+    discard(spark, told)
+    points = classes.select(F.col("class").alias("doc"), "n", *PARITIES, "fine")
+    star = stars(spark, met, member, points, percent)
+    discard(spark, met)
+
+    near = star.where("near").select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b")).distinct()
+    checked = verified(spark, closer(near, "a", "b", points, percent), usable, words, percent)
+    component = connected(spark, checked.where("linked"))
+    regions = materialize(spark, measured(star, checked), "regions")
+    discard(spark, star)
+
+    mixed, work = several(spark, regions, component, points, region_pairs)
+    while work.large:
+        cells, more = divided(spark, mixed, checked, points, usable, words, percent)
+        merged = connected(spark, more.where("linked"), known=component)
+        both = materialize(spark, checked.unionByName(more), "verified")
+        discard(spark, regions, mixed, component, checked, more)
+        regions, component, checked, before = cells, merged, both, work
+        mixed, work = several(spark, regions, component, points, region_pairs)
+        if work.pairs > 0.75 * before.pairs:
             break
-        leaders = materialize(spark, leaders, "leaders")
-        used = leaders if used is None else used.unionByName(leaders)
-
-    # every member of a class is in the component of its smallest key
-    of = classes.join(component.select(F.col("node").alias("class"), "component"), "class", "left").select("n", "s1", "s2", F.coalesce("component", "class").alias("component"))
-    out = sets.join(of, ["n", "s1", "s2"], "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
-    return out.unionByName(without_key(source, words, key))
+    found = crossing(spark, mixed, checked, points, percent)
+    discard(spark, regions, mixed, checked)
+    nearest = verified(spark, found.groupBy("x", "other").agg(F.min_by("y", F.struct("differ", "y")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), usable, words, percent)
+    merged = connected(spark, nearest.where("linked"), known=component)
+    discard(spark, component)
+    rest = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(nearest, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(merged.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    last = verified(spark, rest.where("ca <> cb"), usable, words, percent)
+    component = connected(spark, last.where("linked"), known=merged)
+    discard(spark, found, nearest, merged, last, classes)
+    return member.join(component.withColumnRenamed("node", "class"), "class", "left").select("doc", "n", F.coalesce("component", "class").alias("component"))
+
+
+def stars(spark: SparkSession, met: DataFrame, member: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """(pivot, doc, crowd, mask, differ, np, nd, near) of the classes of the documents that met: a lower bound of how much their sets differ, and whether it allows
+    a link."""
+    for end in ("pivot", "doc"):
+        other = member.where("doc <> class").select(F.col("doc").alias(end), "class")
+        met = met.join(other, end, "left").withColumn(end, F.coalesce("class", end)).drop("class")
+    met = met.where("pivot <> doc").groupBy("pivot", "doc", "crowd").agg(F.bit_or("mask").alias("mask"))
+    p, d = (points.select(F.col("doc").alias(end), F.struct("n", *PARITIES).alias(name)) for end, name in (("pivot", "p"), ("doc", "d")))
+    rows = met.join(p, "pivot").join(d, "doc").select("pivot", "doc", "crowd", "mask", least_difference("p", "d").alias("differ"), F.col("p.n").alias("np"), F.col("d.n").alias("nd"))
+    return materialize(spark, rows.withColumn("near", may_link(F.col("differ"), F.col("np"), F.col("nd"), percent)), "stars")
+
+
+def measured(star: DataFrame, checked: DataFrame) -> DataFrame:
+    """(region, pivot, doc, mask, lo, hi): all documents of the region of each pivot, with bounds of their distance from it. The region is named by its pivot."""
+    told = star.alias("s").join(checked.alias("c"), F.expr("least(s.pivot, s.doc) = c.a and greatest(s.pivot, s.doc) = c.b"), "left")
+    lo = distance(F.coalesce("c.differ", "s.differ"), F.col("np"), F.col("nd"))
+    own = told.select("pivot", "s.doc", "crowd", "mask", lo.alias("lo"), F.when(F.col("c.differ").isNotNull(), lo).otherwise(1.0).alias("hi"))
+    tied = own.where("crowd").select(F.col("pivot").alias("first"), "doc", F.col("mask").alias("mask2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    far = own.select("pivot", F.col("doc").alias("first"), "mask", "lo", "hi").join(tied, "first").where("pivot <> doc and mask & mask2 <> 0")
+    far = far.select("pivot", "doc", F.expr("mask & mask2").alias("mask"), F.greatest(F.col("lo") - F.col("hi2"), F.col("lo2") - F.col("hi"), F.lit(0.0)).alias("lo"), F.least(F.lit(1.0), F.col("hi") + F.col("hi2")).alias("hi"))
+    rows = own.drop("crowd").unionByName(far).groupBy("pivot", "doc").agg(F.bit_or("mask").alias("mask"), F.max("lo").alias("lo"), F.min("hi").alias("hi"))
+    itself = own.select("pivot", F.col("pivot").alias("doc"), F.lit(-1).cast("long").alias("mask"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi")).distinct()
+    return rows.unionByName(itself).select(F.col("pivot").cast("string").alias("region"), "*")
+
+
+def several(spark: SparkSession, regions: DataFrame, component: DataFrame, points: DataFrame, region_pairs: int):
+    """The rows of regions that hold several components, each with its component, whether it is the pivot's (main), its size and parities, and whether the region has
+    more than region_pairs pairs to compare (large); and how many pairs that makes, and whether there are large ones."""
+    rows = regions.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    per = rows.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max(F.when(F.col("doc") == F.col("pivot"), F.col("component"))).alias("of_pivot")).where("least < most").select("region", "of_pivot")
+    rows = spread_join(rows, per, ["region"], "doc").withColumn("main", F.col("component") == F.col("of_pivot")).drop("of_pivot")
+    size = rows.groupBy("region").agg((F.count("*") * F.count_if(~F.col("main"))).alias("pairs")).select("region", "pairs", (F.col("pairs") > region_pairs).alias("large"))
+    rows = spread_join(rows, size, ["region"], "doc").drop("pairs").join(points.drop("fine"), "doc")
+    mixed = materialize(spark, rows.select("region", "pivot", "doc", "mask", "lo", "hi", "component", "main", "large", "n", *PARITIES), "mixed")
+    per = mixed.groupBy("region").agg((F.count("*") * F.count_if(~F.col("main"))).alias("pairs"), F.first("large").alias("large"))
+    return mixed, per.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.max("large"), F.lit(False)).alias("large")).first()
+
+
+def divided(spark: SparkSession, mixed: DataFrame, checked: DataFrame, points: DataFrame, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The regions anew, large ones cut into the cells of their pivot and of the smallest document outside its component; and the pairs that were verified for that.
+
+    eps is a link's distance. If a document's nearer pivot is p, a partner is at most 2 * eps farther from p than from the other one; each document
+    goes to all cells where that may hold by the bounds of its distances.
+    """
+    large = mixed.where("large")
+    second = large.where("not main").groupBy("region").agg(F.min("doc").alias("second"))
+    of = large.join(second, F.col("doc") == F.col("second"), "left_semi").select(F.col("doc").alias("second"), F.struct("n", *PARITIES).alias("q")).distinct()
+    rows = spread_join(large.withColumn("d", F.struct("n", *PARITIES)), second, ["region"], "doc").join(of, "second")
+    written = rows = materialize(spark, rows.withColumn("differ", least_difference("d", "q")).withColumn("nq", F.col("q.n")).drop("d", "q", *PARITIES), "seconds")
+    pair = [F.least("second", "doc").alias("a"), F.greatest("second", "doc").alias("b")]
+    near = rows.where(may_link(F.col("differ"), F.col("n"), F.col("nq"), percent) & F.expr("second <> doc")).select(*pair).distinct()
+    more = verified(spark, closer(near.join(checked, ["a", "b"], "left_anti"), "a", "b", points, percent), docs, words, percent)
+    exact = checked.unionByName(more).select("a", "b", F.col("differ").alias("exact"))
+    rows = rows.withColumns({"a": pair[0], "b": pair[1]}).join(exact, ["a", "b"], "left")
+    lo = distance(F.coalesce("exact", "differ"), F.col("n"), F.col("nq"))
+    rows = rows.withColumn("lo2", F.when(F.expr("second = doc"), 0.0).otherwise(lo)).withColumn("hi2", F.when(F.expr("second = doc"), 0.0).when(F.col("exact").isNotNull(), lo).otherwise(1.0))
+    twice = 2 * (100 - percent) / 100 + _SLACK
+    # the first pivot stays in its cell, the second in its own
+    first = rows.where((F.col("lo") <= F.col("hi2") + twice) | (F.col("doc") == F.col("pivot"))).select(F.concat_ws("/", "region", F.lit("0")).alias("region"), "pivot", "doc", "mask", "lo", "hi")
+    other = rows.where((F.col("lo2") <= F.col("hi") + twice) | (F.col("doc") == F.col("second"))).select(F.concat_ws("/", "region", F.lit("1")).alias("region"), F.col("second").alias("pivot"), "doc", "mask", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"))
+    small = mixed.where("not large").select("region", "pivot", "doc", "mask", "lo", "hi")
+    cells = materialize(spark, small.unionByName(first).unionByName(other), "regions")
+    discard(spark, written)
+    return cells, more
+
+
+def crossing(spark: SparkSession, mixed: DataFrame, checked: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """(x, y, other, differ) of pairs of different components in a region, x outside the pivot's, that meet under a shingle (a bit of their masks), aren't
+    verified yet, may link by the lower bound, and whose distances to the pivot differ by eps at most. other: y's component."""
+    side = lambda name: F.struct("doc", "mask", "component", "main", "lo", "hi", "n", *PARITIES).alias(name)
+    x, y = mixed.where("not main").select("region", side("x")), mixed.select("region", side("y"))
+    eps = (100 - percent) / 100 + _SLACK
+    meets = (F.col("x.component") != F.col("y.component")) & (F.col("y.main") | (F.col("x.doc") < F.col("y.doc")))
+    window = F.expr("x.mask & y.mask <> 0") & (F.col("x.lo") - F.col("y.hi") <= eps) & (F.col("y.lo") - F.col("x.hi") <= eps)
+    differ = least_difference("x", "y")
+    found = x.join(y, (x.region == y.region) & meets & window & may_link(differ, F.col("x.n"), F.col("y.n"), percent))
+    found = found.groupBy(F.col("x.doc").alias("x"), F.col("y.doc").alias("y")).agg(F.first("y.component").alias("other"), F.first(differ).alias("differ"))
+    done = checked.select("a", "b")
+    found = found.join(done, F.expr("least(x, y) = a and greatest(x, y) = b"), "left_anti")
+    coarse = materialize(spark, found, "crossing")  # written, as the optimizer would fold the two bounds into one very large condition
+    found = materialize(spark, closer(coarse, "x", "y", points, percent), "crossing")
+    discard(spark, coarse)
+    return found
+
+
+def with_repeated_keys(spark: SparkSession, usable: DataFrame, words: int, percent: int, common_at: int, region_pairs: int, crowd: int) -> DataFrame:
+    """(doc, n, component): each row is a document of its own first, then the components that share a key are one."""
+    numbered = materialize(spark, usable.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    rows = of_unique_keys(spark, numbered.select(F.col("row").alias("doc"), "text"), words, percent, common_at, region_pairs, crowd)
+    rows = materialize(spark, rows.withColumnRenamed("doc", "row").join(numbered.select("row", "doc"), "row").select("doc", "n", "component"), "rows")
+    low = rows.groupBy("doc").agg(F.min("component").alias("low"))
+    merged = connected(spark, spread_join(rows, low, ["doc"], "component").select("component", "low").distinct(), "component", "low")
+    rows = rows.join(merged.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").withColumn("root", F.coalesce("root", "component"))
+    smallest = rows.groupBy("root").agg(F.min("doc").alias("component"))
+    return spread_join(rows.drop("component"), smallest, ["root"], "doc").select("doc", "n", "component")
 
 
 def without_key(source: DataFrame, words: int, key: str) -> DataFrame:
     told = describe(source.where("doc is null").select(F.lit(0).cast("long").alias("doc"), "text"), words).where("doc is not null")
     null = F.lit(None).cast("long")
     return told.select(null.alias(key), F.col("n").alias("n_shingles"), null.alias("component_id"))
-
-
-def grouped(spark: SparkSession, same: DataFrame, done: DataFrame) -> DataFrame:
-    edges = same.select("a", "b").unionByName(done.where("linked").select("a", "b"))
-    return materialize(spark, connected(spark, edges), "components")
-
-
-def mixed(spark: SparkSession, regions: DataFrame, sketches: DataFrame, component: DataFrame, used: DataFrame | None):
-    """Rows of regions that hold several components, with their parities and `main` (of the region's smallest set); the region's next leader, the smallest
-    set outside the main component that wasn't one (used); and how many pairs and rows that makes."""
-    rows = regions.join(component.select(F.col("node").alias("doc"), "component"), "doc", "left").select("pivot", "doc", "n", "pos", F.coalesce("component", "doc").alias("component"))
-    main = rows.groupBy("pivot").agg(F.min_by("component", F.struct("n", "doc")).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("pivot", "main")
-    left = materialize(spark, spread_join(rows, main, ["pivot"], "doc").join(sketches.drop("n"), "doc").select("pivot", "doc", "n", "pos", "component", (F.col("component") == F.col("main")).alias("main"), *PARITIES), "mixed")
-    open_rows = left if used is None else left.join(used, ["pivot", "doc"], "left_anti")
-    per = open_rows.groupBy("pivot").agg(F.count("*").alias("r"), F.count_if(~F.col("main")).alias("u"), F.min_by("doc", F.when(~F.col("main"), F.struct("n", "doc"))).alias("doc"))
-    work = per.agg(F.coalesce(F.sum(F.col("r").cast("double") * F.col("u")), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("r"), F.lit(0)).alias("rows")).first()
-    return left, per.where("u > 0").select("pivot", "doc"), work
-
-
-def crossing(left: DataFrame, leaders: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs of different components in the same region whose windows meet, one of them outside the main component (given leaders: one of
-    those)."""
-    x = left.where("not main").drop("main")
-    if leaders is not None:
-        x = x.join(leaders, ["pivot", "doc"], "left_semi")
-    x = x.select("pivot", F.struct("doc", "n", "pos", "component", *PARITIES).alias("x"))
-    y = left.select("pivot", F.struct("doc", "n", "pos", "component", *PARITIES).alias("y"))
-    on = (F.col("l.pivot") == F.col("r.pivot")) & F.expr(f"l.x.component <> r.y.component and {may_link('l.x', 'r.y', percent)} and {may_differ_so('l.x', 'r.y', percent)}")
-    found = x.alias("l").join(y.alias("r"), on)
-    return found.select(F.least("l.x.doc", "r.y.doc").alias("a"), F.greatest("l.x.doc", "r.y.doc").alias("b")).distinct()

@@ -60,15 +60,38 @@ def corpus(seed):
     return [(i * 3 + 1, t) for i, t in enumerate(docs)]
 
 
-@pytest.mark.parametrize(("seed", "common_at"), [(1, 64), (2, 4)])
-def test_components_against_brute_force(spark, seed, common_at, monkeypatch):
-    monkeypatch.setattr(jaccard, "STAR_FACTOR", 20)
+@pytest.mark.parametrize(("seed", "common_at", "region_pairs", "crowd"), [(1, 64, 2_000, 64), (2, 4, 0, 3)])
+def test_components_against_brute_force(spark, seed, common_at, region_pairs, crowd):
+    """The second case makes every region recursive and ties crowds of three."""
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, i, "x") for i, t in rows], "doc_id long, text string, doc int, n string").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, common_at=common_at).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, common_at=common_at, region_pairs=region_pairs, crowd=crowd).collect()}
     assert got == brute(rows)
 
 
+def test_very_long_texts(spark):
+    """Sets of more shingles than the coarse parities have parts, near the threshold on either side."""
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(3_000)]
+    rows = [(1, " ".join(base))]
+    for i, share in enumerate((0.01, 0.02, 0.022, 0.024, 0.03, 0.2)):
+        w = list(base)
+        for k in rnd.sample(range(len(w)), int(share * len(w))):
+            w[k] = f"x{rnd.randrange(10**6)}"
+        rows.append((i + 2, " ".join(w)))
+    rows += [(20, " ".join(base[:2_450])), (21, " ".join(base[:2_300])), (22, " ".join(base[1_000:] + base[:500]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute(rows)
+
+
+def test_repeated_keys_keep_every_link(spark):
+    """Key 1 has two texts, and links with a near copy of each."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, "q r s t u v"), (4, "q r s t u v"), (5, None), (5, "x y z")]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 5), (5, 5)]
+
+
 def test_empty_table_and_null_keys(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, None)], "doc_id long, text string")
     rows = sorted((r.doc_id is None, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect())
@@ -92,20 +115,10 @@ def test_connected(spark):
     assert connected(spark, spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_windows_lose_no_pair():
-    """may_link() as plain arithmetic: pairs that link pass it at the first shingle both hold in the order."""
-    rnd = random.Random(5)
-    for _ in range(300):
-        n = rnd.randint(1, 60)
-        x = rnd.sample(range(1000), n)
-        y = [v for v in x if rnd.random() > 0.08] + rnd.sample(range(1000, 1100), rnd.randint(0, 3))
-        both = len(set(x) & set(y))
-        if y and 100 * both >= 80 * (len(x) + len(y) - both):
-            sx, sy = sorted(x), sorted(y)
-            first = min(set(x) & set(y))
-            px, py = sx.index(first), sy.index(first)
-            assert px < len(x) - -(-80 * len(x) // 100) + 1 and py < len(y) - -(-80 * len(y) // 100) + 1
-            assert 180 * (1 + min(len(x) - px - 1, len(y) - py - 1)) >= 80 * (len(x) + len(y))
+def test_known_components_are_merged(spark):
+    known = connected(spark, spark.createDataFrame([(1, 2), (5, 6), (8, 9)], "a long, b long"))
+    got = {r.node: r.component for r in connected(spark, spark.createDataFrame([(6, 2), (7, 9)], "a long, b long"), known=known).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 7: 7, 8: 7, 9: 7}
 
 
 def test_other_columns_are_not_read(spark):
