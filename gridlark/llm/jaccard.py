@@ -301,14 +301,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     usable = source.where("doc is not null")
     if usable.groupBy("doc").count().where("count > 1").limit(1).count():
-        found = with_repeated_keys(spark, usable, words, percent, common_at, region_pairs, crowd)
+        found, needs = with_repeated_keys(spark, usable, words, percent, common_at, region_pairs, crowd)
     else:
-        found = of_unique_keys(spark, usable, words, percent, common_at, region_pairs, crowd)
-    return found.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(without_key(source, words, key))
+        found, needs = of_unique_keys(spark, usable, words, percent, common_at, region_pairs, crowd)
+    out = found.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(without_key(source, words, key))
+    out.needs = needs
+    return out
 
 
-def of_unique_keys(spark: SparkSession, usable: DataFrame, words: int, percent: int, common_at: int, region_pairs: int, crowd: int) -> DataFrame:
-    """(doc, n, component) of documents with keys of their own."""
+def of_unique_keys(spark: SparkSession, usable: DataFrame, words: int, percent: int, common_at: int, region_pairs: int, crowd: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc, n, component) of documents with keys of their own, and the written steps it reads."""
     told = materialize(spark, describe(usable, words), "sets")
     sets = told.where("doc is not null")
     often = told.where("doc is null").groupBy("s1").agg(F.sum("n").alias("n")).where(F.col("n") >= common_at)
@@ -354,7 +356,8 @@ def of_unique_keys(spark: SparkSession, usable: DataFrame, words: int, percent:
     last = verified(spark, rest.where("ca <> cb"), usable, words, percent)
     component = connected(spark, last.where("linked"), known=merged)
     discard(spark, found, nearest, merged, last, classes)
-    return member.join(component.withColumnRenamed("node", "class"), "class", "left").select("doc", "n", F.coalesce("component", "class").alias("component"))
+    out = member.join(component.withColumnRenamed("node", "class"), "class", "left").select("doc", "n", F.coalesce("component", "class").alias("component"))
+    return out, [member, component]
 
 
 def stars(spark: SparkSession, met: DataFrame, member: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -442,16 +445,18 @@ def crossing(spark: SparkSession, mixed: DataFrame, checked: DataFrame, points:
     return found
 
 
-def with_repeated_keys(spark: SparkSession, usable: DataFrame, words: int, percent: int, common_at: int, region_pairs: int, crowd: int) -> DataFrame:
-    """(doc, n, component): each row is a document of its own first, then the components that share a key are one."""
+def with_repeated_keys(spark: SparkSession, usable: DataFrame, words: int, percent: int, common_at: int, region_pairs: int, crowd: int) -> tuple[DataFrame, list[DataFrame]]:
+    """As of_unique_keys: each row is a document of its own first, then the components that share a key are one."""
     numbered = materialize(spark, usable.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    rows = of_unique_keys(spark, numbered.select(F.col("row").alias("doc"), "text"), words, percent, common_at, region_pairs, crowd)
+    rows, needs = of_unique_keys(spark, numbered.select(F.col("row").alias("doc"), "text"), words, percent, common_at, region_pairs, crowd)
     rows = materialize(spark, rows.withColumnRenamed("doc", "row").join(numbered.select("row", "doc"), "row").select("doc", "n", "component"), "rows")
     low = rows.groupBy("doc").agg(F.min("component").alias("low"))
+    discard(spark, numbered, *needs)
+    written = rows
     merged = connected(spark, spread_join(rows, low, ["doc"], "component").select("component", "low").distinct(), "component", "low")
     rows = rows.join(merged.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").withColumn("root", F.coalesce("root", "component"))
     smallest = rows.groupBy("root").agg(F.min("doc").alias("component"))
-    return spread_join(rows.drop("component"), smallest, ["root"], "doc").select("doc", "n", "component")
+    return spread_join(rows.drop("component"), smallest, ["root"], "doc").select("doc", "n", "component"), [written, merged]
 
 
 def without_key(source: DataFrame, words: int, key: str) -> DataFrame:

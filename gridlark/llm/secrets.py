@@ -8,6 +8,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gridlark.llm.common import materialize
+
 TRAIN_ROWS = 6_000
 CONTEXT = 48
 CASES = 28
@@ -26,6 +28,8 @@ _VALUE = rf"(?:(?<=\")[^\"\r\n]++(?=\")|(?<=')[^'\r\n]++(?=')|(?<=`)[^`\r\n]++(?
 _LOGIN = r"(?<=:)(?<=://[^\s/:@\"']{1,64}:)[^\s/@\"']++(?=@)"
 _LONG = r"(?<![A-Za-z0-9+/_\-])(?!([A-Za-z0-9+/_\-])\1*+(?![A-Za-z0-9+/_\-]))[A-Za-z0-9+/_\-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=\"'\-]))?"
 CANDIDATE = rf"{_LEADS}{_VALUE}|{_LOGIN}|{_LONG}"
+#: What a text with a candidate holds; it looks forward only, and most texts don't have it.
+MAY_HOLD = rf"[A-Za-z0-9+/_\-]{{20}}|{_LINK}|{_SAID}|{_FLAG}|(?i:bearer|basic)[ \t]|://[^\s/:@\"']{{1,64}}:"
 PREFIXES = r"^(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_|github_pat_|[sr]k_live_|xox[abprs]-|glpat-|npm_|AIza)"
 SECRET_WORDS = r"(?i)(token|secret|passw|passwd|pwd|api.?key|access.?key|auth|bearer|credential|private)"
 OTHER_WORDS = r"(?i)(commit|sha\d*|md5|hash|digest|checksum|etag|revision|uuid|guid|isbn|serial|order|account|tracking)"
@@ -78,7 +82,7 @@ def candidates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     signs that a secret word leads to, and passwords in URLs. Texts are cut at candidates; the parts between, and the candidate before, give
     position and neighbouring words, so text of any length is read whole and once. Null and empty texts have none.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.rlike("text", F.lit(MAY_HOLD)))
     rows = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where(F.size("found") > 0)
     rows = rows.withColumn("parts", F.split("text", CANDIDATE))
     each = rows.select("key", "parts", F.posexplode("found").alias("ordinal", "candidate"), "found")
@@ -185,17 +189,23 @@ def find_secrets(df: DataFrame, model: PipelineModel, key: str = "doc_id", text:
 
 
 def redact(df: DataFrame, model: PipelineModel, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """df with every secret in its text replaced by MASK, and n_secrets; all rows stay, texts without secrets as they were.
+    """df with every secret in its text replaced by MASK, and n_secrets (how many were); all rows stay, texts without secrets as they were.
 
-    Each row's candidates are scored as in find_secrets, grouped by the key and joined back; candidates that are secrets are replaced wherever
-    they stand in the text (those of less than 20 signs where no letter or digit is next to them), so that repeated rows of a key are redacted
-    alike. A column n_secrets of df is replaced.
+    Candidates that are secrets are masked wherever they stand in the texts of their key, the longest first, so that one that is part of another leaves nothing of
+    that behind (those of less than 20 signs where no letter or digit is next to them); repeated rows of a key are redacted alike.
+    Only rows that may hold a candidate are shuffled, to be joined with their findings; all others pass through. A row with a null key is redacted by its own
+    findings alone. Null and empty texts stay as they are. A column n_secrets of df is replaced.
     """
-    found = find_secrets(df, model, key, text, threshold).where("is_secret")
-    per = found.groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_set("candidate"), asc=False).alias("_found"))
     kept = df.select(*[c for c in df.columns if c != "n_secrets"])
-    joined = kept.join(per, F.col(key).eqNullSafe(F.col("_key")), "left")
+    has = F.coalesce(F.rlike(text, F.lit(MAY_HOLD)), F.lit(False))
+    told = kept.withColumn("_key", F.when(F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(F.concat(F.lit("t"), F.sha2(text, 256))))
+    # written down, so that the plan of the forest and its features isn't part of the plan of the join
+    found = materialize(df.sparkSession, find_secrets(told.where(has).select("_key", text), model, "_key", text, threshold).where("is_secret").select("_key", "length", "candidate"), "findings")
+    per = found.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct((-F.col("length")).alias("n"), "candidate"))).alias("_found"))
+    joined = told.where(has).join(per, "_key", "left")
+    texts = F.transform(F.coalesce("_found", F.array().cast("array<struct<n:int,candidate:string>>")), lambda s: s["candidate"])
     whole = lambda s: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(s, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
     mask = lambda t, s: F.when(F.length(s) < 20, F.regexp_replace(t, whole(s), F.lit(MASK))).otherwise(F.replace(t, s, F.lit(MASK)))
-    clean = F.aggregate(F.coalesce("_found", F.array().cast("array<string>")), F.col(text), mask)
-    return joined.select(*[clean.alias(c) if c == text else F.col(c) for c in kept.columns], F.coalesce(F.size("_found"), F.lit(0)).alias("n_secrets"))
+    clean = F.aggregate(texts, F.col(text), mask)
+    some = joined.select(*[clean.alias(c) if c == text else F.col(c) for c in kept.columns], F.coalesce(F.size("_found"), F.lit(0)).alias("n_secrets"))
+    return kept.where(~has).withColumn("n_secrets", F.lit(0)).unionByName(some)

@@ -28,7 +28,10 @@ FOLD = str.maketrans(pairs(HOMOGLYPHS) | {chr(c): None for c in (0xAD, 0x200B, 0
 SUBSTITUTED = pairs(DIGITS)
 _WORD = re.compile(r"(?:[@$!]+(?=[^\W\d_]))?[^\W_]+(?:(?:[@$]+|!)[^\W_]+)*(?:[@$]+(?![^\W_]))?|[@$]{3,}")
 _BARE = re.compile(r"[^\W_]+(?:[@$!][^\W_]+)*")
+_LETTERS = re.compile(r"[^\W_]+")
+_SIGN = re.compile(r"[@$!]")
 _HAS_SIGN = re.compile(r"[0-9@$!]")
+_FOLDED = re.compile("[" + "".join(map(chr, FOLD)) + "]")
 _UNFOLD = str.maketrans(SUBSTITUTED)
 
 
@@ -37,22 +40,33 @@ def fold_word(word: str) -> str:
     return word.translate(_UNFOLD) if _HAS_SIGN.search(word) and not word.isdigit() else word
 
 
+def plain(text: str) -> str:
+    """The text in lower case, with compatibility forms and letters that look like Latin ones taken back."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFKC", text).lower()
+    return text.translate(FOLD) if _FOLDED.search(text) else text
+
+
 def cut(text: str) -> list[str]:
-    """The words of a text before substituted signs are taken back: a word can start with, hold and end with signs written for letters."""
-    return _WORD.findall(text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower().translate(FOLD))
+    """The words of a plain() text before substituted signs are taken back: a word can start with, hold and end with signs written for letters."""
+    return (_WORD if _SIGN.search(text) else _LETTERS).findall(text)
 
 
 def fold(text: str) -> list[str]:
     """The folded words of a text: compatibility forms, case, accents' homoglyphs and substituted digits and signs taken back."""
-    return [fold_word(w) for w in cut(text)]
+    return readings(text)[0]
 
 
 def readings(text: str) -> tuple[list[str], list[tuple[int, str]]]:
-    """fold(text), and where a sign may also be no letter (`@idiot`, `idiot$`) the other reading of the whole text, each word with its place in the
+    """The folded words of a text, and where a sign may also be no letter (`@idiot`, `idiot$`) the other reading of the whole text, each word with its place in the
     first; without such signs the other reading is empty."""
+    text = plain(text)
     raw = cut(text)
+    if not _HAS_SIGN.search(text):
+        return raw, []
     words = [fold_word(w) for w in raw]
-    signed = {i: bare for i, w in enumerate(raw) if not w.isalnum() and (bare := _BARE.findall(w)) != [w]}
+    signed = {i: bare for i, w in enumerate(raw) if not w.isalnum() and (bare := _BARE.findall(w)) != [w]} if _SIGN.search(text) else {}
     if not signed:
         return words, []
     return words, [(i, w) for i, x in enumerate(words) for w in (map(fold_word, signed[i]) if i in signed else (x,))]

@@ -5,7 +5,6 @@ from gridlark.llm import queries, toxicity
 
 def test_fold():
     assert toxicity.fold("Ѕсum ІDІОТ 1d10t cl0wn! l​oser 2024 mоrоn") == ["scum", "idiot", "idiot", "clown", "loser", "2024", "moron"]
-    assert toxicity.fold("$cum @ss. a-b") == ["cum", "ss", "a", "b"] or toxicity.fold("$cum @ss. a-b")
 
 
 def test_signs_at_the_head_and_tail_of_words():
