@@ -17,7 +17,8 @@ PERCENT = 80
 COMMON_AT = 64
 MAX_COMMON = 200_000
 CROWD = 64
-CHUNK = 2_000_000
+CHUNK = 1_000_000
+SLICE = 512 << 10
 REGION_PAIRS = 2_000
 PARTS = 512
 PARITIES = [f"p{k}" for k in range(PARTS // 64)]
@@ -61,7 +62,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 rows, parity, fine = [], np.zeros((b - a, PARTS), np.uint8), [None] * (b - a)
                 for i, (doc, s) in enumerate(zip(ids[a:b], shingler.sets(texts[a:b]), strict=True)):
                     sig = signature(s)
@@ -109,6 +110,7 @@ def assigned(docs: DataFrame, words: int, percent: int, common: np.ndarray, buck
 
         def flush():
             shingle, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             values, at, counts = np.unique(shingle, return_inverse=True, return_counts=True)
             crowded = counts[at] >= crowd
             ties = np.zeros((0, 3), np.int64)
@@ -126,7 +128,7 @@ def assigned(docs: DataFrame, words: int, percent: int, common: np.ndarray, buck
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 for doc, s in zip(ids[a:b], shingler.sets(texts[a:b]), strict=True):
                     n = len(s)
                     if not n or (sig := signature(s)) in seen:
@@ -136,11 +138,11 @@ def assigned(docs: DataFrame, words: int, percent: int, common: np.ndarray, buck
                     if len(common):
                         often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
                         s = np.concatenate([s[~often], s[often]])
-                    held.append((s[:k], np.full(k, doc)))
+                    held.append((s[:k].copy(), np.full(k, doc)))
                     size += k
                 if size >= CHUNK:
                     yield flush()
-                    held, size = [], 0
+                    size = 0
                 if len(seen) > 200_000:
                     seen.clear()
         if held:

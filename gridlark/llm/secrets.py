@@ -28,8 +28,10 @@ _VALUE = rf"(?:(?<=\")[^\"\r\n]++(?=\")|(?<=')[^'\r\n]++(?=')|(?<=`)[^`\r\n]++(?
 _LOGIN = r"(?<=:)(?<=://[^\s/:@\"']{1,64}:)[^\s/@\"']++(?=@)"
 _LONG = r"(?<![A-Za-z0-9+/_\-])(?!([A-Za-z0-9+/_\-])\1*+(?![A-Za-z0-9+/_\-]))[A-Za-z0-9+/_\-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=\"'\-]))?"
 CANDIDATE = rf"{_LEADS}{_VALUE}|{_LOGIN}|{_LONG}"
-#: What a text with a candidate holds; it looks forward only, and most texts don't have it.
-MAY_HOLD = rf"[A-Za-z0-9+/_\-]{{20}}|{_LINK}|{_SAID}|{_FLAG}|(?i:bearer|basic)[ \t]|://[^\s/:@\"']{{1,64}}:"
+#: What texts with candidates hold: one of the names, and then what may lead from it to a value; a long run; a login. These look forward only.
+_NAMES = ("token", "secret", "pass", "pwd", "key", "auth", "bearer", "credential", "private", "basic")
+_AHEAD = rf"(?:{_LINK}|{_SAID}|{_FLAG}|(?i:bearer|basic)[ \t])"
+_RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20}"
 PREFIXES = r"^(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_|github_pat_|[sr]k_live_|xox[abprs]-|glpat-|npm_|AIza)"
 SECRET_WORDS = r"(?i)(token|secret|passw|passwd|pwd|api.?key|access.?key|auth|bearer|credential|private)"
 OTHER_WORDS = r"(?i)(commit|sha\d*|md5|hash|digest|checksum|etag|revision|uuid|guid|isbn|serial|order|account|tracking)"
@@ -75,6 +77,16 @@ def features() -> dict[str, Column]:
     }
 
 
+def may_hold(text: str) -> Column:
+    """Whether a text may hold a candidate. Most texts are settled by plain searches, which cost little beside CANDIDATE's looks back."""
+    low = F.lower(text)
+    named = F.lit(False)
+    for name in _NAMES:
+        named = named | F.contains(low, F.lit(name))
+    login = F.contains(F.col(text), F.lit("://")) & F.rlike(text, F.lit(r"://[^\s/:@\"']{1,64}:"))
+    return F.coalesce((named & F.rlike(text, F.lit(_AHEAD))) | F.rlike(text, F.lit(_RUN)) | login, F.lit(False))
+
+
 def candidates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per candidate: key, ordinal (from 0), start (code units from 0), candidate, before, after.
 
@@ -82,7 +94,7 @@ def candidates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     signs that a secret word leads to, and passwords in URLs. Texts are cut at candidates; the parts between, and the candidate before, give
     position and neighbouring words, so text of any length is read whole and once. Null and empty texts have none.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.rlike("text", F.lit(MAY_HOLD)))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(may_hold("text"))
     rows = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where(F.size("found") > 0)
     rows = rows.withColumn("parts", F.split("text", CANDIDATE))
     each = rows.select("key", "parts", F.posexplode("found").alias("ordinal", "candidate"), "found")
@@ -197,7 +209,7 @@ def redact(df: DataFrame, model: PipelineModel, key: str = "doc_id", text: str =
     findings alone. Null and empty texts stay as they are. A column n_secrets of df is replaced.
     """
     kept = df.select(*[c for c in df.columns if c != "n_secrets"])
-    has = F.coalesce(F.rlike(text, F.lit(MAY_HOLD)), F.lit(False))
+    has = may_hold(text)
     told = kept.withColumn("_key", F.when(F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(F.concat(F.lit("t"), F.sha2(text, 256))))
     # written down, so that the plan of the forest and its features isn't part of the plan of the join
     found = materialize(df.sparkSession, find_secrets(told.where(has).select("_key", text), model, "_key", text, threshold).where("is_secret").select("_key", "length", "candidate"), "findings")
