@@ -182,6 +182,8 @@ def labelled(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
 
 def train(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int = 7) -> PipelineModel:
     """A forest over FEATURES from labelled findings (candidate, before, after, label); at most TRAIN_ROWS of them come from labelled()."""
+    # findings are written down before features, whose expressions would else repeat the ones that make them many times over
+    findings = materialize(findings.sparkSession, findings, "labelled")
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
     rows = assemble.transform(findings.withColumns(features())).select("features", "label")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", subsamplingRate=0.8)
@@ -195,9 +197,14 @@ def find_secrets(df: DataFrame, model: PipelineModel, key: str = "doc_id", text:
     and empty texts, and texts without a candidate, give no rows; repeated rows and null keys give rows each. Other columns aren't read. No shuffle
     and no Python: expressions and a forest in the JVM.
     """
-    scored = model.transform(candidates(df, key, text).withColumns(features()))
+    return scored(candidates(df, key, text), model, key, threshold)
+
+
+def scored(held: DataFrame, model: PipelineModel, key: str, threshold: float) -> DataFrame:
+    """find_secrets for candidates()."""
+    probable = model.transform(held.withColumns(features()))
     score = F.round(vector_to_array("probability")[1], 6)
-    return scored.select(key, "ordinal", "start", F.length("candidate").alias("length"), "candidate", F.sha2("candidate", 256).alias("fingerprint"), score.alias("score"), (score >= threshold).alias("is_secret"))
+    return probable.select(key, "ordinal", "start", F.length("candidate").alias("length"), "candidate", F.sha2("candidate", 256).alias("fingerprint"), score.alias("score"), (score >= threshold).alias("is_secret"))
 
 
 def redact(df: DataFrame, model: PipelineModel, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -211,8 +218,9 @@ def redact(df: DataFrame, model: PipelineModel, key: str = "doc_id", text: str =
     kept = df.select(*[c for c in df.columns if c != "n_secrets"])
     has = may_hold(text)
     told = kept.withColumn("_key", F.when(F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(F.concat(F.lit("t"), F.sha2(text, 256))))
-    # written down, so that the plan of the forest and its features isn't part of the plan of the join
-    found = materialize(df.sparkSession, find_secrets(told.where(has).select("_key", text), model, "_key", text, threshold).where("is_secret").select("_key", "length", "candidate"), "findings")
+    # written down, so that the features and the forest aren't part of one plan with what makes the candidates and with the join
+    held = materialize(df.sparkSession, candidates(told.where(has).select("_key", text), "_key", text), "candidates")
+    found = scored(held, model, "_key", threshold).where("is_secret")
     per = found.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct((-F.col("length")).alias("n"), "candidate"))).alias("_found"))
     joined = told.where(has).join(per, "_key", "left")
     texts = F.transform(F.coalesce("_found", F.array().cast("array<struct<n:int,candidate:string>>")), lambda s: s["candidate"])
