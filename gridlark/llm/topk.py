@@ -96,7 +96,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5, key: str = "vec_id",
     Components count as floor(scale * component). Ties go to the smaller id; a row isn't its own neighbour: rows with a query's id are
     left out for it. Vectors that are null, empty, or hold a null or non-finite component take no part on either side; nor does a null id.
     Vectors of different lengths aren't compared. A query with fewer than k rows gets all of them. Repeated rows are candidates
-    each, and a query id that comes twice is answered as often.
+    each. Query ids are to be unique: the vectors of a repeated one share one answer of at most k rows, in which a row can come more than once.
 
     Fragment and replicate: queries are dealt into groups and rows into shares of a few blocks; every block of queries goes
     to each share and every block of rows to each group, so the work is even whatever the data. Within a pair of blocks,
