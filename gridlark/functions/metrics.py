@@ -13,7 +13,8 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-BUCKETS = 64
+BUCKET_ROWS = 1_000_000
+MOST_BUCKETS = 1024
 F1_STEPS = 60
 
 
@@ -22,18 +23,30 @@ def usable(scores: DataFrame) -> DataFrame:
     return scores.withColumn("s", F.nanvl(F.col("s").cast("double"), F.lit(None)) + F.lit(0.0)).where("y is not null and s is not null")
 
 
-def split_points(df: DataFrame, column: str, n: int) -> list[float]:
-    """At most n points that cut a column into about even parts: a bounded summary, only used to deal out work."""
-    probabilities = [i / (n + 1) for i in range(1, n + 1)]
-    found = df.agg(F.percentile_approx(column, F.array(*[F.lit(p) for p in probabilities]), F.lit(1000)).alias("q")).first().q
-    return sorted(set(found or []))
+def split_points(df: DataFrame, column: str, buckets: int | None = None) -> list[float]:
+    """Points that cut a column into about even parts, of BUCKET_ROWS rows unless `buckets` says how many, MOST_BUCKETS at most: a bounded summary, only
+    used to deal out work."""
+    grid = F.expr("array(" + ", ".join(f"{i / MOST_BUCKETS!r}D" for i in range(1, MOST_BUCKETS)) + ")")
+    told = df.agg(F.percentile_approx(column, grid, F.lit(4 * MOST_BUCKETS)).alias("q"), F.count(column).alias("n")).first()
+    n = min(MOST_BUCKETS, max(1, -(-told.n // BUCKET_ROWS) if buckets is None else buckets))
+    return sorted({told.q[i * MOST_BUCKETS // n - 1] for i in range(1, n)}) if told.n else []
 
 
-def curve(scores: DataFrame, by: list[str], buckets: int = BUCKETS) -> DataFrame:
+def place(points: list, kind: str, c: Column) -> Column:
+    """How many of the sorted points are c or less. Many points are searched in two steps, of about the root of their number each."""
+    array = lambda xs: F.array(*[F.lit(x) for x in xs]).cast(f"array<{kind}>")
+    below = lambda xs: F.size(F.filter(xs, lambda p: p <= c))
+    if len(points) <= 32:
+        return below(array(points))
+    step = math.isqrt(len(points))
+    whole = below(array(points[step - 1 :: step])) * step
+    return whole + below(F.slice(array(points), whole + 1, F.lit(step)))
+
+
+def curve(scores: DataFrame, by: list[str], buckets: int | None = None) -> DataFrame:
     """Per cell and distinct score: pos, neg (rows with it), tp, fp (rows with it or a higher one), n_pos, n_neg (of the cell)."""
     rows = usable(scores)
-    points = split_points(rows, "s", buckets)
-    bucket = F.size(F.filter(F.array(*[F.lit(p) for p in points]).cast("array<double>"), lambda p: p <= F.col("s")))
+    bucket = place(split_points(rows, "s", buckets), "double", F.col("s"))
     each = rows.groupBy(*by, "s").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg")).withColumn("bucket", bucket)
     per = each.groupBy(*by, "bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     cell = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -44,7 +57,7 @@ def curve(scores: DataFrame, by: list[str], buckets: int = BUCKETS) -> DataFrame
     return each.withColumns({"ip": F.sum("pos").over(inside), "in": F.sum("neg").over(inside)}).join(carried, on).select(*by, "s", "pos", "neg", (F.col("ip") + F.col("cp")).alias("tp"), (F.col("in") + F.col("cn")).alias("fp"), "n_pos", "n_neg")
 
 
-def midranks(scores: DataFrame, by: list[str], buckets: int = BUCKETS) -> DataFrame:
+def midranks(scores: DataFrame, by: list[str], buckets: int | None = None) -> DataFrame:
     """scores with midrank: the average rank, from 1, of its score in its cell."""
     c = curve(scores, by, buckets).select(*by, "s", (F.col("n_pos") + F.col("n_neg") - F.col("tp") - F.col("fp") + (F.col("pos") + F.col("neg") + 1) / F.lit(2.0)).alias("midrank"))
     return usable(scores).join(c, [*by, "s"])
@@ -78,7 +91,7 @@ def grouped(c: DataFrame, by: list[str], *columns: Column) -> DataFrame:
     return c.groupBy(*by).agg(*columns) if by else c.agg(*columns)
 
 
-def precision_at(scores: DataFrame, by: list[str], share: float = 0.05, rounded: bool = False, buckets: int = BUCKETS, c: DataFrame | None = None) -> DataFrame:
+def precision_at(scores: DataFrame, by: list[str], share: float = 0.05, rounded: bool = False, buckets: int | None = None, c: DataFrame | None = None) -> DataFrame:
     """Per cell k and p_at_k: the share of positives among the k best rows, k = max(1, floor(share n)), or with `rounded` the nearest whole number,
     halves to even. Of rows tied at the k-th place, those with smaller ids count; only they are ranked by id."""
     c = curve(scores, by, buckets) if c is None else c
@@ -93,7 +106,7 @@ def precision_at(scores: DataFrame, by: list[str], share: float = 0.05, rounded:
     return grouped(picked, by, F.first("k").alias("k"), ((F.first("tp_above") + F.sum(F.col("y").cast("long"))) / F.first("k")).alias("p_at_k"))
 
 
-def ranking_metrics(scores: DataFrame, by: list[str], buckets: int = BUCKETS) -> DataFrame:
+def ranking_metrics(scores: DataFrame, by: list[str], buckets: int | None = None) -> DataFrame:
     """Per cell: n, n_pos, auc, ap, p_at_k, recall_at_fpr and f1_best. NaN for what needs both classes in a cell with one."""
     c = curve(scores, by, buckets)
     main = grouped(c, by, F.max(F.col("n_pos") + F.col("n_neg")).alias("n"), F.max("n_pos").alias("n_pos"), auc_of().alias("auc"), ap_of().alias("ap"), recall_at_fpr_of().alias("recall_at_fpr"), f1_of().alias("f1_best"))
@@ -101,7 +114,7 @@ def ranking_metrics(scores: DataFrame, by: list[str], buckets: int = BUCKETS) ->
     return main.join(top, by) if by else main.crossJoin(top)
 
 
-def quantiles(scores: DataFrame, probabilities: list[float], buckets: int = BUCKETS) -> list[float]:
+def quantiles(scores: DataFrame, probabilities: list[float], buckets: int | None = None) -> list[float]:
     """Exact quantiles of s with linear interpolation: only the rows that hold one of the wanted ranks reach the driver."""
     c = curve(scores, [], buckets).select("s", (F.col("n_pos") + F.col("n_neg")).alias("n"), (F.col("n_pos") + F.col("n_neg") - F.col("tp") - F.col("fp")).alias("below"), (F.col("pos") + F.col("neg")).alias("here"))
     n = c.agg(F.max("n")).first()[0] or 0
@@ -144,7 +157,7 @@ def two_sided_p(z: pd.Series) -> pd.Series:
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)))
 
 
-def delong(pairs: DataFrame, by: list[str], buckets: int = BUCKETS, with_p: bool = True) -> DataFrame:
+def delong(pairs: DataFrame, by: list[str], buckets: int | None = None, with_p: bool = True) -> DataFrame:
     """DeLong's paired test per cell. pairs: by, id, y, s_a, s_b. Columns auc_a, auc_b, delta (b - a), z (of a - b) and p.
 
     A variance of 0 or below gives z 0 and p 1; a cell with one class zeros and p 1. Rows lacking one of the scores take no part.

@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridlark.functions.expressions import RELATIONS, party_type
+from gridlark.functions.metrics import BUCKET_ROWS, MOST_BUCKETS, place
+from gridlark.sources.steps import written
 
 
-def dense_index(df: DataFrame, key: str, start: int = 0, buckets: int = 64, out: str = "node_idx") -> DataFrame:
-    """df with dense numbers from `start` in the order of a string key. Rows fall into buckets by their key's first characters, so that no task sorts
+SAMPLE = 32_768
+
+
+def key_points(df: DataFrame, key: str, buckets: int | None = None) -> list[str]:
+    """Keys that cut a string column into about even parts, from the SAMPLE rows with the smallest hashes of their keys. How far these hashes reach tells
+    how many rows there are, so that a part has about BUCKET_ROWS of them."""
+    rows = df.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(key).alias("k")).orderBy("h").limit(SAMPLE).collect()
+    if not rows:
+        return []
+    n = len(rows) if len(rows) < SAMPLE else SAMPLE * 2**64 // (rows[-1].h + 2**63 + 1)
+    parts = min(MOST_BUCKETS, max(1, -(-n // BUCKET_ROWS)) if buckets is None else buckets)
+    keys = sorted({r.k for r in rows})
+    return sorted({keys[i * len(keys) // parts] for i in range(1, parts)})
+
+
+def dense_index(df: DataFrame, key: str, start: int = 0, buckets: int | None = None, out: str = "node_idx") -> DataFrame:
+    """df with dense numbers from `start` in the order of a string key. Rows fall into buckets between sampled keys, so that no task sorts
     more than a bucket; the buckets' sizes are carried over. Rows of equal keys are numbered in any order."""
-    points = [r.p for r in df.groupBy(F.substring(key, 1, 5).alias("p")).count().orderBy(F.desc("count"), "p").limit(buckets).collect() if r.p is not None]
-    bucket = F.size(F.filter(F.array(*[F.lit(p) for p in points]).cast("array<string>"), lambda p: p <= F.col(key)))
+    bucket = F.coalesce(place(key_points(df, key, buckets), "string", F.col(key)), F.lit(0))
     rows = df.withColumn("_b", bucket)
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -187,7 +203,7 @@ def walks(graph: DataFrame, starts: DataFrame, steps: int, step_of) -> DataFrame
         path = F.when(F.col("next").isNotNull(), F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path")
         at = at.select("start", "walk", F.coalesce("next", "node").alias("node"), path, F.when(F.col("next").isNotNull(), F.col("next_deg")).otherwise(F.col("deg")).alias("deg"))
         if i % CUT_STEPS == CUT_STEPS - 1:
-            at = at.localCheckpoint()
+            at = written(at, "walks")
     return at.select("start", "walk", "path")
 
 
