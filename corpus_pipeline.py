@@ -14,6 +14,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.5. The lexicon is learned from labelled documents that aren't held out. Null and empty texts have no match and get the
     lexicon's offset; repeated rows and null keys are judged each; an empty table stays empty. Columns other than those of documents are dropped."""
     lexicon = queries.toxicity_lexicon(spark, docs, sf_dir)
+    discard(spark)
     return toxicity.score(docs.select(*COLUMNS), lexicon).where("predicted = 0").select(*COLUMNS)
 
 
@@ -29,12 +30,14 @@ def drop_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts masked and n_chars counted anew where that changed the text. Null and empty texts and rows without secrets stay as they are,
     also repeated ones; a row with a null key is masked by its own findings; an empty table stays empty."""
+    discard(spark)
     clean = secrets.redact(docs.select(*COLUMNS), queries.secret_model(spark))
     return clean.withColumn("n_chars", F.when(F.col("n_secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents. A null text counts as empty; repeated rows and null keys are packed each; an empty table gives no piece."""
+    discard(spark)
     return packing.pack(docs.select("doc_id", "text"), queries.vocabulary(queries.BYTE_BPE)).drop("ids")
 
 

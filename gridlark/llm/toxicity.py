@@ -139,14 +139,14 @@ class Matcher:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), n
 
 
-def logistic(points: list[tuple[float, int]], steps: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic curve by Newton's method, with a small ridge; slope 0 or more."""
+def logistic(points: list[tuple[float, int, int]], steps: int = 50) -> tuple[float, float]:
+    """Slope and offset of a logistic curve through points (x, y, how often) by Newton's method, with a small ridge; slope 0 or more."""
     a = b = 0.0
     for _ in range(steps):
         g0, g1, h00, h01, h11 = 1e-3 * a, 0.0, 1e-3, 0.0, 1e-6
-        for x, y in points:
+        for x, y, n in points:
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a * x + b))))
-            d, w = p - y, max(p * (1 - p), 1e-9)
+            d, w = n * (p - y), n * max(p * (1 - p), 1e-9)
             g0, g1, h00, h01, h11 = g0 + d * x, g1 + d, h00 + w * x * x, h01 + w * x, h11 + w
         det = h00 * h11 - h01 * h01
         if abs(det) < 1e-12:
@@ -200,8 +200,9 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "d
     counted = {r.term: (r.w, r.p) for r in words.orderBy(F.desc("p"), F.desc("w"), "term").collect()}
     weights = {t: w for t, (w, _) in counted.items() if w > 2}
     if counted:
-        parts = F.split("term", " ")
-        near = terms.where(F.contains("term", F.lit(" ")) & (parts[0].isin(list(counted)) | parts[1].isin(list(counted)))).where("q >= 3 and q >= 9 * p")
+        # a join, as a condition that lists the words would make plans the driver can't hold
+        pairs = terms.where(F.contains("term", F.lit(" "))).where("q >= 3 and q >= 9 * p").withColumn("word", F.explode(F.split("term", " ")))
+        near = pairs.join(F.broadcast(spark.createDataFrame([(t,) for t in counted], "word string")), "word", "left_semi").select("term", "q").distinct()
         learned = [r.term for r in near.orderBy(F.desc("q"), "term").collect()]
         held = {w for t in learned for w in t.split(" ")}
         doubtful = {t: 1.0 for t in counted if t not in weights and t in held}
@@ -236,7 +237,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "d
             found = [m.weight(*readings(t))[0] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([round(x, 3) for x in found], pa.float64())], names=["y", "x"])
 
-    points = [(r.x, r.y) for r in rows.mapInArrow(weigh, "y int, x double").collect()]
+    points = [(r.x, r.y, r.n) for r in rows.mapInArrow(weigh, "y int, x double").groupBy("x", "y").agg(F.count("*").alias("n")).orderBy("x", "y").collect()]
     slope, offset = logistic(points)
     return Lexicon(weights, exceptions, slope, offset)
 
