@@ -408,8 +408,10 @@ def divided(spark: SparkSession, mixed: DataFrame, checked: DataFrame, points: D
     """
     large = mixed.where("large")
     second = large.where("not main").groupBy("region").agg(F.min("doc").alias("second"))
-    of = large.join(second, F.col("doc") == F.col("second"), "left_semi").select(F.col("doc").alias("second"), F.struct("n", *PARITIES).alias("q")).distinct()
-    rows = spread_join(large.withColumn("d", F.struct("n", *PARITIES)), second, ["region"], "doc").join(of, "second")
+    of = points.join(second.select(F.col("second").alias("doc")).distinct(), "doc", "left_semi").select(F.col("doc").alias("second"), F.struct("n", *PARITIES).alias("q"))
+    # many regions can have the same second pivot, and a region many documents
+    second = spread_join(second, of, ["second"], "region")
+    rows = spread_join(large.withColumn("d", F.struct("n", *PARITIES)), second, ["region"], "doc")
     written = rows = materialize(spark, rows.withColumn("differ", least_difference("d", "q")).withColumn("nq", F.col("q.n")).drop("d", "q", *PARITIES), "seconds")
     pair = [F.least("second", "doc").alias("a"), F.greatest("second", "doc").alias("b")]
     near = rows.where(may_link(F.col("differ"), F.col("n"), F.col("nq"), percent) & F.expr("second <> doc")).select(*pair).distinct()
