@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -27,7 +29,7 @@ def statistics(x: np.ndarray, parts: int) -> np.ndarray:
 
 
 def nearest(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int, levels: tuple = LEVELS):
-    """For each query its k rows with the highest inner product, not itself: (query id, id, score), ties to smaller ids.
+    """For each query its k rows with the highest inner product, not itself: (place of the query, id, score), ties to smaller ids.
 
     A query's distance to a row is |q|^2 + |x|^2 - 2 q.x; with the norms known, a lower bound of the distance is an upper bound
     of q.x. Coarse levels rule rows out for a query when their bound is under its k-th best exact score so
@@ -53,15 +55,15 @@ def nearest(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k:
             left = left[b + SLACK * (1 + np.abs(b)) >= least]
         score = x[left] @ q[i]
         top = left[np.lexsort((x_id[left], -score))[:k]]
-        out += [(q_id[i], x_id[j], int(x[j] @ q[i])) for j in top]
+        out += [(i, x_id[j], int(x[j] @ q[i])) for j in top]
     return out
 
 
 def blocks(df: DataFrame, vec: str, key: str, rows: int, scale: int) -> DataFrame:
-    """df's usable vectors as blocks (n, dim, ids, data) of up to `rows` rows of 64-bit integers floor(scale * component)."""
+    """df's usable vectors as blocks (dim, width, ids, data) of up to `rows` rows of integers floor(scale * component), of the fewest bytes (2, 4 or 8) that hold a block."""
     usable = df.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
     usable = usable.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))))
-    schema = "dim int, ids binary, data binary"
+    schema = "dim int, width int, ids binary, data binary"
 
     def run(batches):
         held: dict[int, list] = {}
@@ -69,7 +71,11 @@ def blocks(df: DataFrame, vec: str, key: str, rows: int, scale: int) -> DataFram
         def packed(dim: int):
             ids, data = (np.concatenate([p[i] for p in held[dim]]) for i in (0, 1))
             held[dim] = []
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()]), pa.array([data.tobytes()])], names=["dim", "ids", "data"])
+            most = np.abs(data).max()
+            if most >= 2.0**62:
+                raise ValueError(f"a vector's component times {scale} doesn't fit 64-bit integers")
+            width = next(w for w in (2, 4, 8) if most < 2.0 ** (8 * w - 1))
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([width], pa.int32()), pa.array([ids.tobytes()]), pa.array([data.astype(f"<i{width}").tobytes()])], names=["dim", "width", "ids", "data"])
 
         for batch in batches:
             for a in range(0, batch.num_rows, rows):
@@ -81,7 +87,7 @@ def blocks(df: DataFrame, vec: str, key: str, rows: int, scale: int) -> DataFram
                 for dim in np.unique(size).tolist():
                     mine = np.flatnonzero(size == dim)
                     at = (ends[mine] - dim)[:, None] + np.arange(dim)
-                    held.setdefault(dim, []).append((ids[mine].astype("<i8"), np.floor(flat[at] * scale).astype("<i8")))
+                    held.setdefault(dim, []).append((ids[mine].astype("<i8"), np.floor(flat[at] * scale)))
                     if sum(len(p[0]) for p in held[dim]) >= rows:
                         yield packed(dim)
         for dim in [d for d in held if held[d]]:
@@ -96,11 +102,12 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5, key: str = "vec_id",
     Components count as floor(scale * component). Ties go to the smaller id; a row isn't its own neighbour: rows with a query's id are
     left out for it. Vectors that are null, empty, or hold a null or non-finite component take no part on either side; nor does a null id.
     Vectors of different lengths aren't compared. A query with fewer than k rows gets all of them. Repeated rows are candidates
-    each. Query ids are to be unique: the vectors of a repeated one share one answer of at most k rows, in which a row can come more than once.
+    each, and a repeated query id is answered as often, each time for its own vector. Components or products that don't fit 64-bit integers are an error.
 
     Fragment and replicate: queries are dealt into groups and rows into shares of a few blocks; every block of queries goes
     to each share and every block of rows to each group, so the work is even whatever the data. Within a pair of blocks,
-    segment statistics rule most rows out (see nearest). Only k rows per query leave a pair, and their merge is an aggregate.
+    segment statistics rule most rows out (see nearest). Only k rows per query leave a pair; they are merged in two levels, so that no list is longer than k times
+    the root of the number of shares.
     Two counts (of one column) set the number of groups and shares.
     """
     spark = queries.sparkSession
@@ -109,19 +116,28 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5, key: str = "vec_id",
     shares = max(1, -(-rows.count() // block_rows))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = blocks(queries, vec, key, block_rows, scale).select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), dealt("ids", groups).alias("g"))
-    q = q.withColumn("share", every(shares))
+    q = blocks(queries, vec, key, block_rows, scale).select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("width").alias("q_width"), dealt("ids", groups).alias("g"))
+    q = q.withColumn("block", F.monotonically_increasing_id()).withColumn("share", every(shares))
     x = blocks(rows, vec, key, block_rows, scale).withColumn("share", dealt("ids", shares)).withColumn("g", every(groups))
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                shape = (-1, r["dim"])
-                found = nearest(np.frombuffer(r["q_data"], "<i8").reshape(shape), np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["data"], "<i8").reshape(shape), np.frombuffer(r["ids"], "<i8"), k)
-                cols = list(zip(*found, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in cols], names=["query_id", "vec_id", "score"])
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                mine, theirs = (np.frombuffer(r[c], f"<i{r[w]}").astype(np.int64).reshape(-1, r["dim"]) for c, w in (("q_data", "q_width"), ("data", "width")))
+                if r["dim"] * float(np.abs(mine).max()) * float(np.abs(theirs).max()) >= 2.0**63:
+                    raise ValueError("inner products don't fit 64-bit integers")
+                q_id = np.frombuffer(r["q_ids"], "<i8")
+                found = nearest(mine, q_id, theirs, np.frombuffer(r["ids"], "<i8"), k)
+                at, ids, scores = (np.array(c, np.int64) for c in (list(zip(*found, strict=True)) or [(), (), ()]))
+                same = lambda c: pa.array(np.full(len(at), r[c], np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(q_id[at]), same("block"), pa.array(at), same("share"), pa.array(ids), pa.array(scores)], names=["query_id", "block", "place", "share", "vec_id", "score"])
 
     pairs = x.join(q, ["g", "share", "dim"])
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
+    found = pairs.mapInArrow(run, "query_id long, block long, place long, share long, vec_id long, score long")
+    query = ["query_id", "block", "place"]
+    top = lambda c: F.slice(F.array_sort(c), 1, k).alias("best")
+    part = F.pmod("share", F.lit(math.isqrt(shares) + 1)).alias("part")
+    some = found.groupBy(*query, part).agg(top(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))))
+    best = some.groupBy(*query).agg(top(F.flatten(F.collect_list("best"))))
     return best.select("query_id", F.posexplode("best").alias("p", "b")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))

@@ -40,3 +40,23 @@ def test_bounds_hold_at_each_level():
         assert last is None or (bound <= last + 1e-9).all()
         last = bound
     assert last == pytest.approx(q @ x.T)
+
+
+@pytest.mark.parametrize("block_rows", [2, 4096])
+def test_a_repeated_query_id_is_answered_for_each_of_its_vectors(spark, block_rows):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (100, [1.0, 1.0]), *[(i, [float(i), -float(i)]) for i in range(1, 9)]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = sorted(tuple(r)[1:] for r in topk.top_k(df.where("vec_id = 50"), df, block_rows=block_rows).collect())
+    first = [(r, 9 - r, 65536 * (9 - r)) for r in range(1, 6)]
+    other = [(1, 100, 65536), *[(r, r - 1, -65536 * (r - 1)) for r in range(2, 6)]]
+    assert out == sorted(first + other * 2)
+
+
+def test_wide_components(spark):
+    rows = [(0, [2.0**20, 1.0]), (1, [2.0**21, 3.0]), (2, [1.0, 1.0]), (3, [-(2.0**21), 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = [tuple(r) for r in topk.top_k(df.where("vec_id = 0"), df).orderBy("rank").collect()]
+    assert out == [(0, 1, 1, 2**57 + 3 * 65536), (0, 2, 2, 2**36 + 65536), (0, 3, 3, -(2**57))]
+    huge = spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64-bit"):
+        topk.top_k(huge.where("vec_id = 0"), huge).collect()
