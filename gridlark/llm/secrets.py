@@ -13,6 +13,7 @@ from gridlark.llm.common import materialize
 TRAIN_ROWS = 6_000
 CONTEXT = 48
 CASES = 28
+STRIDE = 256
 MASK = "[SECRET]"
 
 # Words and links before a value, what a candidate is made of, words that go with secrets and with other long strings, and common words in code.
@@ -97,16 +98,22 @@ def candidates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(may_hold("text"))
     rows = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where(F.size("found") > 0)
     rows = rows.withColumn("parts", F.split("text", CANDIDATE))
-    each = rows.select("key", "parts", F.posexplode("found").alias("ordinal", "candidate"), "found")
-    before = F.element_at("parts", F.col("ordinal") + 1)
-    # The name of a value can be a candidate itself.
-    before = F.when(F.col("ordinal") > 0, F.concat(F.element_at("parts", F.greatest("ordinal", F.lit(1))), F.element_at("found", F.greatest("ordinal", F.lit(1))), before)).otherwise(before)
-    passed = F.aggregate(F.slice("parts", F.lit(1), F.col("ordinal") + 1), F.lit(0), lambda n, x: n + F.length(x))
-    ahead = F.aggregate(F.slice("found", F.lit(1), F.col("ordinal")), F.lit(0), lambda n, x: n + F.length(x))
-    return each.select(
-        F.col("key").alias(key), "ordinal", (passed + ahead).alias("start"), "candidate",
-        F.right(before, F.lit(CONTEXT)).alias("before"), F.left(F.element_at("parts", F.col("ordinal") + 2), F.lit(CONTEXT)).alias("after"),
-    )
+    rows = rows.withColumn("lengths", F.zip_with("parts", "found", lambda p, c: F.length(p) + F.coalesce(F.length(c), F.lit(0))))
+    total = lambda first, n: F.aggregate(F.slice("lengths", first + 1, n), F.lit(0), lambda t, x: t + x)
+
+    def one(c: Column, i: Column) -> Column:
+        block = F.floor(i / STRIDE).cast("int")
+        # The name of a value can be a candidate itself.
+        last = F.right(F.get("parts", i), F.lit(CONTEXT))
+        before = F.when(i > 0, F.concat(F.right(F.get("parts", i - 1), F.lit(CONTEXT)), F.right(F.get("found", i - 1), F.lit(CONTEXT)), last)).otherwise(last)
+        start = F.coalesce(F.get("bases", block), F.lit(0)) + total(block * STRIDE, i - block * STRIDE) + F.length(F.get("parts", i))
+        return F.struct(start.alias("start"), c.alias("candidate"), F.right(before, F.lit(CONTEXT)).alias("before"), F.left(F.get("parts", i + 1), F.lit(CONTEXT)).alias("after"))
+
+    # lengths are summed in two levels, and only small structs leave the array: neither work nor memory is text times candidates
+    blocks = F.sequence(F.lit(0), F.floor((F.size("found") - 1) / STRIDE).cast("int"))
+    rows = rows.withColumn("bases", F.transform(blocks, lambda j: total(F.lit(0), j * STRIDE)))
+    each = rows.select("key", F.posexplode(F.transform("found", one)).alias("ordinal", "c"))
+    return each.select(F.col("key").alias(key), "ordinal", "c.start", "c.candidate", "c.before", "c.after")
 
 
 def labelled(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:

@@ -85,3 +85,15 @@ def test_plan_is_native(spark, model):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = secrets.find_secrets(df, model)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_many_candidates_in_one_text(spark):
+    import hashlib
+
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(3000)]
+    text = " größe ".join(keys)
+    got = secrets.candidates(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).orderBy("ordinal").collect()
+    assert [r.candidate for r in got] == keys and [r.ordinal for r in got] == list(range(3000))
+    for i, r in enumerate(got):
+        start = i * 47
+        assert r.start == start and r.before == text[max(0, start - 48) : start] and r.after == (" größe " if i < 2999 else "")
