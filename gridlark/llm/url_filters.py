@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -35,6 +36,14 @@ def index_rules(rules: list[tuple[str, str]]) -> dict[str, list[dict]]:
     return index
 
 
+def by_bucket(index: dict[str, list[dict]]) -> list[list[dict]]:
+    """The index as a hash table: the rules of a token lie in bucket crc32(token) mod the number of buckets, which is that of the tokens."""
+    buckets: list[list[dict]] = [[] for _ in range(max(1, len(index)))]
+    for token, rules in index.items():
+        buckets[zlib.crc32(token.encode()) % len(buckets)] += [{"token": token} | r for r in rules]
+    return buckets
+
+
 def java_quote(text: str) -> str:
     return re.sub(r"([\\^$.|?*+()\[\]{}\-/])", r"\\\1", text) if text else ""
 
@@ -65,12 +74,12 @@ def filter_urls(df: DataFrame, url: str = "url", rules: list[tuple[str, str]] |
     """
     kept = df.select(*[c for c in df.columns if c not in ("host", "path", "rule", "verdict")])
     index = index_rules(RULES if rules is None else rules)
-    kind = "array<struct<rule:string,verdict:string,pattern:string>>"
-    filed = F.from_json(F.lit(json.dumps(index)), f"map<string,{kind}>")
+    kind = "array<struct<token:string,rule:string,verdict:string,pattern:string>>"
+    filed = F.from_json(F.lit(json.dumps(buckets := by_bucket(index))), f"array<{kind}>")
     host, path = url_parts(F.col(url))
     marked = lambda parts, mark: F.transform(parts, lambda x: F.concat(F.lit(mark), x))
     tokens = F.array_distinct(F.concat(F.array(F.lit("")), marked(F.split("host", r"\."), "h:"), marked(F.split("path", "/"), "p:")))
-    fetched = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(filed, t), F.array().cast(kind))))
+    fetched = F.flatten(F.transform(tokens, lambda t: F.filter(F.get(filed, (F.crc32(t) % len(buckets)).cast("int")), lambda r: r["token"] == t)))
     subject = F.concat("host", "path")
     fits = F.filter("_candidates", lambda r: F.regexp_like(subject, r["pattern"]))
     # the largest of (length, block before allow, earlier rule)

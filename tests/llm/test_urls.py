@@ -47,3 +47,12 @@ def test_each_rule_is_filed_once_under_its_rarest_token():
 def test_plan_is_native(spark):
     plan = u.filter_urls(spark.createDataFrame([("http://a.net/",)], "url string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_many_rules(spark):
+    rules = [("block", f"host{i}.example/part{i % 7}/") for i in range(50_000)]
+    buckets = u.by_bucket(u.index_rules(rules))
+    assert sum(map(len, buckets)) == len(rules) and max(map(len, buckets)) < 50
+    rows = [(i, f"https://www.host{k}.example/part{p}/x") for i, (k, p) in enumerate([(0, 0), (49_999, 49_999 % 7), (12_345, 12_345 % 7), (12_345, (12_345 + 1) % 7), (50_000, 0)])]
+    out = u.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).orderBy("page_id").collect()
+    assert [r.verdict for r in out] == ["block", "block", "block", "allow", "allow"]
