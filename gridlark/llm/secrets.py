@@ -124,23 +124,26 @@ def labelled(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
     secret.
     """
     i = F.col("id")
-    hexed = F.sha2(F.concat(i.cast("string"), F.lit("a")), 256)
-    b64 = F.translate(F.base64(F.unhex(F.sha2(F.concat(i.cast("string"), F.lit("b")), 512))), "\r\n", "")
-    alnum = F.translate(b64, "+/=", "xY0")
-    digits = F.translate(hexed, "abcdef", "012345")
     pick = lambda *xs: F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs]), (F.floor(i / CASES) % len(xs) + 1).cast("int"))
     cut = lambda c, n: F.substring(c, 1, n)
     cased = lambda c: F.when(F.floor(i / 7) % 4 == 0, F.upper(c)).otherwise(c)
-    word = pick("token", "secret", "api_key", "access_key", "password", "auth", "TOKEN", "client_secret", "passwd", "credential", "private_key")
-    noise = pick("", "!!", "###", "***", "$$$", "%%%", "&&&", "")
-    glue = pick(" = \"", "=\"", ": \"", "=", ": ", " = '", " =\"", ":\"")
-    tail = pick("\"", "\" and the", "\";", " ", "\" |", "' ", "\"!!", "\",")
-    plain = pick("the order of things and ", "see page ", "of that for ", "und der auf ", "que de los ", "dans les ", "is with the ")
-    named = pick("commit ", "sha256: ", "md5 = \"", "checksum=", "etag: \"", "revision ", "hash: ", "digest = \"")
+    # parts that many cases share are columns, not expressions written out in each case: plans stay small
+    seeds = spark.range(0, rows, 1, 1).withColumns({
+        "hexed": F.sha2(F.concat(i.cast("string"), F.lit("a")), 256),
+        "b64": F.translate(F.base64(F.unhex(F.sha2(F.concat(i.cast("string"), F.lit("b")), 512))), "\r\n", ""),
+        "word": pick("token", "secret", "api_key", "access_key", "password", "auth", "TOKEN", "client_secret", "passwd", "credential", "private_key"),
+        "noise": pick("", "!!", "###", "***", "$$$", "%%%", "&&&", ""),
+        "glue": pick(" = \"", "=\"", ": \"", "=", ": ", " = '", " =\"", ":\""),
+        "tail": pick("\"", "\" and the", "\";", " ", "\" |", "' ", "\"!!", "\","),
+        "plain": pick("the order of things and ", "see page ", "of that for ", "und der auf ", "que de los ", "dans les ", "is with the "),
+        "named": pick("commit ", "sha256: ", "md5 = \"", "checksum=", "etag: \"", "revision ", "hash: ", "digest = \""),
+    })
+    seeds = seeds.withColumns({"alnum": F.translate("b64", "+/=", "xY0"), "digits": F.translate("hexed", "abcdef", "012345")})
+    seeds = seeds.withColumn("letters", F.translate("alnum", "0123456789", "QwErTyUiOp"))
+    hexed, b64, word, noise, glue, tail, plain, named, alnum, digits, letters = (F.col(c) for c in seeds.columns[1:])
     words = F.concat(pick("release-notes", "example_file", "the-quick-brown-fox", "user/content/static", "article-title-index", "download/assets/image"), pick("-", "_", "/"), pick("version", "page", "data", "build"), cut(digits, 3), F.lit("-the-and-for-with"))
     uuid = F.concat_ws("-", cut(hexed, 8), F.substring(hexed, 9, 4), F.substring(hexed, 13, 4), F.substring(hexed, 17, 4), F.substring(hexed, 21, 12))
     holder = pick("your_api_key_goes_here_123", "xxxxxxxxxxxxxxxxxxxxxxxx1234", "EXAMPLE_TOKEN_CHANGE_ME_00", "insert-your-secret-here-0000", "test_test_test_test_test_1", "00000000000000000000000000")
-    letters = F.translate(alnum, "0123456789", "QwErTyUiOp")
     lead = F.concat(pick("password", "db_password", "DB_PASSWORD", "secret", "pwd", "passwd", "auth_token", "user.password", "passphrase", "api_key", "PASS"), glue)
     password = pick(
         F.concat(pick("S", "sun", "Ho", "tr0ub", "kX"), cut(alnum, 5), pick("!", "#", "$", "%", "@", "&", "^", "?", "*"), F.substring(alnum, 9, 4)), F.concat(pick("hunter", "dragon", "Winter", "letmein", "monkey"), cut(digits, 3)), cut(alnum, 12),
@@ -184,7 +187,7 @@ def labelled(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
     for k in reversed(range(len(cases))):
         y, c, before, after = cases[k]
         made = F.when(i % len(cases) == k, F.struct(F.lit(float(y)).alias("label"), c.alias("candidate"), F.concat(plain, before).alias("before"), F.concat(after, F.lit(" ")).alias("after"))).otherwise(made)
-    return spark.range(0, rows, 1, 1).select(made.alias("m")).select("m.*")
+    return seeds.select(made.alias("m")).select("m.*")
 
 
 def train(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int = 7) -> PipelineModel:
