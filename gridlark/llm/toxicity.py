@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from gridlark.llm.common import ship
 
 MAX_LABELLED = 50_000
 SURE = 3.0
+HELD_TERMS = 100_000
 
 # Letters that look like Latin ones, and digits and signs written for letters.
 HOMOGLYPHS = "аaвbеeкkмmнhоoрpсcтtуyхxіiјjѕsԁdԛqԝwɡgοoαaεeιiκkνvρpτtυuχxηnωwϲcһhӏlʟlıi"
@@ -174,36 +176,44 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "d
     chosen = chosen.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").orderBy(F.crc32(F.col("k").cast("string")), "k").limit(max_labelled).select("k", "y")
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), "k").select("y", "text")
 
-    def split(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                ys, terms = [], []
-                for y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    seen = set()
-                    words, other = readings(t)
-                    for ws in (words, [w for _, w in other]):
-                        seen |= set(ws) | {f"{u} {v}" for u, v in zip(ws, ws[1:], strict=False)}
-                    ys += [y] * len(seen)
-                    terms += seen
-                yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(terms, pa.string())], names=["y", "term"])
+    def counted_terms(taken) -> DataFrame:
+        """How many documents of label 1 (p) and 0 (q) hold each term that taken() finds among words; counted by task before the shuffle, at most HELD_TERMS at a time."""
+
+        def count(batches):
+            clean, toxic = Counter(), Counter()
+
+            def out():
+                terms = list(clean.keys() | toxic.keys())
+                made = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in (toxic, clean))], names=["term", "p", "q"])
+                clean.clear()
+                toxic.clear()
+                return made
+
+            for batch in batches:
+                for y, t in zip(batch.column(0), batch.column(1), strict=True):
+                    words, other = readings(t.as_py())
+                    (toxic if y.as_py() else clean).update(taken(words) | taken([w for _, w in other]))
+                    if len(clean) + len(toxic) >= HELD_TERMS:
+                        yield out()
+            if clean or toxic:
+                yield out()
+
+        return rows.mapInArrow(count, "term string, p long, q long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
 
     totals = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
     n1, n0 = totals.p, totals.n - totals.p
     offset = math.log((n1 + 1) / (n0 + 1))
     if not n1:
         return Lexicon({}, exceptions, 0.0, min(offset, -1e-3))
-    terms = rows.mapInArrow(split, "y int, term string").groupBy("term").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
     odds = F.log((F.col("p") + 0.1) * (n0 + 1) / ((F.col("q") + 0.1) * (n1 + 1)))
     deviation = F.sqrt(1 / (F.col("p") + 0.1) + 1 / (F.col("q") + 0.1))
-    words = terms.where(~F.contains("term", F.lit(" ")) & (F.col("p") >= min_docs)).withColumn("w", odds).where((F.col("w") > 2) | (F.col("w") > SURE * deviation))
+    words = counted_terms(set).where(F.col("p") >= min_docs).withColumn("w", odds).where((F.col("w") > 2) | (F.col("w") > SURE * deviation))
     counted = {r.term: (r.w, r.p) for r in words.orderBy(F.desc("p"), F.desc("w"), "term").collect()}
     weights = {t: w for t, (w, _) in counted.items() if w > 2}
     if counted:
-        # a join, as a condition that lists the words would make plans the driver can't hold
-        pairs = terms.where(F.contains("term", F.lit(" "))).where("q >= 3 and q >= 9 * p").withColumn("word", F.explode(F.split("term", " ")))
-        near = pairs.join(F.broadcast(spark.createDataFrame([(t,) for t in counted], "word string")), "word", "left_semi").select("term", "q").distinct()
-        learned = [r.term for r in near.orderBy(F.desc("q"), "term").collect()]
+        near = frozenset(counted)
+        pairs = counted_terms(lambda ws: {f"{u} {v}" for u, v in zip(ws, ws[1:], strict=False) if u in near or v in near})
+        learned = [r.term for r in pairs.where("q >= 3 and q >= 9 * p").select("term", "q").orderBy(F.desc("q"), "term").collect()]
         held = {w for t in learned for w in t.split(" ")}
         doubtful = {t: 1.0 for t in counted if t not in weights and t in held}
         if doubtful:
@@ -214,8 +224,8 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "d
                 m = Matcher(inside)
                 for batch in batches:
                     hits = []
-                    for t in batch.column(0).to_pylist():
-                        ws, other = readings(t)
+                    for t in batch.column(0):
+                        ws, other = readings(t.as_py())
                         seen = set()
                         for r in (ws, [w for _, w in other]):
                             seen |= {r[i] for i, _, _ in m.counted(m.found(r))}
@@ -234,7 +244,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "d
     def weigh(batches):
         m = Matcher(matcher_of)
         for batch in batches:
-            found = [m.weight(*readings(t))[0] for t in batch.column(1).to_pylist()]
+            found = [m.weight(*readings(t.as_py()))[0] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([round(x, 3) for x in found], pa.float64())], names=["y", "x"])
 
     points = [(r.x, r.y, r.n) for r in rows.mapInArrow(weigh, "y int, x double").groupBy("x", "y").agg(F.count("*").alias("n")).orderBy("x", "y").collect()]
