@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlark.llm import html_extract, jaccard, media, packing, secrets, sentencepiece_wfst, token_counts, topk, toxicity, url_filters
+from gridlark.llm import html_extract, jaccard, media, packing, secrets, sentencepiece_wfst, sessions, token_counts, topk, toxicity, url_filters
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -77,7 +77,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"), secret_model(spark)).drop("candidate")
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard, op2_token_counts, op3_packing, op4_sentencepiece, op5_toxicity, op6_url_filters, op7_html_extract, op8_top_k, op9_media, op10_secrets)}
+def op11_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.sessions(table(spark, sf_dir, "clicks"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_token_counts, op3_packing, op4_sentencepiece, op5_toxicity, op6_url_filters, op7_html_extract, op8_top_k, op9_media, op10_secrets, op11_sessions)}
 
 ORACLE_SQL = {
     "op6_url_filters": r"""
@@ -109,5 +113,36 @@ WITH v AS (
 )
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+""",
+    "op11_sessions": """
+WITH RECURSIVE once AS (
+  SELECT DISTINCT ON (click_id) click_id, client_id, epoch_us(ts) AS us, coalesce(arrived_at - ts > INTERVAL 360 MINUTE, FALSE) AS late,
+         coalesce(value >= 60 AND kind = 'error', FALSE) AS final, coalesce(CAST(floor(100 * value + 0.5) AS BIGINT), 0) AS cents
+  FROM clicks WHERE click_id IS NOT NULL AND client_id IS NOT NULL AND ts IS NOT NULL
+), before AS (
+  SELECT *, row_number() OVER w AS rn, lag(final) OVER w AS p_final, lag(us) OVER w AS p_us FROM once WHERE NOT late WINDOW w AS (PARTITION BY client_id ORDER BY us, click_id)
+), timely AS (
+  SELECT *, CASE WHEN p_final THEN 'end' WHEN us - p_us >= 600000000 THEN 'gap' END AS forced FROM before
+), jumps AS (
+  SELECT *, least(
+    coalesce(min(CASE WHEN forced IS NOT NULL THEN rn END) OVER (PARTITION BY client_id ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 9223372036854775807),
+    coalesce(min(rn) OVER (PARTITION BY client_id ORDER BY us RANGE BETWEEN 2400000001 FOLLOWING AND UNBOUNDED FOLLOWING), 9223372036854775807)) AS jump
+  FROM timely
+), starts(client_id, rn) AS (
+  SELECT client_id, rn FROM jumps WHERE rn = 1
+  UNION ALL SELECT j.client_id, j.jump FROM starts s JOIN jumps j ON s.client_id = j.client_id AND s.rn = j.rn WHERE j.jump < 9223372036854775807
+), marked AS (
+  SELECT t.*, count(s.rn) OVER (PARTITION BY t.client_id ORDER BY t.rn) AS k FROM timely t LEFT JOIN starts s ON s.client_id = t.client_id AND s.rn = t.rn
+), found AS (
+  SELECT client_id, k, arg_min(click_id, rn) AS session_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n_clicks, CAST(sum(cents) AS BIGINT) AS value_cents, max(rn) AS last, arg_max(final, rn) AS final,
+         sha256(string_agg(CAST(click_id AS VARCHAR), ',' ORDER BY rn)) AS path_sha256 FROM marked GROUP BY client_id, k
+), closed AS (
+  SELECT f.*, coalesce(n.forced, CASE WHEN n.rn IS NOT NULL THEN 'length' WHEN f.final THEN 'end' ELSE 'none' END) AS closed_by, lead(f.start_us) OVER (PARTITION BY f.client_id ORDER BY f.k) AS next_us
+  FROM found f LEFT JOIN timely n ON n.client_id = f.client_id AND n.rn = f.last + 1
+), counted AS (
+  SELECT c.client_id, c.k, count(*) AS n_late FROM closed c JOIN once l ON l.late AND l.client_id = c.client_id AND c.start_us <= l.us AND (c.next_us IS NULL OR l.us < c.next_us) GROUP BY c.client_id, c.k
+)
+SELECT c.client_id, session_id, start_us, end_us, n_clicks, coalesce(n_late, 0) AS n_late, value_cents, closed_by, path_sha256
+FROM closed c LEFT JOIN counted USING (client_id, k)
 """,
 }
