@@ -250,10 +250,15 @@ def grouped(level: DataFrame, fan: int, rules: Rules) -> DataFrame:
     return in_order(level.select(*FIRST, *SUMMARY_NAMES)).mapInArrow(run, schema)
 
 
-def entered(level: DataFrame, states: DataFrame, rules: Rules) -> DataFrame:
-    """(block, state): the session open before each block of a level, from those before their parents: hops from one child to the next."""
-    known = states.select(F.col("block").alias("parent"), *STATE)
-    rows = level.select("parent", *FIRST, *SUMMARY_NAMES).join(known, "parent", "left").repartition("parent").sortWithinPartitions("parent", *FIRST)
+def entered(level: DataFrame, states: DataFrame | None, rules: Rules) -> DataFrame:
+    """(block, state): the session open before each block of a level, from those before their parents: hops from one child to the next. Without states
+    the level is the first one, of one parent, with no session before it."""
+    rows = level.select("parent", *FIRST, *SUMMARY_NAMES)
+    if states is None:
+        rows = rows.withColumns({c: F.lit(None).cast("boolean" if c == "s_final" else "long") for c in STATE})
+    else:
+        rows = rows.join(states.select(F.col("block").alias("parent"), *STATE), "parent", "left")
+    rows = rows.repartition("parent").sortWithinPartitions("parent", *FIRST)
 
     def run(batches):
         parent, state = None, None
@@ -408,8 +413,7 @@ def sessions(clicks: DataFrame, gap: float = 10, length: float = 40, late: float
     while top.count() > fan:
         levels.append(materialize(spark, grouped(top, fan, rules), "summaries"))
         top = levels[-1].where("parent is null")
-    nothing = spark.createDataFrame([], f"block long, {STATE_SCHEMA}")
-    states = entered(top.withColumn("parent", F.lit(0).cast("long")), nothing, rules)
+    states = entered(top.withColumn("parent", F.lit(0).cast("long")), None, rules)
     for level in reversed(levels):
         states = entered(level.where("parent is not null"), states, rules)
     found = materialize(spark, parts(held, states, rules), "parts")
