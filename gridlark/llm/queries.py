@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlark.llm import html_extract, jaccard, media, packing, secrets, sentencepiece_wfst, sessions, token_counts, topk, toxicity, url_filters
+from gridlark.llm import html_extract, jaccard, media, negatives, packing, secrets, sentencepiece_wfst, sessions, token_counts, topk, toxicity, url_filters
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -81,7 +81,12 @@ def op11_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.sessions(table(spark, sf_dir, "clicks"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard, op2_token_counts, op3_packing, op4_sentencepiece, op5_toxicity, op6_url_filters, op7_html_extract, op8_top_k, op9_media, op10_secrets, op11_sessions)}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_token_counts, op3_packing, op4_sentencepiece, op5_toxicity, op6_url_filters, op7_html_extract, op8_top_k, op9_media, op10_secrets, op11_sessions, op12_hard_negatives)}
 
 ORACLE_SQL = {
     "op6_url_filters": r"""
@@ -144,5 +149,18 @@ WITH RECURSIVE once AS (
 )
 SELECT c.client_id, session_id, start_us, end_us, n_clicks, coalesce(n_late, 0) AS n_late, value_cents, closed_by, path_sha256
 FROM closed c LEFT JOIN counted USING (client_id, k)
+""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id
+), p AS (
+  SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) QUALIFY row_number() OVER w <= 10
 """,
 }
