@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,23 @@ PARITIES = [f"p{k}" for k in range(PARTS // 64)]
 _SLACK = 1e-9
 
 
+@dataclass(frozen=True)
+class Posting:
+    """What documents meet under: the tokens of a set, in order, and a mark of them that pairs are told by (or none); under how many of n tokens, common ones last, two
+    documents that link are sure to meet; the same for a set of size n, as a column; and what keeps of pairs (x, y) those that may link by their marks."""
+
+    tokens: Callable[[np.ndarray], tuple[np.ndarray, bytes | None]]
+    prefix: Callable[[int], int]
+    posted: Column
+    keep: Callable[[DataFrame, str, str, DataFrame], DataFrame] = lambda pairs, x, y, points: pairs
+
+
+def by_shingles(percent: int) -> Posting:
+    """A partner shares at least ceil(percent * n / 100) of a set's n shingles, so, in any order of all shingles, the first one both hold is among the
+    first n - that + 1 of either."""
+    return Posting(lambda s: (s, None), lambda n: n - -(-percent * n // 100) + 1, F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int):
     """Arrow batches of at most `rows` rows while a job runs whose rows hold whole texts."""
@@ -37,19 +56,21 @@ def small_batches(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
-def describe(docs: DataFrame, words: int) -> DataFrame:
-    """(doc, n, s1, s2, p0 .. p7) for each document: the size of its set, two sums that tell it, and for each of PARTS parts of all shingles, dealt by
+def describe(docs: DataFrame, words: int, posting: Posting) -> DataFrame:
+    """(doc, n, s1, s2, p0 .. p7, fine, sig) for each document: the size of its set, two sums that tell it, and for each of PARTS parts of all shingles, dealt by
     hash, the parity of how many it holds (two sets differ in one shingle at least for each parity that differs); fine: for sets of more than PARTS shingles the
-    same for as many parts, the next power of two; (null, count, shingle, null, ...)
-    for shingles that several different sets of a chunk hold."""
-    schema = "doc long, n long, s1 long, s2 long, " + ", ".join(f"{c} long" for c in PARITIES) + ", fine array<long>"
+    same for as many parts, the next power of two; sig: the posting's mark; (null, count, token, null, ...)
+    for tokens that several different sets of a chunk hold."""
+    schema = "doc long, n long, s1 long, s2 long, " + ", ".join(f"{c} long" for c in PARITIES) + ", fine array<long>, sig binary"
+
+    tokens_of = posting.tokens
 
     def run(batches):
         shingler, seen, sets, held = Shingler(words), set(), [], 0
 
-        def batch_of(doc, n, s1, s2, parity, fine):
-            cols = [pa.array(x, pa.int64()) for x in (doc, n, s1, s2)] + [pa.array(x, pa.int64()) for x in parity] + [pa.array(fine, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(cols, names=["doc", "n", "s1", "s2", *PARITIES, "fine"])
+        def batch_of(doc, n, s1, s2, sig, parity, fine):
+            cols = [pa.array(x, pa.int64()) for x in (doc, n, s1, s2)] + [pa.array(x, pa.int64()) for x in parity] + [pa.array(fine, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["doc", "n", "s1", "s2", *PARITIES, "fine", "sig"])
 
         def parities(s, parts):
             return np.bincount((s >> np.uint64(24)).astype(np.int64) & (parts - 1), minlength=parts) & 1
@@ -58,7 +79,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
             values, counts = np.unique(np.concatenate(sets), return_counts=True)
             often = counts >= 4
             none = [None] * int(often.sum())
-            return batch_of(none, counts[often], values[often].view(np.int64), none, [none] * len(PARITIES), none)
+            return batch_of(none, counts[often], values[often].view(np.int64), none, none, [none] * len(PARITIES), none)
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -66,14 +87,15 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
                 rows, parity, fine = [], np.zeros((b - a, PARTS), np.uint8), [None] * (b - a)
                 for i, (doc, s) in enumerate(zip(ids[a:b], shingler.sets(texts[a:b]), strict=True)):
                     sig = signature(s)
-                    rows.append((doc, len(s), *sig))
+                    tokens, mark = tokens_of(s)
+                    rows.append((doc, len(s), *sig, mark))
                     parity[i] = parities(s, PARTS)
                     if len(s) > PARTS:
                         fine[i] = np.packbits(parities(s, 1 << (len(s) - 1).bit_length()).astype(np.uint8)).view("<i8")
                     if len(s) and sig not in seen:
                         seen.add(sig)
-                        sets.append(s)
-                        held += len(s)
+                        sets.append(tokens)
+                        held += len(tokens)
                 yield batch_of(*zip(*rows, strict=True), np.packbits(parity, axis=1).view("<i8").T, fine)
                 if held >= CHUNK:
                     yield frequent()
@@ -94,15 +116,15 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def assigned(docs: DataFrame, words: int, percent: int, common: np.ndarray, buckets: int, crowd: int = CROWD) -> DataFrame:
-    """(bucket, shingles, docs, crowd): each set under the shingles by which it can meet a partner.
+def assigned(docs: DataFrame, words: int, posting: Posting, common: np.ndarray, buckets: int, crowd: int = CROWD) -> DataFrame:
+    """(bucket, shingles, docs, crowd): each set under the tokens by which it can meet a partner, common ones last. Below a token is called a shingle.
 
-    A partner shares at least ceil(percent * n / 100) of a set's n shingles, so, in any order of all shingles, the first one both hold is among the
-    first n - that + 1 of either. Here common shingles come last. A set that comes again in the same task is left out, its documents being linked
+    A set that comes again in the same task is left out, its documents being linked
     by their signature. Under a shingle that `crowd` sets or more of a flush hold only the first of them goes on; the others are tied to it
     in `crowd`, so that a shingle of very many documents is a few rows of each task. Rows travel as arrays: shingles as 64-bit numbers, docs as compressed differences,
     crowd as triples (first, other, mask).
     """
+    tokens_of, prefix = posting.tokens, posting.prefix
 
     def run(batches):
         shingler, seen, held, size = Shingler(words), set(), [], 0
@@ -134,7 +156,8 @@ def assigned(docs: DataFrame, words: int, percent: int, common: np.ndarray, buck
                     if not n or (sig := signature(s)) in seen:
                         continue
                     seen.add(sig)
-                    k = n - -(-percent * n // 100) + 1
+                    s, _ = tokens_of(s)
+                    k = min(len(s), prefix(n))
                     if len(common):
                         often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
                         s = np.concatenate([s[~often], s[often]])
@@ -271,7 +294,7 @@ def verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, words: int,
     return out
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, common_at: int = COMMON_AT, region_pairs: int = REGION_PAIRS, crowd: int = CROWD) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, common_at: int = COMMON_AT, region_pairs: int = REGION_PAIRS, crowd: int = CROWD, posting: Posting | None = None) -> DataFrame:
     """(key, n_shingles, component_id) for each document: the connected components of all links of
     Jaccard similarity of percent / 100 or more between sets of distinct `words`-word shingles, exactly.
 
@@ -302,44 +325,45 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     ship(spark)
     source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     usable = source.where("doc is not null")
+    posting = by_shingles(percent) if posting is None else posting
     if usable.groupBy("doc").count().where("count > 1").limit(1).count():
-        found, needs = with_repeated_keys(spark, usable, words, percent, common_at, region_pairs, crowd)
+        found, needs = with_repeated_keys(spark, usable, words, percent, common_at, region_pairs, crowd, posting)
     else:
-        found, needs = of_unique_keys(spark, usable, words, percent, common_at, region_pairs, crowd)
-    out = found.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(without_key(source, words, key))
+        found, needs = of_unique_keys(spark, usable, words, percent, common_at, region_pairs, crowd, posting)
+    out = found.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(without_key(source, words, key, posting))
     out.needs = needs
     return out
 
 
-def of_unique_keys(spark: SparkSession, usable: DataFrame, words: int, percent: int, common_at: int, region_pairs: int, crowd: int) -> tuple[DataFrame, list[DataFrame]]:
+def of_unique_keys(spark: SparkSession, usable: DataFrame, words: int, percent: int, common_at: int, region_pairs: int, crowd: int, posting: Posting) -> tuple[DataFrame, list[DataFrame]]:
     """(doc, n, component) of documents with keys of their own, and the written steps it reads."""
-    told = materialize(spark, describe(usable, words), "sets")
+    told = materialize(spark, describe(usable, words, posting), "sets")
     sets = told.where("doc is not null")
     often = told.where("doc is null").groupBy("s1").agg(F.sum("n").alias("n")).where(F.col("n") >= common_at)
     common = np.array([r.s1 for r in often.orderBy(F.desc("n"), "s1").limit(MAX_COMMON).select("s1").collect()], np.int64).view(np.uint64)
     common.sort()
-    total = sets.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), F.lit(0)).alias("rows")).first().rows
+    total = sets.agg(F.coalesce(F.sum(posting.posted), F.lit(0)).alias("rows")).first().rows
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // CHUNK))
-    rows = assigned(usable, words, percent, common, partitions, crowd).repartitionById(partitions, F.col("bucket"))
+    rows = assigned(usable, words, posting, common, partitions, crowd).repartitionById(partitions, F.col("bucket"))
     met = materialize(spark, pivots(rows).groupBy("pivot", "doc", "crowd").agg(F.bit_or("mask").alias("mask")), "pivots")
 
-    classes = materialize(spark, sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("class"), *[F.first(c).alias(c) for c in [*PARITIES, "fine"]]), "classes")
+    classes = materialize(spark, sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("class"), *[F.first(c).alias(c) for c in [*PARITIES, "fine", "sig"]]), "classes")
     member = spread_join(sets.select("doc", "n", "s1", "s2"), classes.select("n", "s1", "s2", "class"), ["n", "s1", "s2"], "doc", "left")
     member = materialize(spark, member.select("doc", "n", F.coalesce("class", "doc").alias("class")), "members")
     discard(spark, told)
-    points = classes.select(F.col("class").alias("doc"), "n", *PARITIES, "fine")
+    points = classes.select(F.col("class").alias("doc"), "n", *PARITIES, "fine", "sig")
     star = stars(spark, met, member, points, percent)
     discard(spark, met)
 
     near = star.where("near").select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b")).distinct()
-    checked = verified(spark, closer(near, "a", "b", points, percent), usable, words, percent)
+    checked = verified(spark, posting.keep(closer(near, "a", "b", points, percent), "a", "b", points), usable, words, percent)
     component = connected(spark, checked.where("linked"))
     regions = materialize(spark, measured(star, checked), "regions")
     discard(spark, star)
 
     mixed, work = several(spark, regions, component, points, region_pairs)
     while work.large:
-        cells, more = divided(spark, mixed, checked, points, usable, words, percent)
+        cells, more = divided(spark, mixed, checked, points, usable, words, percent, posting)
         merged = connected(spark, more.where("linked"), known=component)
         both = materialize(spark, checked.unionByName(more), "verified")
         discard(spark, regions, mixed, component, checked, more)
@@ -347,7 +371,7 @@ def of_unique_keys(spark: SparkSession, usable: DataFrame, words: int, percent:
         mixed, work = several(spark, regions, component, points, region_pairs)
         if work.pairs > 0.75 * before.pairs:
             break
-    found = crossing(spark, mixed, checked, points, percent)
+    found = crossing(spark, mixed, checked, points, percent, posting)
     discard(spark, regions, mixed, checked)
     nearest = verified(spark, found.groupBy("x", "other").agg(F.min_by("y", F.struct("differ", "y")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), usable, words, percent)
     merged = connected(spark, nearest.where("linked"), known=component)
@@ -394,13 +418,13 @@ def several(spark: SparkSession, regions: DataFrame, component: DataFrame, point
     per = rows.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max(F.when(F.col("doc") == F.col("pivot"), F.col("component"))).alias("of_pivot")).where("least < most").select("region", "of_pivot")
     rows = spread_join(rows, per, ["region"], "doc").withColumn("main", F.col("component") == F.col("of_pivot")).drop("of_pivot")
     size = rows.groupBy("region").agg((F.count("*") * F.count_if(~F.col("main"))).alias("pairs")).select("region", "pairs", (F.col("pairs") > region_pairs).alias("large"))
-    rows = spread_join(rows, size, ["region"], "doc").drop("pairs").join(points.drop("fine"), "doc")
+    rows = spread_join(rows, size, ["region"], "doc").drop("pairs").join(points.drop("fine", "sig"), "doc")
     mixed = materialize(spark, rows.select("region", "pivot", "doc", "mask", "lo", "hi", "component", "main", "large", "n", *PARITIES), "mixed")
     per = mixed.groupBy("region").agg((F.count("*") * F.count_if(~F.col("main"))).alias("pairs"), F.first("large").alias("large"))
     return mixed, per.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.max("large"), F.lit(False)).alias("large")).first()
 
 
-def divided(spark: SparkSession, mixed: DataFrame, checked: DataFrame, points: DataFrame, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def divided(spark: SparkSession, mixed: DataFrame, checked: DataFrame, points: DataFrame, docs: DataFrame, words: int, percent: int, posting: Posting) -> tuple[DataFrame, DataFrame]:
     """The regions anew, large ones cut into the cells of their pivot and of the smallest document outside its component; and the pairs that were verified for that.
 
     eps is a link's distance. If a document's nearer pivot is p, a partner is at most 2 * eps farther from p than from the other one; each document
@@ -415,7 +439,7 @@ def divided(spark: SparkSession, mixed: DataFrame, checked: DataFrame, points: D
     written = rows = materialize(spark, rows.withColumn("differ", least_difference("d", "q")).withColumn("nq", F.col("q.n")).drop("d", "q", *PARITIES), "seconds")
     pair = [F.least("second", "doc").alias("a"), F.greatest("second", "doc").alias("b")]
     near = rows.where(may_link(F.col("differ"), F.col("n"), F.col("nq"), percent) & F.expr("second <> doc")).select(*pair).distinct()
-    more = verified(spark, closer(near.join(checked, ["a", "b"], "left_anti"), "a", "b", points, percent), docs, words, percent)
+    more = verified(spark, posting.keep(closer(near.join(checked, ["a", "b"], "left_anti"), "a", "b", points, percent), "a", "b", points), docs, words, percent)
     exact = checked.unionByName(more).select("a", "b", F.col("differ").alias("exact"))
     rows = rows.withColumns({"a": pair[0], "b": pair[1]}).join(exact, ["a", "b"], "left")
     lo = distance(F.coalesce("exact", "differ"), F.col("n"), F.col("nq"))
@@ -430,7 +454,7 @@ def divided(spark: SparkSession, mixed: DataFrame, checked: DataFrame, points: D
     return cells, more
 
 
-def crossing(spark: SparkSession, mixed: DataFrame, checked: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+def crossing(spark: SparkSession, mixed: DataFrame, checked: DataFrame, points: DataFrame, percent: int, posting: Posting) -> DataFrame:
     """(x, y, other, differ) of pairs of different components in a region, x outside the pivot's, that meet under a shingle (a bit of their masks), aren't
     verified yet, may link by the lower bound, and whose distances to the pivot differ by eps at most. other: y's component."""
     side = lambda name: F.struct("doc", "mask", "component", "main", "lo", "hi", "n", *PARITIES).alias(name)
@@ -444,15 +468,15 @@ def crossing(spark: SparkSession, mixed: DataFrame, checked: DataFrame, points:
     done = checked.select("a", "b")
     found = found.join(done, F.expr("least(x, y) = a and greatest(x, y) = b"), "left_anti")
     coarse = materialize(spark, found, "crossing")  # written, as the optimizer would fold the two bounds into one very large condition
-    found = materialize(spark, closer(coarse, "x", "y", points, percent), "crossing")
+    found = materialize(spark, posting.keep(closer(coarse, "x", "y", points, percent), "x", "y", points), "crossing")
     discard(spark, coarse)
     return found
 
 
-def with_repeated_keys(spark: SparkSession, usable: DataFrame, words: int, percent: int, common_at: int, region_pairs: int, crowd: int) -> tuple[DataFrame, list[DataFrame]]:
+def with_repeated_keys(spark: SparkSession, usable: DataFrame, words: int, percent: int, common_at: int, region_pairs: int, crowd: int, posting: Posting) -> tuple[DataFrame, list[DataFrame]]:
     """As of_unique_keys: each row is a document of its own first, then the components that share a key are one."""
     numbered = materialize(spark, usable.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    rows, needs = of_unique_keys(spark, numbered.select(F.col("row").alias("doc"), "text"), words, percent, common_at, region_pairs, crowd)
+    rows, needs = of_unique_keys(spark, numbered.select(F.col("row").alias("doc"), "text"), words, percent, common_at, region_pairs, crowd, posting)
     rows = materialize(spark, rows.withColumnRenamed("doc", "row").join(numbered.select("row", "doc"), "row").select("doc", "n", "component"), "rows")
     low = rows.groupBy("doc").agg(F.min("component").alias("low"))
     discard(spark, numbered, *needs)
@@ -463,7 +487,7 @@ def with_repeated_keys(spark: SparkSession, usable: DataFrame, words: int, perce
     return spread_join(rows.drop("component"), smallest, ["root"], "doc").select("doc", "n", "component"), [written, merged]
 
 
-def without_key(source: DataFrame, words: int, key: str) -> DataFrame:
-    told = describe(source.where("doc is null").select(F.lit(0).cast("long").alias("doc"), "text"), words).where("doc is not null")
+def without_key(source: DataFrame, words: int, key: str, posting: Posting) -> DataFrame:
+    told = describe(source.where("doc is null").select(F.lit(0).cast("long").alias("doc"), "text"), words, posting).where("doc is not null")
     null = F.lit(None).cast("long")
     return told.select(null.alias(key), F.col("n").alias("n_shingles"), null.alias("component_id"))

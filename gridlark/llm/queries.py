@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlark.llm import html_extract, jaccard, media, negatives, packing, secrets, sentencepiece_wfst, sessions, token_counts, topk, toxicity, url_filters
+from gridlark.llm import html_extract, jaccard, media, minhash, negatives, packing, secrets, sentencepiece_wfst, sessions, token_counts, topk, toxicity, url_filters
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -86,7 +86,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard, op2_token_counts, op3_packing, op4_sentencepiece, op5_toxicity, op6_url_filters, op7_html_extract, op8_top_k, op9_media, op10_secrets, op11_sessions, op12_hard_negatives)}
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_token_counts, op3_packing, op4_sentencepiece, op5_toxicity, op6_url_filters, op7_html_extract, op8_top_k, op9_media, op10_secrets, op11_sessions, op12_hard_negatives, op13_minhash)}
 
 ORACLE_SQL = {
     "op6_url_filters": r"""
@@ -162,5 +166,34 @@ WITH v AS (
 SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
 FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
 WINDOW w AS (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) QUALIFY row_number() OVER w <= 10
+""",
+    "op13_minhash": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) ELSE w END AS s FROM words
+), classes AS (
+  SELECT min(doc_id) AS class, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), posted AS (
+  SELECT class, n, unnest(s) AS x FROM classes
+), often AS (
+  SELECT x, count(*) AS df FROM posted GROUP BY x
+), ranked AS (
+  SELECT class, n, x, row_number() OVER (PARTITION BY class ORDER BY df, x) AS place FROM posted JOIN often USING (x)
+), prefix AS (
+  SELECT class, n, x FROM ranked WHERE place <= n - (80 * n + 99) // 100 + 1
+), met AS (
+  SELECT DISTINCT a.class AS a, b.class AS b FROM prefix a JOIN prefix b ON a.x = b.x AND a.class < b.class AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+), counted AS (
+  SELECT m.a, m.b, p.n AS na, q.n AS nb, len(list_intersect(p.s, q.s)) AS shared FROM met m JOIN classes p ON p.class = m.a JOIN classes q ON q.class = m.b
+), links AS (
+  SELECT a, b FROM counted WHERE 100 * shared >= 80 * (na + nb - shared) UNION ALL SELECT b, a FROM counted WHERE 100 * shared >= 80 * (na + nb - shared)
+), reach(a, b) AS (
+  SELECT class, class FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), low AS (
+  SELECT a AS class, min(b) AS component FROM reach GROUP BY a
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(l.component, s.doc_id) AS component_id, s.doc_id = coalesce(l.component, s.doc_id) AS kept
+FROM sets s LEFT JOIN classes c ON c.s = s.s LEFT JOIN low l ON l.class = c.class
 """,
 }
