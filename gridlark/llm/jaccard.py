@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +16,10 @@ from gridlark.llm.components import connected, spread_join
 from gridlark.llm.shingles import WORDS, Shingler, overlap
 
 PERCENT = 80
-COMMON_AT = 64
-MAX_COMMON = 200_000
+COMMON_AT = 8
+MAX_COMMON = 500_000
 CROWD = 64
+SHORT = 32
 CHUNK = 1_000_000
 SLICE = 512 << 10
 REGION_PAIRS = 2_000
@@ -30,11 +31,12 @@ _SLACK = 1e-9
 @dataclass(frozen=True)
 class Posting:
     """What documents meet under: the tokens of a set, in order, and a mark of them that pairs are told by (or none); under how many of n tokens, common ones last, two
-    documents that link are sure to meet; the same for a set of size n, as a column; and what keeps of pairs (x, y) those that may link by their marks."""
+    documents that link are sure to meet; the same for a set of size n, as a column; from how many sets on a token counts as common; and what keeps of pairs (x, y) those that may link by their marks."""
 
     tokens: Callable[[np.ndarray], tuple[np.ndarray, bytes | None]]
     prefix: Callable[[int], int]
     posted: Column
+    common_at: int = COMMON_AT
     keep: Callable[[DataFrame, str, str, DataFrame], DataFrame] = lambda pairs, x, y, points: pairs
 
 
@@ -63,7 +65,7 @@ def describe(docs: DataFrame, words: int, posting: Posting) -> DataFrame:
     for tokens that several different sets of a chunk hold."""
     schema = "doc long, n long, s1 long, s2 long, " + ", ".join(f"{c} long" for c in PARITIES) + ", fine array<long>, sig binary"
 
-    tokens_of = posting.tokens
+    tokens_of, least = posting.tokens, max(2, posting.common_at // 16)
 
     def run(batches):
         shingler, seen, sets, held = Shingler(words), set(), [], 0
@@ -77,7 +79,7 @@ def describe(docs: DataFrame, words: int, posting: Posting) -> DataFrame:
 
         def frequent():
             values, counts = np.unique(np.concatenate(sets), return_counts=True)
-            often = counts >= 4
+            often = counts >= least
             none = [None] * int(often.sum())
             return batch_of(none, counts[often], values[often].view(np.int64), none, none, [none] * len(PARITIES), none)
 
@@ -117,12 +119,12 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def assigned(docs: DataFrame, words: int, posting: Posting, common: np.ndarray, buckets: int, crowd: int = CROWD) -> DataFrame:
-    """(bucket, shingles, docs, crowd): each set under the tokens by which it can meet a partner, common ones last. Below a token is called a shingle.
+    """(bucket, shingles, docs, sizes, crowd, long): each set under the tokens by which it can meet a partner, common ones last. Below a token is called a shingle.
 
     A set that comes again in the same task is left out, its documents being linked
     by their signature. Under a shingle that `crowd` sets or more of a flush hold only the first of them goes on; the others are tied to it
-    in `crowd`, so that a shingle of very many documents is a few rows of each task. Rows travel as arrays: shingles as 64-bit numbers, docs as compressed differences,
-    crowd as triples (first, other, mask).
+    in `crowd`, so that a shingle of very many documents is a few rows of each task. Rows travel as arrays: shingles as 64-bit numbers, docs as compressed differences, sizes of the sets,
+    crowd as triples (first, other, mask), long as the shingles that have a crowd.
     """
     tokens_of, prefix = posting.tokens, posting.prefix
 
@@ -130,8 +132,11 @@ def assigned(docs: DataFrame, words: int, posting: Posting, common: np.ndarray,
         shingler, seen, held, size = Shingler(words), set(), [], 0
         pack = zstandard.ZstdCompressor(level=1).compress
 
+        def bucket_of(shingle):
+            return ((shingle & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
         def flush():
-            shingle, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            shingle, doc, many = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             values, at, counts = np.unique(shingle, return_inverse=True, return_counts=True)
             crowded = counts[at] >= crowd
@@ -141,12 +146,14 @@ def assigned(docs: DataFrame, words: int, posting: Posting, common: np.ndarray,
                 np.minimum.at(first, at[crowded], doc[crowded])
                 ties = united(first[at[crowded]], doc[crowded], bits(shingle[crowded]))
                 stay = ~crowded | (doc == first[at])
-                shingle, doc = shingle[stay], doc[stay]
-            rows = by_bucket(((shingle & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), buckets)
+                shingle, doc, many = shingle[stay], doc[stay], many[stay]
+            long = values[counts >= crowd]
+            rows = by_bucket(bucket_of(shingle), buckets)
+            crowds = by_bucket(bucket_of(long), buckets)
             tied = by_bucket(ties[:, 1] % buckets, buckets)
-            out = [(b, shingle[i].tobytes(), pack(np.diff(doc[i], prepend=0).astype("<i8").tobytes()), pack(ties[j].astype("<i8").tobytes())) for b, (i, j) in enumerate(zip(rows, tied, strict=True)) if len(i) or len(j)]
+            out = [(b, shingle[i].tobytes(), pack(np.diff(doc[i], prepend=0).astype("<i8").tobytes()), pack(many[i].tobytes()), pack(ties[j].astype("<i8").tobytes()), long[k].tobytes()) for b, (i, j, k) in enumerate(zip(rows, tied, crowds, strict=True)) if len(i) or len(j)]
             cols = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "shingles", "docs", "crowd"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "shingles", "docs", "sizes", "crowd", "long"])
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -161,7 +168,7 @@ def assigned(docs: DataFrame, words: int, posting: Posting, common: np.ndarray,
                     if len(common):
                         often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
                         s = np.concatenate([s[~often], s[often]])
-                    held.append((s[:k].copy(), np.full(k, doc)))
+                    held.append((s[:k].copy(), np.full(k, doc), np.full(k, n, np.int32)))
                     size += k
                 if size >= CHUNK:
                     yield flush()
@@ -171,7 +178,7 @@ def assigned(docs: DataFrame, words: int, posting: Posting, common: np.ndarray,
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket int, shingles binary, docs binary, crowd binary")
+    return docs.mapInArrow(run, "bucket int, shingles binary, docs binary, sizes binary, crowd binary, long binary")
 
 
 def bits(shingle: np.ndarray) -> np.ndarray:
@@ -196,30 +203,46 @@ def by_bucket(bucket: np.ndarray, buckets: int) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(bucket[order], np.arange(1, buckets)))
 
 
-def pivots(rows: DataFrame) -> DataFrame:
-    """(pivot, doc, crowd, mask) from assigned(): the documents that meet under a shingle each with the first of them, their pivot. crowd: the pivot is that of a
+def pivots(rows: DataFrame, percent: int, short: int = SHORT) -> DataFrame:
+    """(pivot, doc, crowd, pair, mask) from assigned(): the documents that meet under a shingle each with the first of them, their pivot. Under a shingle of no more than `short` documents
+    all that may link by their sizes are paired instead (pair), and have no pivot. crowd: the pivot is that of a
     crowd and may itself have one for the same shingle. mask has the bits of the shingles under which the two meet: documents that meet there too have
     one of them in common. Pairs come once a task."""
+    names = ["pivot", "doc", "crowd", "pair", "mask"]
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
-        shingles, docs, ties = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int64)]
+        shingles, docs, sizes, ties, longs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros((0, 3), np.int64)], [np.zeros(0, np.uint64)]
         for batch in batches:
-            for shingle, doc, tie in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3)], strict=True):
+            for shingle, doc, size, tie, long in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3, 4, 5)], strict=True):
                 shingles.append(np.frombuffer(shingle, np.uint64))
                 docs.append(np.cumsum(np.frombuffer(unpack(doc), "<i8")))
+                sizes.append(np.frombuffer(unpack(size), "<i4"))
                 ties.append(np.frombuffer(unpack(tie), "<i8").reshape(-1, 3))
-        shingle, doc = np.concatenate(shingles), np.concatenate(docs)
+                longs.append(np.frombuffer(long, np.uint64))
+        shingle, doc, size, tie, long = (np.concatenate(x) for x in (shingles, docs, sizes, ties, longs))
+        del shingles, docs, sizes, ties, longs
         order = np.lexsort((doc, shingle))
-        shingle, doc = shingle[order], doc[order]
+        shingle, doc, size = shingle[order], doc[order], size[order]
         start = np.flatnonzero(np.r_[len(shingle) > 0, shingle[1:] != shingle[:-1]][: len(shingle)])
-        lead = np.repeat(doc[start], np.diff(np.r_[start, len(doc)]))
-        for pairs, crowd in ((united(lead, doc, bits(shingle)), False), (united(*np.concatenate(ties).T), True)):
-            for a in range(0, len(pairs), 50_000):
-                x = pairs[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(np.full(len(x), crowd)), pa.array(x[:, 2])], names=["pivot", "doc", "crowd", "mask"])
-
-    return rows.mapInArrow(run, "pivot long, doc long, crowd boolean, mask long")
+        length = np.diff(np.r_[start, len(doc)])
+        few = np.repeat((length <= short) & ~np.isin(shingle[start], long), length)
+        lead = np.repeat(doc[start], length)
+        pairs = [np.zeros((0, 3), np.int64)]
+        for d in range(1, short):
+            i = np.flatnonzero(few[d:] & (shingle[d:] == shingle[:-d]))
+            if not len(i):
+                break
+            i = i[100 * np.minimum(size[i], size[i + d]).astype(np.int64) >= percent * np.maximum(size[i], size[i + d]).astype(np.int64)]
+            pairs.append(united(doc[i], doc[i + d], np.zeros(len(i), np.int64)))
+        found = [(united(*np.concatenate(pairs).T), False, True), (united(lead[~few], doc[~few], bits(shingle[~few])), False, False), (united(*tie.T), True, False)]
+        del shingle, doc, size, lead, few, pairs
+        for rows, crowd, pair in found:
+            for a in range(0, len(rows), 50_000):
+                x = rows[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(np.full(len(x), crowd)), pa.array(np.full(len(x), pair)), pa.array(x[:, 2])], names=names)
+
+    return rows.mapInArrow(run, "pivot long, doc long, crowd boolean, pair boolean, mask long")
 
 
 def compressed(docs: DataFrame) -> DataFrame:
@@ -294,7 +317,7 @@ def verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, words: int,
     return out
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, common_at: int = COMMON_AT, region_pairs: int = REGION_PAIRS, crowd: int = CROWD, posting: Posting | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, common_at: int | None = None, region_pairs: int = REGION_PAIRS, crowd: int = CROWD, short: int = SHORT, posting: Posting | None = None) -> DataFrame:
     """(key, n_shingles, component_id) for each document: the connected components of all links of
     Jaccard similarity of percent / 100 or more between sets of distinct `words`-word shingles, exactly.
 
@@ -326,26 +349,26 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     usable = source.where("doc is not null")
     posting = by_shingles(percent) if posting is None else posting
+    posting = posting if common_at is None else replace(posting, common_at=common_at)
     if usable.groupBy("doc").count().where("count > 1").limit(1).count():
-        found, needs = with_repeated_keys(spark, usable, words, percent, common_at, region_pairs, crowd, posting)
+        found, needs = with_repeated_keys(spark, usable, words, percent, region_pairs, crowd, short, posting)
     else:
-        found, needs = of_unique_keys(spark, usable, words, percent, common_at, region_pairs, crowd, posting)
+        found, needs = of_unique_keys(spark, usable, words, percent, region_pairs, crowd, short, posting)
     out = found.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(without_key(source, words, key, posting))
     out.needs = needs
     return out
 
 
-def of_unique_keys(spark: SparkSession, usable: DataFrame, words: int, percent: int, common_at: int, region_pairs: int, crowd: int, posting: Posting) -> tuple[DataFrame, list[DataFrame]]:
+def of_unique_keys(spark: SparkSession, usable: DataFrame, words: int, percent: int, region_pairs: int, crowd: int, short: int, posting: Posting) -> tuple[DataFrame, list[DataFrame]]:
     """(doc, n, component) of documents with keys of their own, and the written steps it reads."""
     told = materialize(spark, describe(usable, words, posting), "sets")
     sets = told.where("doc is not null")
-    often = told.where("doc is null").groupBy("s1").agg(F.sum("n").alias("n")).where(F.col("n") >= common_at)
-    common = np.array([r.s1 for r in often.orderBy(F.desc("n"), "s1").limit(MAX_COMMON).select("s1").collect()], np.int64).view(np.uint64)
-    common.sort()
+    often = told.where("doc is null").groupBy("s1").agg(F.sum("n").alias("n")).where(F.col("n") >= posting.common_at)
+    common = np.sort(often.orderBy(F.desc("n"), "s1").limit(MAX_COMMON).select("s1").toArrow().column(0).to_numpy().view(np.uint64))
     total = sets.agg(F.coalesce(F.sum(posting.posted), F.lit(0)).alias("rows")).first().rows
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // CHUNK))
     rows = assigned(usable, words, posting, common, partitions, crowd).repartitionById(partitions, F.col("bucket"))
-    met = materialize(spark, pivots(rows).groupBy("pivot", "doc", "crowd").agg(F.bit_or("mask").alias("mask")), "pivots")
+    met = materialize(spark, pivots(rows, percent, short).groupBy("pivot", "doc", "crowd", "pair").agg(F.bit_or("mask").alias("mask")), "pivots")
 
     classes = materialize(spark, sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("class"), *[F.first(c).alias(c) for c in [*PARITIES, "fine", "sig"]]), "classes")
     member = spread_join(sets.select("doc", "n", "s1", "s2"), classes.select("n", "s1", "s2", "class"), ["n", "s1", "s2"], "doc", "left")
@@ -387,20 +410,20 @@ def of_unique_keys(spark: SparkSession, usable: DataFrame, words: int, percent:
 
 
 def stars(spark: SparkSession, met: DataFrame, member: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """(pivot, doc, crowd, mask, differ, np, nd, near) of the classes of the documents that met: a lower bound of how much their sets differ, and whether it allows
+    """(pivot, doc, crowd, pair, mask, differ, np, nd, near) of the classes of the documents that met: a lower bound of how much their sets differ, and whether it allows
     a link."""
     for end in ("pivot", "doc"):
         other = member.where("doc <> class").select(F.col("doc").alias(end), "class")
         met = met.join(other, end, "left").withColumn(end, F.coalesce("class", end)).drop("class")
-    met = met.where("pivot <> doc").groupBy("pivot", "doc", "crowd").agg(F.bit_or("mask").alias("mask"))
+    met = met.where("pivot <> doc").groupBy("pivot", "doc", "crowd", "pair").agg(F.bit_or("mask").alias("mask"))
     p, d = (points.select(F.col("doc").alias(end), F.struct("n", *PARITIES).alias(name)) for end, name in (("pivot", "p"), ("doc", "d")))
-    rows = met.join(p, "pivot").join(d, "doc").select("pivot", "doc", "crowd", "mask", least_difference("p", "d").alias("differ"), F.col("p.n").alias("np"), F.col("d.n").alias("nd"))
-    return materialize(spark, rows.withColumn("near", may_link(F.col("differ"), F.col("np"), F.col("nd"), percent)), "stars")
+    rows = met.join(p, "pivot").join(d, "doc").select("pivot", "doc", "crowd", "pair", "mask", least_difference("p", "d").alias("differ"), F.col("p.n").alias("np"), F.col("d.n").alias("nd"))
+    return materialize(spark, rows.withColumn("near", may_link(F.col("differ"), F.col("np"), F.col("nd"), percent)).where("near or not pair"), "stars")
 
 
 def measured(star: DataFrame, checked: DataFrame) -> DataFrame:
     """(region, pivot, doc, mask, lo, hi): all documents of the region of each pivot, with bounds of their distance from it. The region is named by its pivot."""
-    told = star.alias("s").join(checked.alias("c"), F.expr("least(s.pivot, s.doc) = c.a and greatest(s.pivot, s.doc) = c.b"), "left")
+    told = star.where("not pair").alias("s").join(checked.alias("c"), F.expr("least(s.pivot, s.doc) = c.a and greatest(s.pivot, s.doc) = c.b"), "left")
     lo = distance(F.coalesce("c.differ", "s.differ"), F.col("np"), F.col("nd"))
     own = told.select("pivot", "s.doc", "crowd", "mask", lo.alias("lo"), F.when(F.col("c.differ").isNotNull(), lo).otherwise(1.0).alias("hi"))
     tied = own.where("crowd").select(F.col("pivot").alias("first"), "doc", F.col("mask").alias("mask2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
@@ -473,10 +496,10 @@ def crossing(spark: SparkSession, mixed: DataFrame, checked: DataFrame, points:
     return found
 
 
-def with_repeated_keys(spark: SparkSession, usable: DataFrame, words: int, percent: int, common_at: int, region_pairs: int, crowd: int, posting: Posting) -> tuple[DataFrame, list[DataFrame]]:
+def with_repeated_keys(spark: SparkSession, usable: DataFrame, words: int, percent: int, region_pairs: int, crowd: int, short: int, posting: Posting) -> tuple[DataFrame, list[DataFrame]]:
     """As of_unique_keys: each row is a document of its own first, then the components that share a key are one."""
     numbered = materialize(spark, usable.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    rows, needs = of_unique_keys(spark, numbered.select(F.col("row").alias("doc"), "text"), words, percent, common_at, region_pairs, crowd, posting)
+    rows, needs = of_unique_keys(spark, numbered.select(F.col("row").alias("doc"), "text"), words, percent, region_pairs, crowd, short, posting)
     rows = materialize(spark, rows.withColumnRenamed("doc", "row").join(numbered.select("row", "doc"), "row").select("doc", "n", "component"), "rows")
     low = rows.groupBy("doc").agg(F.min("component").alias("low"))
     discard(spark, numbered, *needs)

@@ -7,12 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridlark.llm.common import mix64
-from gridlark.llm.jaccard import COMMON_AT, CROWD, REGION_PAIRS, Posting, jaccard_components
+from gridlark.llm.jaccard import CROWD, REGION_PAIRS, SHORT, Posting, jaccard_components
 
 WORDS = 2
 PERCENT = 80
 COORDINATES = 128
 MATCHES = 76
+COMMON_AT = 8
 _PART = 4096
 
 
@@ -59,7 +60,7 @@ def matching(least: int):
     return keep
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES, common_at: int = COMMON_AT, region_pairs: int = REGION_PAIRS, crowd: int = CROWD) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES, common_at: int = COMMON_AT, region_pairs: int = REGION_PAIRS, crowd: int = CROWD, short: int = SHORT) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each document: the components of links of Jaccard similarity of percent / 100 or more between sets of distinct
     `words`-word shingles. kept: the document is the smallest of its component.
 
@@ -68,16 +69,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     2. Documents are posted under coordinate-value pairs. Signatures that agree in `matches` places share one of the first coordinates - matches + 1 pairs of
        either in any order of all pairs, so only those are posted; frequent pairs come last in that order, so that long lists are skipped
        but by documents made of them.
-    3. Documents that meet in a list are counted over their whole signatures, and pairs above the threshold are confirmed on the whole sets. A list's documents meet its first one; pairs
-       among the others are compared only where they aren't in one component yet, within the same bounds as in the exact join (see jaccard_components).
+    3. A list of up to `short` documents pairs all whose sizes allow a link; in a longer one all meet the first, and pairs
+       among the others are made only where they aren't in one component yet, within the same bounds as in the exact join (see jaccard_components). Pairs are counted over their whole
+       signatures, and those above the threshold are confirmed on the whole sets.
 
     Documents without words, or with a null text, have empty sets, link with nothing and are kept. Rows with a null key come back with a null component and are kept; rows of one key are
     one node. Equal sets always link. Other columns aren't read. An empty table gives no rows.
     """
     signer = Signer(coordinates)
     prefix = coordinates - matches + 1
-    posting = Posting(signer.tokens, lambda n: prefix, F.lit(prefix), matching(matches))
-    found = jaccard_components(docs, key, text, words, percent, common_at, region_pairs, crowd, posting)
+    posting = Posting(signer.tokens, lambda n: prefix, F.lit(prefix), common_at, matching(matches))
+    found = jaccard_components(docs, key, text, words, percent, region_pairs=region_pairs, crowd=crowd, short=short, posting=posting)
     out = found.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
     out.needs = found.needs
     return out

@@ -60,12 +60,12 @@ def corpus(seed):
     return [(i * 3 + 1, t) for i, t in enumerate(docs)]
 
 
-@pytest.mark.parametrize(("seed", "common_at", "region_pairs", "crowd"), [(1, 64, 2_000, 64), (2, 4, 0, 3)])
-def test_components_against_brute_force(spark, seed, common_at, region_pairs, crowd):
+@pytest.mark.parametrize(("seed", "common_at", "region_pairs", "crowd", "short"), [(1, 64, 2_000, 64, 32), (2, 4, 0, 3, 1), (2, 4, 0, 3, 4)])
+def test_components_against_brute_force(spark, seed, common_at, region_pairs, crowd, short):
     """The second case makes every region recursive and ties crowds of three."""
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, i, "x") for i, t in rows], "doc_id long, text string, doc int, n string").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, common_at=common_at, region_pairs=region_pairs, crowd=crowd).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, common_at=common_at, region_pairs=region_pairs, crowd=crowd, short=short).collect()}
     assert got == brute(rows)
 
 

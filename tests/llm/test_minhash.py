@@ -15,11 +15,11 @@ def brute(rows, monkeypatch):
     return {i: (n, c, i == c) for i, (n, c) in test_jaccard.brute(rows).items()}
 
 
-@pytest.mark.parametrize(("seed", "common_at", "region_pairs", "crowd"), [(5, 64, 2_000, 64), (6, 4, 0, 3)])
-def test_components_against_brute_force(spark, monkeypatch, seed, common_at, region_pairs, crowd):
+@pytest.mark.parametrize(("seed", "common_at", "region_pairs", "crowd", "short"), [(5, 8, 2_000, 64, 32), (6, 4, 0, 3, 1)])
+def test_components_against_brute_force(spark, monkeypatch, seed, common_at, region_pairs, crowd, short):
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, i, True) for i, t in rows], "doc_id long, text string, sig long, kept boolean").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, common_at=common_at, region_pairs=region_pairs, crowd=crowd).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, common_at=common_at, region_pairs=region_pairs, crowd=crowd, short=short).collect()}
     assert got == brute(rows, monkeypatch)
 
 
