@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
 import os
 import re
@@ -10,6 +12,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -64,6 +67,22 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def releasing(run):
+    """A task's function that gives the memory it took back to the system when it ends; workers are used again by other tasks and would keep it."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            return
+
+    return wrapped
+
+
 def slices(texts: list, limit: int = SLICE_BYTES):
     """(from, to) of consecutive texts of about `limit` characters, at least one text each."""
     start = size = 0

@@ -11,7 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridlark.llm.common import discard, materialize, ship, slices
+from gridlark.llm.common import discard, materialize, releasing, ship, slices
 from gridlark.llm.components import connected, spread_join
 from gridlark.llm.shingles import WORDS, Shingler, overlap
 
@@ -107,7 +107,7 @@ def describe(docs: DataFrame, words: int, posting: Posting) -> DataFrame:
         if sets:
             yield frequent()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def signature(s: np.ndarray) -> tuple[int, int]:
@@ -178,7 +178,7 @@ def assigned(docs: DataFrame, words: int, posting: Posting, common: np.ndarray,
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket int, shingles binary, docs binary, sizes binary, crowd binary, long binary")
+    return docs.mapInArrow(releasing(run), "bucket int, shingles binary, docs binary, sizes binary, crowd binary, long binary")
 
 
 def bits(shingle: np.ndarray) -> np.ndarray:
@@ -242,7 +242,7 @@ def pivots(rows: DataFrame, percent: int, short: int = SHORT) -> DataFrame:
                 x = rows[a : a + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(np.full(len(x), crowd)), pa.array(np.full(len(x), pair)), pa.array(x[:, 2])], names=names)
 
-    return rows.mapInArrow(run, "pivot long, doc long, crowd boolean, pair boolean, mask long")
+    return rows.mapInArrow(releasing(run), "pivot long, doc long, crowd boolean, pair boolean, mask long")
 
 
 def compressed(docs: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def compressed(docs: DataFrame) -> DataFrame:
                 texts = [pack((t or "").encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], names=["doc", "text"])
 
-    return docs.mapInArrow(run, "doc long, text binary")
+    return docs.mapInArrow(releasing(run), "doc long, text binary")
 
 
 def least_difference(x: str, y: str) -> Column:
@@ -312,7 +312,7 @@ def verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, words: int,
             yield pa.RecordBatch.from_arrays([a, b, pa.array(differ, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "differ", "linked"])
 
     with small_batches(spark, 500):
-        out = materialize(spark, joined.mapInArrow(run, "a long, b long, differ long, linked boolean"), "verified")
+        out = materialize(spark, joined.mapInArrow(releasing(run), "a long, b long, differ long, linked boolean"), "verified")
     discard(spark, pairs, texts)
     return out
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridlark.llm.common import mix64
+from gridlark.llm.common import mix64, releasing
 from gridlark.llm.jaccard import CROWD, REGION_PAIRS, SHORT, Posting, jaccard_components
 
 WORDS = 2
@@ -55,7 +55,7 @@ def matching(least: int):
                     yield batch.filter(pa.array((u == v).sum(axis=1) >= least)).drop_columns(["sx", "sy"])
 
         rest = pairs.drop("sx", "sy")
-        return pairs.select(*rest.columns, "sx", "sy").mapInArrow(run, rest.schema)
+        return pairs.select(*rest.columns, "sx", "sy").mapInArrow(releasing(run), rest.schema)
 
     return keep
 

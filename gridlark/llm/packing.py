@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, types as T
 
 from gridlark.llm import pretokens
-from gridlark.llm.common import ship, slices
+from gridlark.llm.common import releasing, ship, slices
 from gridlark.llm.token_counts import byte_symbols
 
 CACHE_ENTRIES = 300_000
@@ -188,4 +188,4 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", size
             cut = rebalance([[i, 0, p[2], p[5], p[6]] for i, p in enumerate(rest)], size)
             yield batch_of([(rest[i][0], rest[i][1] + s, n, rest[i][3][4 * s : 4 * (s + n)], rest[i][4], w, o) for i, s, n, w, o in cut])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlark.llm.common import ship
+from gridlark.llm.common import discard, materialize, releasing, ship
 
 MAX_LABELLED = 50_000
 SURE = 3.0
@@ -163,8 +163,8 @@ def logistic(points: list[tuple[float, int, int]], steps: int = 50) -> tuple[flo
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", min_docs: int = 3, max_labelled: int = MAX_LABELLED, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """A lexicon from labelled documents.
 
-    At most max_labelled labelled rows (a documented bound, chosen by a hash of the key) are used; they are broadcast to the scan of docs, so
-    that texts are not shuffled. Words and word pairs are counted by the documents of either label that hold them. A word that at least
+    At most max_labelled labelled rows (a documented bound, chosen by a hash of the key) are used; they are broadcast to the one scan of docs, whose
+    labelled texts are written down, so that texts are not shuffled and later steps read no others. Words and word pairs are counted by the documents of either label that hold them. A word that at least
     min_docs documents of label 1 hold, with log odds above 2 against label 0, gets its smoothed log odds as
     weight. Word pairs that hold such a word but stand in clean documents are exceptions, as are those given. A word with log odds of 2 or less, but
     above SURE standard deviations, is counted again without the clean documents that hold it in exceptions only. Toxic word pairs aren't learned. Slope and offset are fitted on
@@ -175,6 +175,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "d
     chosen = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)")
     chosen = chosen.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").orderBy(F.crc32(F.col("k").cast("string")), "k").limit(max_labelled).select("k", "y")
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), "k").select("y", "text")
+    rows = materialize(spark, rows, "labelled")
 
     def counted_terms(taken) -> DataFrame:
         """How many documents of label 1 (p) and 0 (q) hold each term that taken() finds among words; counted by task before the shuffle, at most HELD_TERMS at a time."""
@@ -198,12 +199,13 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "d
             if clean or toxic:
                 yield out()
 
-        return rows.mapInArrow(count, "term string, p long, q long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+        return rows.mapInArrow(releasing(count), "term string, p long, q long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
 
     totals = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
     n1, n0 = totals.p, totals.n - totals.p
     offset = math.log((n1 + 1) / (n0 + 1))
     if not n1:
+        discard(spark, rows)
         return Lexicon({}, exceptions, 0.0, min(offset, -1e-3))
     odds = F.log((F.col("p") + 0.1) * (n0 + 1) / ((F.col("q") + 0.1) * (n1 + 1)))
     deviation = F.sqrt(1 / (F.col("p") + 0.1) + 1 / (F.col("q") + 0.1))
@@ -232,7 +234,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "d
                         hits += seen
                     yield pa.RecordBatch.from_arrays([pa.array(hits, pa.string())], names=["term"])
 
-            left = {r.term: r.n for r in rows.where("y = 0").select("text").mapInArrow(outside, "term string").groupBy("term").agg(F.count("*").alias("n")).collect()}
+            left = {r.term: r.n for r in rows.where("y = 0").select("text").mapInArrow(releasing(outside), "term string").groupBy("term").agg(F.count("*").alias("n")).collect()}
             for t in doubtful:
                 w = math.log((counted[t][1] + 0.1) * (n0 + 1) / ((left.get(t, 0) + 0.1) * (n1 + 1)))
                 if w > 2:
@@ -247,8 +249,9 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "d
             found = [m.weight(*readings(t.as_py()))[0] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([round(x, 3) for x in found], pa.float64())], names=["y", "x"])
 
-    points = [(r.x, r.y, r.n) for r in rows.mapInArrow(weigh, "y int, x double").groupBy("x", "y").agg(F.count("*").alias("n")).orderBy("x", "y").collect()]
+    points = [(r.x, r.y, r.n) for r in rows.mapInArrow(releasing(weigh), "y int, x double").groupBy("x", "y").agg(F.count("*").alias("n")).orderBy("x", "y").collect()]
     slope, offset = logistic(points)
+    discard(spark, rows)
     return Lexicon(weights, exceptions, slope, offset)
 
 
@@ -270,4 +273,4 @@ def score(df: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float
             more = [pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= threshold) for s, _ in found], pa.int32()), pa.array([n for _, n in found], pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "score", "predicted", "n_hits"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(releasing(run), schema)
