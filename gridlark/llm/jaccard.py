@@ -21,6 +21,7 @@ MAX_COMMON = 500_000
 CROWD = 64
 SHORT = 32
 CHUNK = 1_000_000
+SKETCH, AGREE = 16, 4
 SLICE = 512 << 10
 REGION_PAIRS = 2_000
 PARTS = 512
@@ -119,11 +120,11 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def assigned(docs: DataFrame, words: int, posting: Posting, common: np.ndarray, buckets: int, crowd: int = CROWD) -> DataFrame:
-    """(bucket, shingles, docs, sizes, crowd, long): each set under the tokens by which it can meet a partner, common ones last. Below a token is called a shingle.
+    """(bucket, shingles, docs, sizes, marks, crowd, long): each set under the tokens by which it can meet a partner, common ones last. Below a token is called a shingle.
 
     A set that comes again in the same task is left out, its documents being linked
     by their signature. Under a shingle that `crowd` sets or more of a flush hold only the first of them goes on; the others are tied to it
-    in `crowd`, so that a shingle of very many documents is a few rows of each task. Rows travel as arrays: shingles as 64-bit numbers, docs as compressed differences, sizes of the sets,
+    in `crowd`, so that a shingle of very many documents is a few rows of each task. Rows travel as arrays: shingles as 64-bit numbers, docs as compressed differences, sizes of the sets, the first SKETCH bytes of their marks,
     crowd as triples (first, other, mask), long as the shingles that have a crowd.
     """
     tokens_of, prefix = posting.tokens, posting.prefix
@@ -136,7 +137,7 @@ def assigned(docs: DataFrame, words: int, posting: Posting, common: np.ndarray,
             return ((shingle & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
         def flush():
-            shingle, doc, many = (np.concatenate(x) for x in zip(*held, strict=True))
+            shingle, doc, many, marks = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             values, at, counts = np.unique(shingle, return_inverse=True, return_counts=True)
             crowded = counts[at] >= crowd
@@ -146,14 +147,14 @@ def assigned(docs: DataFrame, words: int, posting: Posting, common: np.ndarray,
                 np.minimum.at(first, at[crowded], doc[crowded])
                 ties = united(first[at[crowded]], doc[crowded], bits(shingle[crowded]))
                 stay = ~crowded | (doc == first[at])
-                shingle, doc, many = shingle[stay], doc[stay], many[stay]
+                shingle, doc, many, marks = shingle[stay], doc[stay], many[stay], marks[stay]
             long = values[counts >= crowd]
             rows = by_bucket(bucket_of(shingle), buckets)
             crowds = by_bucket(bucket_of(long), buckets)
             tied = by_bucket(ties[:, 1] % buckets, buckets)
-            out = [(b, shingle[i].tobytes(), pack(np.diff(doc[i], prepend=0).astype("<i8").tobytes()), pack(many[i].tobytes()), pack(ties[j].astype("<i8").tobytes()), long[k].tobytes()) for b, (i, j, k) in enumerate(zip(rows, tied, crowds, strict=True)) if len(i) or len(j)]
+            out = [(b, shingle[i].tobytes(), pack(np.diff(doc[i], prepend=0).astype("<i8").tobytes()), pack(many[i].tobytes()), pack(marks[i].tobytes()), pack(ties[j].astype("<i8").tobytes()), long[k].tobytes()) for b, (i, j, k) in enumerate(zip(rows, tied, crowds, strict=True)) if len(i) or len(j)]
             cols = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "shingles", "docs", "sizes", "crowd", "long"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "shingles", "docs", "sizes", "marks", "crowd", "long"])
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -163,12 +164,13 @@ def assigned(docs: DataFrame, words: int, posting: Posting, common: np.ndarray,
                     if not n or (sig := signature(s)) in seen:
                         continue
                     seen.add(sig)
-                    s, _ = tokens_of(s)
+                    s, mark = tokens_of(s)
+                    mark = np.frombuffer((mark or b"")[:SKETCH], np.uint8)
                     k = min(len(s), prefix(n))
                     if len(common):
                         often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
                         s = np.concatenate([s[~often], s[often]])
-                    held.append((s[:k].copy(), np.full(k, doc), np.full(k, n, np.int32)))
+                    held.append((s[:k].copy(), np.full(k, doc), np.full(k, n, np.int32), np.broadcast_to(mark, (k, len(mark)))))
                     size += k
                 if size >= CHUNK:
                     yield flush()
@@ -178,7 +180,7 @@ def assigned(docs: DataFrame, words: int, posting: Posting, common: np.ndarray,
         if held:
             yield flush()
 
-    return docs.mapInArrow(releasing(run), "bucket int, shingles binary, docs binary, sizes binary, crowd binary, long binary")
+    return docs.mapInArrow(releasing(run), "bucket int, shingles binary, docs binary, sizes binary, marks binary, crowd binary, long binary")
 
 
 def bits(shingle: np.ndarray) -> np.ndarray:
@@ -205,23 +207,26 @@ def by_bucket(bucket: np.ndarray, buckets: int) -> list[np.ndarray]:
 
 def pivots(rows: DataFrame, percent: int, short: int = SHORT) -> DataFrame:
     """(pivot, doc, crowd, pair, mask) from assigned(): the documents that meet under a shingle each with the first of them, their pivot. Under a shingle of no more than `short` documents
-    all that may link by their sizes are paired instead (pair), and have no pivot. crowd: the pivot is that of a
+    all that may link by their sizes are paired instead (pair), and have no pivot; where sets have marks, at least AGREE of their first SKETCH bytes agree (at a similarity of 0.8
+    fewer do with a probability under 3e-7). crowd: the pivot is that of a
     crowd and may itself have one for the same shingle. mask has the bits of the shingles under which the two meet: documents that meet there too have
     one of them in common. Pairs come once a task."""
     names = ["pivot", "doc", "crowd", "pair", "mask"]
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
-        shingles, docs, sizes, ties, longs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros((0, 3), np.int64)], [np.zeros(0, np.uint64)]
+        shingles, docs, sizes, marks, ties, longs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [], [np.zeros((0, 3), np.int64)], [np.zeros(0, np.uint64)]
         for batch in batches:
-            for shingle, doc, size, tie, long in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3, 4, 5)], strict=True):
+            for shingle, doc, size, mark, tie, long in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3, 4, 5, 6)], strict=True):
                 shingles.append(np.frombuffer(shingle, np.uint64))
                 docs.append(np.cumsum(np.frombuffer(unpack(doc), "<i8")))
                 sizes.append(np.frombuffer(unpack(size), "<i4"))
+                marks.append(np.frombuffer(unpack(mark), np.uint8))
                 ties.append(np.frombuffer(unpack(tie), "<i8").reshape(-1, 3))
                 longs.append(np.frombuffer(long, np.uint64))
         shingle, doc, size, tie, long = (np.concatenate(x) for x in (shingles, docs, sizes, ties, longs))
-        del shingles, docs, sizes, ties, longs
+        mark = np.concatenate(marks).reshape(len(doc), -1) if len(doc) else np.zeros((0, 0), np.uint8)
+        del shingles, docs, sizes, marks, ties, longs
         order = np.lexsort((doc, shingle))
         shingle, doc, size = shingle[order], doc[order], size[order]
         start = np.flatnonzero(np.r_[len(shingle) > 0, shingle[1:] != shingle[:-1]][: len(shingle)])
@@ -233,10 +238,12 @@ def pivots(rows: DataFrame, percent: int, short: int = SHORT) -> DataFrame:
             i = np.flatnonzero(few[d:] & (shingle[d:] == shingle[:-d]))
             if not len(i):
                 break
+            if mark.shape[1]:
+                i = i[(mark[order[i]] == mark[order[i + d]]).sum(axis=1) >= AGREE]
             i = i[100 * np.minimum(size[i], size[i + d]).astype(np.int64) >= percent * np.maximum(size[i], size[i + d]).astype(np.int64)]
             pairs.append(united(doc[i], doc[i + d], np.zeros(len(i), np.int64)))
         found = [(united(*np.concatenate(pairs).T), False, True), (united(lead[~few], doc[~few], bits(shingle[~few])), False, False), (united(*tie.T), True, False)]
-        del shingle, doc, size, lead, few, pairs
+        del shingle, doc, size, mark, lead, few, pairs
         for rows, crowd, pair in found:
             for a in range(0, len(rows), 50_000):
                 x = rows[a : a + 50_000]
@@ -384,14 +391,14 @@ def of_unique_keys(spark: SparkSession, usable: DataFrame, words: int, percent:
     regions = materialize(spark, measured(star, checked), "regions")
     discard(spark, star)
 
-    mixed, work = several(spark, regions, component, points, region_pairs)
+    mixed, work = several(spark, regions, component, points, region_pairs, percent)
     while work.large:
         cells, more = divided(spark, mixed, checked, points, usable, words, percent, posting)
         merged = connected(spark, more.where("linked"), known=component)
         both = materialize(spark, checked.unionByName(more), "verified")
         discard(spark, regions, mixed, component, checked, more)
         regions, component, checked, before = cells, merged, both, work
-        mixed, work = several(spark, regions, component, points, region_pairs)
+        mixed, work = several(spark, regions, component, points, region_pairs, percent)
         if work.pairs > 0.75 * before.pairs:
             break
     found = crossing(spark, mixed, checked, points, percent, posting)
@@ -434,12 +441,18 @@ def measured(star: DataFrame, checked: DataFrame) -> DataFrame:
     return rows.unionByName(itself).select(F.col("pivot").cast("string").alias("region"), "*")
 
 
-def several(spark: SparkSession, regions: DataFrame, component: DataFrame, points: DataFrame, region_pairs: int):
-    """The rows of regions that hold several components, each with its component, whether it is the pivot's (main), its size and parities, and whether the region has
+def several(spark: SparkSession, regions: DataFrame, component: DataFrame, points: DataFrame, region_pairs: int, percent: int):
+    """The rows of regions that may link with one of another component there, by their distances from the pivot, each with its component, whether it is the pivot's (main), its size and parities, and whether the region has
     more than region_pairs pairs to compare (large); and how many pairs that makes, and whether there are large ones."""
     rows = regions.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    per = rows.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max(F.when(F.col("doc") == F.col("pivot"), F.col("component"))).alias("of_pivot")).where("least < most").select("region", "of_pivot")
-    rows = spread_join(rows, per, ["region"], "doc").withColumn("main", F.col("component") == F.col("of_pivot")).drop("of_pivot")
+    of_pivot = component.select(F.col("node").alias("pivot"), F.col("component").alias("of_pivot"))
+    rows = rows.join(of_pivot, "pivot", "left").withColumn("main", F.col("component") == F.coalesce("of_pivot", "pivot")).drop("of_pivot")
+    other = lambda c: F.when(~F.col("main"), F.col(c))
+    per = rows.groupBy("region").agg(F.min(other("lo")).alias("nearest"), F.max(F.when(F.col("main"), F.col("hi"))).alias("farthest"), (F.min(other("component")) < F.max(other("component"))).alias("many")).where("nearest is not null")
+    # a document goes on if its distance lets it link with one of another component
+    eps = (100 - percent) / 100 + _SLACK
+    meets = F.when(F.col("main"), F.col("hi") + eps >= F.col("nearest")).otherwise(F.col("many") | (F.col("lo") - eps <= F.col("farthest")))
+    rows = spread_join(rows, per, ["region"], "doc").where(F.coalesce(meets, F.lit(False))).drop("nearest", "farthest", "many")
     size = rows.groupBy("region").agg((F.count("*") * F.count_if(~F.col("main"))).alias("pairs")).select("region", "pairs", (F.col("pairs") > region_pairs).alias("large"))
     rows = spread_join(rows, size, ["region"], "doc").drop("pairs").join(points.drop("fine", "sig"), "doc")
     mixed = materialize(spark, rows.select("region", "pivot", "doc", "mask", "lo", "hi", "component", "main", "large", "n", *PARITIES), "mixed")
