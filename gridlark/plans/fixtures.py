@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridlark.functions.expressions import ts_code, zfill
 from gridlark.operators import graph, panel as ops
@@ -101,6 +101,35 @@ def messages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return m, f
 
 
+YEAR_STEP = 1_000_000_000
+
+
+def years_column() -> Column:
+    return F.sequence(F.lit(TRAIN[0]).cast("long"), F.lit(TEST[1]).cast("long"))
+
+
+def messages_by_year(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """messages() of all years as one graph without edges between years: a node's id in a year is year * YEAR_STEP + node."""
+    index = nodes(spark, d)
+    own = lambda c: F.col("year") * YEAR_STEP + F.col(c)
+    e = edges(spark, d, index)
+    m = graph.both_ways(e).select(own("src_idx").alias("src"), own("dst_idx").alias("dst"), graph.relation(F.col("edge_type")).alias("rel"))
+    f = index.select("node_idx", F.explode(years_column()).alias("year"), F.array(F.lit(0), F.lit(1), F.lit(2)).alias("ks"))
+    f = f.select(own("node_idx").alias("node"), "node_idx", F.explode("ks").alias("k")).select("node", "k", (((F.col("node_idx") * 7 + F.col("k") * 13) % 101) / F.lit(101.0)).alias("v"))
+    return m, f
+
+
+def snapshots(spark: SparkSession, d: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(year, node, y, split, v) of all nodes in all years, features scaled by the training rows and zeros for nodes without a panel row, and messages (year, src, dst, rel)."""
+    index = nodes(spark, d)
+    p = panel(spark, d).where("split is not null")
+    x = ops.standardized(p, p.where("split = 'train'"), columns).select("ts_code", F.col("year").cast("long").alias("year"), "split", F.col("label").cast("double").alias("y"), F.array(*[F.col(c) for c in columns]).alias("x"))
+    every = index.select(F.col("node_idx").alias("node"), "ts_code", F.explode(years_column()).alias("year"))
+    n = every.join(x, ["ts_code", "year"], "left").select("year", "node", "y", "split", F.coalesce("x", F.array_repeat(F.lit(0.0), len(columns))).alias("v"))
+    m = graph.both_ways(edges(spark, d, index)).select("year", F.col("src_idx").alias("src"), F.col("dst_idx").alias("dst"), graph.relation(F.col("edge_type")).alias("rel"))
+    return n, m
+
+
 def scores(spark: SparkSession, d: str) -> DataFrame:
     """One row per order with lines: cell, id, y, and three scores, tied to different degrees."""
     lines = read(spark, d, "lineitem", F.col("l_orderkey").alias("id"), "l_discount")

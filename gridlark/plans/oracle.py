@@ -47,6 +47,10 @@ coded AS (SELECT src_idx, dst_idx, CASE edge_type WHEN 'E1_HOLDS_BY' THEN 0 WHEN
 m AS (SELECT src_idx AS src, dst_idx AS dst, rel FROM coded WHERE year = 1998 UNION ALL SELECT dst_idx, src_idx, rel FROM coded WHERE year = 1998),
 f AS (SELECT node_idx AS node, CAST(k AS INTEGER) AS k, ((node_idx * 7 + k * 13) % 101) / CAST(101 AS DOUBLE) AS v FROM nodes, range(3) t(k))"""
 LOOPED = f"{MESSAGES}, ml AS (SELECT src, dst FROM m WHERE src <> dst UNION ALL SELECT node_idx, node_idx FROM nodes)"
+MESSAGES_BY_YEAR = f"""{EDGES},
+coded AS (SELECT src_idx + year * 1000000000 AS src, dst_idx + year * 1000000000 AS dst, CASE edge_type WHEN 'E1_HOLDS_BY' THEN 0 WHEN 'E2_LEGAL_REP' THEN 1 WHEN 'E3_MANAGER' THEN 2 END AS rel FROM edges),
+m AS (SELECT src, dst, rel FROM coded UNION ALL SELECT dst, src, rel FROM coded), ny AS (SELECT node_idx + y * 1000000000 AS node, node_idx FROM nodes, range(1995, 2002) t(y)),
+f AS (SELECT node, CAST(k AS INTEGER) AS k, ((node_idx * 7 + k * 13) % 101) / CAST(101 AS DOUBLE) AS v FROM ny, range(3) t(k)), ml AS (SELECT src, dst FROM m WHERE src <> dst UNION ALL SELECT node, node FROM ny)"""
 SCORES = """li AS (SELECT l_orderkey AS id, CAST(count(*) AS DOUBLE) AS s_a, ((sum(CAST(round(l_discount * 100) AS BIGINT)) * 10) // count(*)) / CAST(1000 AS DOUBLE) AS s_b FROM lineitem GROUP BY 1),
 sc AS (SELECT o_orderkey AS id, o_orderpriority AS cell, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, s_a, s_b, o_totalprice AS s_u, year(o_orderdate) AS year FROM orders JOIN li ON id = o_orderkey)"""
 LONG = f"{SCORES}, x AS (SELECT 's_a' AS model, id, y, s_a AS s FROM sc UNION ALL SELECT 's_b', id, y, s_b FROM sc UNION ALL SELECT 's_u', id, y, s_u FROM sc)"
@@ -184,3 +188,16 @@ p0 AS (SELECT src AS start, src AS node, CAST(src AS VARCHAR) AS path FROM nb),
     "auc_band_case": f"WITH {RESULTS}, s AS (SELECT model, modal, seed, round(test_auc * CAST(1.15 AS DOUBLE), 6) AS test_auc FROM res) SELECT model, modal, seed, test_auc, CASE WHEN test_auc < 0.55 THEN 'none' WHEN test_auc < 0.6 THEN 'weak' ELSE 'signal' END AS band FROM s",
     "sig_stars": "WITH s AS (SELECT o_orderkey, ((o_orderkey * 7) % 1000) / CAST(10000 AS DOUBLE) AS p FROM orders) SELECT o_orderkey, p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM s",
 }
+
+
+def by_year(name: str, columns: str) -> str:
+    """A kernel's SQL over the graph of all years, keyed by year and node."""
+    body = SQL[name].removeprefix("WITH ")
+    given = next(x for x in (LOOPED, MESSAGES) if body.startswith(x))
+    rest = body.removeprefix(given).removeprefix(",").lstrip()
+    made, select = rest.rsplit("\nSELECT ", 1) if "\nSELECT " in rest else rest.split(" SELECT node, k, round(v, 8)", 1)
+    select = select if "\nSELECT " in rest else "node, k, round(v, 8)" + select
+    return f"WITH {MESSAGES_BY_YEAR}, {made}, found AS (SELECT {select}) SELECT node // 1000000000 AS year, node % 1000000000 AS node, k, {columns} FROM found"
+
+
+SQL |= {new: by_year(old, columns) for new, old, columns in (("gcn_years", "gcn_agg", "v"), ("sage_years", "sage_mean", "root, v"), ("rgcn_years", "rgcn_mean", "v"), ("gated_years", "pcgnn_gate", "v"), ("gat_years", "gat_softmax", "v"))}

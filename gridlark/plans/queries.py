@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlark.functions import expressions as ex, metrics
-from gridlark.operators import graph, learners, panel as ops, reporting
+from gridlark.operators import graph, learners, networks, panel as ops, reporting, training
 from gridlark.plans import fixtures as fx
+from gridlark.sources.steps import written
 
 QUERIES: dict = {}
 D = 8
@@ -276,6 +277,37 @@ def gat_softmax(spark: SparkSession, d: str) -> DataFrame:
     return rounded(graph.gat(*fx.messages(spark, d), [0.7, -0.3, 0.2], [0.1, 0.4, -0.6]), ["v"])
 
 
+def by_year(df: DataFrame, *columns: str) -> DataFrame:
+    """Results of messages_by_year keyed by year and node."""
+    year = F.floor(F.col("node") / fx.YEAR_STEP)
+    return rounded(df.select(year.cast("long").alias("year"), (F.col("node") % fx.YEAR_STEP).alias("node"), "k", *columns), list(columns))
+
+
+@query
+def gcn_years(spark: SparkSession, d: str) -> DataFrame:
+    return by_year(graph.gcn(*fx.messages_by_year(spark, d)), "v")
+
+
+@query
+def sage_years(spark: SparkSession, d: str) -> DataFrame:
+    return by_year(graph.sage_mean(*fx.messages_by_year(spark, d)), "root", "v")
+
+
+@query
+def rgcn_years(spark: SparkSession, d: str) -> DataFrame:
+    return by_year(graph.rgcn_mean(*fx.messages_by_year(spark, d), {0: 0.5, 1: -0.25, 2: 1.5}), "v")
+
+
+@query
+def gated_years(spark: SparkSession, d: str) -> DataFrame:
+    return by_year(graph.gated(*fx.messages_by_year(spark, d)), "v")
+
+
+@query
+def gat_years(spark: SparkSession, d: str) -> DataFrame:
+    return by_year(graph.gat(*fx.messages_by_year(spark, d), [0.7, -0.3, 0.2], [0.1, 0.4, -0.6]), "v")
+
+
 @query
 def label_propagation(spark: SparkSession, d: str) -> DataFrame:
     index = fx.nodes(spark, d)
@@ -333,13 +365,54 @@ def gbt_grid(spark: SparkSession, d: str) -> DataFrame:
     return learners.scored(model, learners.assembled(rows.where("split = 'test'"), COLUMNS), ["firm_id", "year"], "label")
 
 
+MODALS = {"M1": ("feat_n_orders", "feat_urgent_share"), "M4": ("feat_n_orders", "feat_urgent_share", "fini_avg_discount", "fini_max_qty")}
+CELL_SEEDS = (42, 123, 456, 789, 1024)
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    return fx.panel(spark, d).where("split is not null").select(F.concat_ws("-", "firm_id", "year").alias("id"), F.col("label").alias("y"), "split", *MODALS["M4"])
+
+
 @query
 def mlp_cell(spark: SparkSession, d: str) -> DataFrame:
-    """Two seeds of two modalities, one task each."""
-    modal = {"M1": ["feat_n_orders", "feat_urgent_share"], "M4": ["feat_n_orders", "feat_urgent_share", "fini_avg_discount", "fini_max_qty"]}
-    rows = fx.panel(spark, d).where("split is not null").select(F.concat_ws("-", "firm_id", "year").alias("id"), F.col("label").alias("y"), "split", *modal["M4"])
-    cells = spark.createDataFrame([("MLP", m, s, '{"epochs": 100}') for m in modal for s in (42, 123)], "model string, modal string, seed int, params string")
-    return learners.run_cells(rows, cells, modal)
+    """Five seeds of two modalities, all trained from one pass over the rows an epoch."""
+    return training.run_networks(labelled(spark, d), list(MODALS["M4"]), [training.Cell("MLP", m, c, seed=s) for m, c in MODALS.items() for s in CELL_SEEDS])
+
+
+@query
+def mlp_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Two learning rates by two widths, in the same passes."""
+    return training.run_networks(labelled(spark, d), list(MODALS["M4"]), training.sweep(training.Cell("MLP", "M4", MODALS["M4"])))
+
+
+def network_cell(spark: SparkSession, d: str, net: networks.Network) -> DataFrame:
+    """A network trained on the snapshots of all training years: scores of the test rows under the weights of the best epoch."""
+    n, m = (written(x, name) for x, name in zip(fx.snapshots(spark, d, COLUMNS), ("snapshot", "messages"), strict=True))
+    years = F.col("year").between(*fx.TRAIN)
+    fit = networks.train(n.where(years), m.where(years), net, len(COLUMNS))
+    years = F.col("year").between(*fx.VAL)
+    epoch, _ = networks.best_epoch(networks.scored(n.where(years), m.where(years), net, len(COLUMNS), fit.kept))
+    years = F.col("year").between(*fx.TEST)
+    out = networks.scored(n.where(years), m.where(years), net, len(COLUMNS), {epoch: fit.kept[epoch]})
+    return out.select(F.lit(net.kind).alias("model"), "year", "node", F.col("y").cast("int").alias("y"), (1 / (1 + F.exp(-F.col("s")))).alias("s"), F.col("epoch").alias("best_epoch"))
+
+
+NETWORK_EPOCHS = 10
+
+
+@query
+def gcn_trained(spark: SparkSession, d: str) -> DataFrame:
+    return network_cell(spark, d, networks.Network("GCN", epochs=NETWORK_EPOCHS))
+
+
+@query
+def sage_trained(spark: SparkSession, d: str) -> DataFrame:
+    return network_cell(spark, d, networks.Network("SAGE", epochs=NETWORK_EPOCHS))
+
+
+@query
+def rgcn_trained(spark: SparkSession, d: str) -> DataFrame:
+    return network_cell(spark, d, networks.Network("RGCN", epochs=NETWORK_EPOCHS, relations=3))
 
 
 @query

@@ -135,13 +135,6 @@ def test_logistic_solves_its_objective(spark):
     assert m.coefficients.toArray() + x.T @ (w * (p - y)) == pytest.approx(np.zeros(2), abs=1e-2)
 
 
-def test_failed_cell_leaves_the_others(spark):
-    rows = spark.createDataFrame([(str(i), i % 2, s, float(i)) for i in range(30) for s in ("train", "val", "test")], "id string, y int, split string, feat_a double")
-    cells = spark.createDataFrame([("MLP", "ok", 1, "{}"), ("MLP", "none", 1, "{}")], "model string, modal string, seed int, params string")
-    out = learners.run_cells(rows, cells, {"ok": ["feat_a"]}).collect()
-    assert {r.modal: r.status for r in out}["ok"] == "ok" and sum(r.modal == "none" for r in out) == 1 and "KeyError" in next(r.status for r in out if r.modal == "none")
-
-
 def test_reporting(spark):
     res = spark.createDataFrame([("A", "M5", 1, 0.5), ("A", "M5", 2, float("nan")), ("A", "M11", 1, 0.7), ("A", "M11", 2, 0.8), ("A", "M11", 3, 0.9)], "model string, modal string, seed int, test_auc double")
     agg = {r.modal: r for r in reporting.seed_agg(res, ["model", "modal"]).collect()}

@@ -30,8 +30,8 @@ def test_same_rows(spark, sf, con, name):
 def test_learners_give_scores(spark, sf, name):
     rows = QUERIES[name](spark, sf).collect()
     assert rows
-    if name == "mlp_cell":
-        assert {r.status for r in rows} == {"ok"} and len({(r.modal, r.seed) for r in rows}) == 4
+    if name in ("mlp_cell", "mlp_sweep"):
+        assert {r.status for r in rows} == {"ok"} and len({(r.modal, r.seed, r.lr, r.hidden) for r in rows}) == (10 if name == "mlp_cell" else 4)
     else:
         assert all(0 <= r.s <= 1 and r.y in (0, 1) for r in rows)
 
