@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlark.functions import expressions as ex, metrics
-from gridlark.operators import graph, learners, networks, panel as ops, reporting, training
+from gridlark.operators import boosting, graph, learners, networks, panel as ops, reporting, training
 from gridlark.plans import fixtures as fx
 from gridlark.sources.steps import written
 
@@ -342,6 +342,7 @@ def node2vec_lr(spark: SparkSession, d: str) -> DataFrame:
     return learners.scored(model, learners.assembled(rows.where("split = 'test'"), columns), ["firm_id", "year"], "label")
 
 
+CELL_SEEDS = (42, 123, 456, 789, 1024)
 COLUMNS = ["feat_n_orders", "fini_avg_discount", "fini_max_qty", "pld_n_suppliers", "rpt_n_parts"]
 
 
@@ -357,16 +358,28 @@ def logreg_balanced(spark: SparkSession, d: str) -> DataFrame:
     return learners.scored(model, learners.assembled(rows.where("split = 'test'"), COLUMNS), ["firm_id", "year"], "label")
 
 
+TREES = (10, 20)
+
+
+def grid_cell(spark: SparkSession, d: str, boosters: list[boosting.Booster]) -> DataFrame:
+    rows = learned(spark, d).select(F.concat_ws("-", "firm_id", "year").alias("id"), F.col("label").cast("int").alias("y"), "split", *COLUMNS)
+    rows = written(rows, "grid")
+    return boosting.best_of_grid(*[rows.where(F.col("split") == k) for k in ("train", "val", "test")], COLUMNS, boosters, TREES)
+
+
 @query
 def gbt_grid(spark: SparkSession, d: str) -> DataFrame:
-    rows = learned(spark, d)
-    grid = [{"maxDepth": 3, "stepSize": 0.1, "maxIter": 5}, {"maxDepth": 4, "stepSize": 0.1, "maxIter": 5}]
-    model, _, _ = learners.boosted(rows.where("split = 'train'"), rows.where("split = 'val'"), COLUMNS, "label", grid)
-    return learners.scored(model, learners.assembled(rows.where("split = 'test'"), COLUMNS), ["firm_id", "year"], "label")
+    """Depth-wise trees: two depths by two rates by two numbers of trees for five seeds, grown together."""
+    return grid_cell(spark, d, boosting.grid("depth", (4, 6), max(TREES), CELL_SEEDS))
+
+
+@query
+def leafwise_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Leaf-wise trees of 31 leaves at most, with 8 levels in place of no bound, or 6."""
+    return grid_cell(spark, d, boosting.grid("leaf", (8, 6), max(TREES), CELL_SEEDS, leaves=31))
 
 
 MODALS = {"M1": ("feat_n_orders", "feat_urgent_share"), "M4": ("feat_n_orders", "feat_urgent_share", "fini_avg_discount", "fini_max_qty")}
-CELL_SEEDS = (42, 123, 456, 789, 1024)
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
