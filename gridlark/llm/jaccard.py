@@ -22,6 +22,7 @@ CROWD = 64
 SHORT = 32
 CHUNK = 1_000_000
 SKETCH, AGREE = 16, 4
+MARKED = 1 << 20
 SLICE = 512 << 10
 REGION_PAIRS = 2_000
 PARTS = 512
@@ -252,18 +253,24 @@ def pivots(rows: DataFrame, percent: int, short: int = SHORT) -> DataFrame:
     return rows.mapInArrow(releasing(run), "pivot long, doc long, crowd boolean, pair boolean, mask long")
 
 
-def compressed(docs: DataFrame) -> DataFrame:
-    """(doc, text) with the texts as compressed UTF-8, which a shuffle and the shared folder hold in less than half the space."""
+def compressed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, text) of about the documents in wanted, with the texts as compressed UTF-8, which a shuffle and the shared folder hold in less than half the space. Others are left out by a
+    bit for each of MARKED hashes of their keys, a bound for what is sent to tasks; some pass it."""
+    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKED)).cast("int").alias("at")
+    marks = np.zeros(MARKED, bool)
+    marks[wanted.select(hashed("doc")).distinct().toArrow().column(0).to_numpy()] = True
+    bits_of = np.packbits(marks)
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack, marks = zstandard.ZstdCompressor(level=3).compress, np.unpackbits(bits_of).astype(bool)
         for batch in batches:
+            batch = batch.filter(pa.array(marks[batch.column("at").to_numpy()]))
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 texts = [pack((t or "").encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], names=["doc", "text"])
 
-    return docs.mapInArrow(releasing(run), "doc long, text binary")
+    return docs.select("doc", "text", hashed("doc")).mapInArrow(releasing(run), "doc long, text binary")
 
 
 def least_difference(x: str, y: str) -> Column:
@@ -297,7 +304,7 @@ def verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, words: int,
     a pair names are joined."""
     pairs = materialize(spark, pairs.select("a", "b"), "pairs")
     named = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    texts = materialize(spark, compressed(docs).join(named, "doc", "left_semi"), "texts")
+    texts = materialize(spark, compressed(docs, named).join(named, "doc", "left_semi"), "texts")
     x = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
     y = texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
     joined = pairs.join(y, "b").join(x, "a").select("a", "b", "ta", "tb")
@@ -388,7 +395,7 @@ def of_unique_keys(spark: SparkSession, usable: DataFrame, words: int, percent:
     near = star.where("near").select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b")).distinct()
     checked = verified(spark, posting.keep(closer(near, "a", "b", points, percent), "a", "b", points), usable, words, percent)
     component = connected(spark, checked.where("linked"))
-    regions = materialize(spark, measured(star, checked), "regions")
+    regions = materialize(spark, measured(star, checked, percent), "regions")
     discard(spark, star)
 
     mixed, work = several(spark, regions, component, points, region_pairs, percent)
@@ -428,8 +435,9 @@ def stars(spark: SparkSession, met: DataFrame, member: DataFrame, points: DataFr
     return materialize(spark, rows.withColumn("near", may_link(F.col("differ"), F.col("np"), F.col("nd"), percent)).where("near or not pair"), "stars")
 
 
-def measured(star: DataFrame, checked: DataFrame) -> DataFrame:
-    """(region, pivot, doc, mask, lo, hi): all documents of the region of each pivot, with bounds of their distance from it. The region is named by its pivot."""
+def measured(star: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
+    """(region, pivot, doc, mask, lo, hi): all documents of the region of each pivot, with bounds of their distance from it. The region is named by its pivot. Documents that surely link
+    with the pivot and are farther than a link from all that may not, are left out: they are in its component and meet no other one."""
     told = star.where("not pair").alias("s").join(checked.alias("c"), F.expr("least(s.pivot, s.doc) = c.a and greatest(s.pivot, s.doc) = c.b"), "left")
     lo = distance(F.coalesce("c.differ", "s.differ"), F.col("np"), F.col("nd"))
     own = told.select("pivot", "s.doc", "crowd", "mask", lo.alias("lo"), F.when(F.col("c.differ").isNotNull(), lo).otherwise(1.0).alias("hi"))
@@ -438,7 +446,11 @@ def measured(star: DataFrame, checked: DataFrame) -> DataFrame:
     far = far.select("pivot", "doc", F.expr("mask & mask2").alias("mask"), F.greatest(F.col("lo") - F.col("hi2"), F.col("lo2") - F.col("hi"), F.lit(0.0)).alias("lo"), F.least(F.lit(1.0), F.col("hi") + F.col("hi2")).alias("hi"))
     rows = own.drop("crowd").unionByName(far).groupBy("pivot", "doc").agg(F.bit_or("mask").alias("mask"), F.max("lo").alias("lo"), F.min("hi").alias("hi"))
     itself = own.select("pivot", F.col("pivot").alias("doc"), F.lit(-1).cast("long").alias("mask"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi")).distinct()
-    return rows.unionByName(itself).select(F.col("pivot").cast("string").alias("region"), "*")
+    rows = rows.unionByName(itself).select(F.col("pivot").cast("string").alias("region"), "*")
+    eps = (100 - percent) / 100
+    other = F.col("hi") > eps - _SLACK
+    nearest = rows.where(other).groupBy("region").agg(F.min("lo").alias("nearest"))
+    return spread_join(rows, nearest, ["region"], "doc").where(other | (F.col("hi") + eps + _SLACK >= F.col("nearest"))).drop("nearest")
 
 
 def several(spark: SparkSession, regions: DataFrame, component: DataFrame, points: DataFrame, region_pairs: int, percent: int):
