@@ -10,8 +10,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKET_ROWS = 1_000_000
 MOST_BUCKETS = 1024
@@ -152,9 +151,32 @@ def f1_val_best(val: DataFrame, test: DataFrame, steps: int = F1_STEPS, low: flo
     return spark.createDataFrame([(threshold, best, f1(t.tp0 or 0, t.n0, t.p or 0))], "threshold double, f1_val double, f1_test double")
 
 
-@F.pandas_udf(T.DoubleType())
-def two_sided_p(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)))
+STEP = 0.5
+SERIES_TO = 0.5
+
+
+def two_sided_p(z: Column | str) -> Column:
+    """erfc(|z| / sqrt 2), the two-sided p of a normal statistic, in columns; relative error under 1e-13 up to |z| = 37. Null gives null, NaN gives NaN, infinity 0.
+
+    With x = |z| / sqrt 2: below SERIES_TO one minus the power series of erf. Above, erfc(x) = 2 x exp(-x^2) / pi times the integral of exp(-t^2) / (x^2 + t^2) over
+    t > 0, by the trapezoidal rule with steps h, whose error is exp(-(pi / h)^2) once the residue 2 / (1 - exp(2 pi x / h)) of the pole at t = i x is taken into account
+    (for x < pi / h). exp(-x^2) is split at a sixteenth below x, whose square is exact, so that no digits go with large x.
+    """
+    a = F.abs(F.col(z) if isinstance(z, str) else z).cast("double")
+    x = a / math.sqrt(2)
+    xx = x * x
+    series = F.lit(0.0)
+    for k in range(14, 0, -1):
+        series = (series + 1.0) * (xx * (2.0 / (2 * k + 1)))
+    small = 1.0 - (series + 1.0) * x * F.exp(-xx) * (2 / math.sqrt(math.pi))
+    high = F.floor(x * 16.0) / 16.0
+    tail = F.exp(-high * high) * F.exp(-(x - high) * (x + high))
+    total = F.lit(0.0)
+    for n in range(13, 0, -1):
+        total = total + F.lit(2 * math.exp(-((n * STEP) ** 2))) / (xx + (n * STEP) ** 2)
+    pole = F.when(x < math.pi / STEP, 2.0 / (1.0 - F.exp(x * (2 * math.pi / STEP)))).otherwise(0.0)
+    large = tail * x * (total + 1.0 / xx) * (STEP / math.pi) + pole
+    return F.when(F.isnan(a), a).when(x < SERIES_TO, small).when(a > 40.0, 0.0).otherwise(large)
 
 
 def delong(pairs: DataFrame, by: list[str], buckets: int | None = None, with_p: bool = True) -> DataFrame:

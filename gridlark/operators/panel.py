@@ -125,3 +125,30 @@ def standardized(df: DataFrame, train: DataFrame, columns: list[str], population
 def class_weight(train: DataFrame, label: str) -> DataFrame:
     pos = F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0))
     return train.agg(pos.alias("pos"), (F.count(label) - pos).alias("neg"), ((F.count(label) - pos) / F.greatest(pos, F.lit(1))).alias("pos_weight"))
+
+
+def lagged(df: DataFrame, keys: list[str], year: str, columns: list[str], back: int = 1) -> DataFrame:
+    """df with `<column>_t<back>`: the column's value `back` years earlier, null where the panel has no row of exactly that year, whatever row came before.
+
+    A self-join on (keys, year), not a window over a firm, so that a firm with very many rows isn't one task's. Of several rows of one firm and year the maximum of each
+    column counts (NaN as null), found before the join; rows with a null key or year get nulls. Rows and their number stay as they are.
+    """
+    now = df.select(*keys, (F.col(year).cast("int") + back).alias("_year"), *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"{c}_t{back}") for c in columns])
+    before = now.dropna(subset=[*keys, "_year"]).groupBy(*keys, "_year").agg(*[F.max(f"{c}_t{back}").alias(f"{c}_t{back}") for c in columns])
+    return df.withColumn("_year", F.col(year).cast("int")).join(before, [*keys, "_year"], "left").drop("_year").select(*df.columns, *[f"{c}_t{back}" for c in columns])
+
+
+def group_standardized(df: DataFrame, groups: list[str], columns: list[str], suffix: str = "_zind") -> DataFrame:
+    """df with `<column><suffix>`: the z-score within its group, such as an industry in a year, by the sample's deviation.
+
+    Null and NaN take no part in the moments and stay null; a group with one value, or with equal ones, gives 0. A null in a group's key is a group of its own. Moments are partial
+    aggregates, so a group of any size sends one row a task; they are joined back by an equi-join that AQE can split.
+    """
+    value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns}
+    rows = df.withColumns({f"_v{i}": v for i, v in enumerate(value.values())})
+    told = rows.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]).agg(*[f(f"_v{i}").alias(f"_{n}{i}") for i in range(len(columns)) for n, f in (("m", F.avg), ("d", F.stddev_samp))])
+    on = F.lit(True)
+    for i, g in enumerate(groups):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    z = lambda i: F.when(F.col(f"_v{i}").isNotNull(), F.when(F.col(f"_d{i}") > 0, (F.col(f"_v{i}") - F.col(f"_m{i}")) / F.col(f"_d{i}")).otherwise(F.lit(0.0)))
+    return rows.join(told, on, "left").select(*df.columns, *[z(i).alias(f"{c}{suffix}") for i, c in enumerate(columns)])

@@ -5,7 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlark.functions import expressions as ex, metrics
-from gridlark.operators.learners import rank_auc
+
+
+def rank_auc(y, s):
+    """The AUC from midranks, counted in NumPy."""
+    _, at, n = np.unique(s, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[at]
+    p = int((y == 1).sum())
+    return float((rank[y == 1].sum() - p * (p + 1) / 2) / (p * (len(y) - p))) if 0 < p < len(y) else float("nan")
 
 
 def frame(spark, rows):
@@ -71,6 +78,20 @@ def test_delong_sign_and_degenerate(spark):
     assert (one.auc_a, one.z, one.p) == (0.0, 0.0, 1.0)
 
 
+def test_two_sided_p(spark):
+    z = [0.0, 1e-300, 1e-12, 1e-3, 0.3, 0.7071, 0.7072, 1.0, 1.96, 3.3, *np.linspace(0.01, 37.0, 3001), 38.0, 60.0, 1e200, float("inf")]
+    z = [float(v) for v in z]
+    df = spark.createDataFrame([(v,) for x in z for v in (x, -x)] + [(None,), (float("nan"),)], "z double").select("z", metrics.two_sided_p("z").alias("p"))
+    assert "Python" not in df._jdf.queryExecution().toString()
+    for r in df.collect():
+        if r.z is None or math.isnan(r.z):
+            assert r.p is None or math.isnan(r.p)
+        elif abs(r.z) <= 37:
+            assert r.p == pytest.approx(math.erfc(abs(r.z) / math.sqrt(2)), rel=1e-13, abs=0)
+        else:
+            assert r.p == pytest.approx(math.erfc(abs(r.z) / math.sqrt(2)), abs=1e-307)
+
+
 def test_quantiles(spark):
     _, s = made(levels=99)
     df = frame(spark, [("a", i, 1, float(x)) for i, x in enumerate(s)])
