@@ -158,7 +158,7 @@ def path(m: Moments, kind: str, penalties: list[float]) -> list[Point]:
             b = descent(gram, target, p, b)
         else:
             raise ValueError(f"unknown kind: {kind}")
-        weights = b / sd
+        weights = b / sd + 0.0
         out.append(Point(kind, i, p, weights, float(m.mean[-1] - weights @ m.mean[:-1])))
     return out
 
@@ -180,4 +180,4 @@ def scored(rows: DataFrame, columns: list[str], points: list[Point], keep: list[
                 s = s + c * float(w)
         return F.struct(F.lit(p.kind).alias("kind"), F.lit(p.step).alias("step"), s.alias("s"))
 
-    return rows.select(*keep, F.explode(F.array(*[line(p) for p in points])).alias("p")).select(*keep, "p.*")
+    return rows.select(*keep, F.explode(F.array(*[line(p) for p in points])).alias("_fit")).select(*keep, "_fit.*")

@@ -201,3 +201,38 @@ def by_year(name: str, columns: str) -> str:
 
 
 SQL |= {new: by_year(old, columns) for new, old, columns in (("gcn_years", "gcn_agg", "v"), ("sage_years", "sage_mean", "root, v"), ("rgcn_years", "rgcn_mean", "v"), ("gated_years", "pcgnn_gate", "v"), ("gat_years", "gat_softmax", "v"))}
+
+
+def with_p(sql: str, stars: bool = False) -> str:
+    """DeLong's rows with the two-sided p: the normal tail by Simpson's rule in 4,000 panels over |z| to |z| + 10, and 1 for a z of 0."""
+    head, last = sql.rsplit("\nSELECT ", 1)
+    z = "CASE WHEN var > 0 THEN (auc_a - auc_b) / sqrt(var) ELSE 0 END"
+    tail = f"""{head},
+zs AS (SELECT cell, {z} AS z FROM q),
+pq AS (SELECT cell, CASE WHEN any_value(z) = 0 THEN 1 ELSE 2 / sqrt(2 * pi()) * sum((CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(abs(z) + i * CAST(0.0025 AS DOUBLE), 2) / 2)) * CAST(0.0025 AS DOUBLE) / 3 END AS p FROM zs, range(0, 4001) t(i) GROUP BY cell),
+told AS (SELECT {last}),
+out AS (SELECT told.*, round(p, 8) AS p FROM told JOIN pq USING (cell))
+SELECT *"""
+    marks = ", CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars"
+    return f"{tail}{marks if stars else ''} FROM out"
+
+
+def correlations() -> str:
+    names = ["feat_n_orders", "fini_avg_discount", "fini_max_qty", "pld_n_suppliers", "rpt_n_parts", "label"]
+    long = " UNION ALL ".join(f"SELECT firm_id, year, w, '{c}' AS c, CAST(coalesce({c}, 0) AS DOUBLE) AS v FROM t" for c in names)
+    return f"""WITH {FEATURES}, n AS (SELECT sum(label) AS p, count(*) AS n FROM features WHERE year BETWEEN 1995 AND 1998),
+t AS (SELECT features.*, CASE WHEN label = 1 THEN n / (CAST(2 AS DOUBLE) * p) ELSE n / (CAST(2 AS DOUBLE) * (n - p)) END AS w FROM features, n WHERE year BETWEEN 1995 AND 1998),
+x AS ({long}), c AS (SELECT x.*, sum(w * v) OVER (PARTITION BY c) / sum(w) OVER (PARTITION BY c) AS mean FROM x)
+SELECT a.c AS a, b.c AS b, round(any_value(a.mean), 6) AS mean_a, round(sum(a.w * (a.v - a.mean) * (b.v - b.mean)) / sqrt(sum(a.w * pow(a.v - a.mean, 2)) * sum(a.w * pow(b.v - b.mean, 2))), 6) AS r
+FROM c a JOIN c b USING (firm_id, year) GROUP BY a.c, b.c"""
+
+
+LAGS = {"fin_total": 6, "fini_avg_discount": 8, "fini_max_qty": 8}
+SQL |= {
+    "delong_paired_p": with_p(SQL["delong_paired"]),
+    "delong_pooled_p": with_p(SQL["delong_pooled"], stars=True),
+    "lagged_panel": f"WITH {FEATURES} SELECT a.firm_id, a.year, " + ", ".join(f"round(CAST(a.{c} AS DOUBLE), {k}) AS {c}, round(CAST(b.{c} AS DOUBLE), {k}) AS {c}_t1" for c, k in LAGS.items()) + " FROM features a LEFT JOIN features b ON a.firm_id = b.firm_id AND b.year = a.year - 1",
+    "industry_zscores": f"""WITH {FEATURES}, x AS (SELECT features.*, c_nationkey AS industry FROM features JOIN customer ON firm_id = lpad(CAST(c_custkey AS VARCHAR), 6, '0'))
+SELECT firm_id, year, industry, """ + ", ".join(f"round(CASE WHEN {c} IS NOT NULL THEN CASE WHEN stddev_samp({c}) OVER g > 0 THEN ({c} - avg({c}) OVER g) / stddev_samp({c}) OVER g ELSE 0 END END, 6) AS {c}_zind" for c in LAGS) + " FROM x WINDOW g AS (PARTITION BY industry, year)",
+    "weighted_correlations": correlations(),
+}

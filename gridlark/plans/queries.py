@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlark.functions import expressions as ex, metrics
-from gridlark.operators import boosting, graph, learners, networks, panel as ops, reporting, training
+from gridlark.operators import boosting, graph, learners, networks, panel as ops, paths, reporting, training
 from gridlark.plans import fixtures as fx
 from gridlark.sources.steps import written
 
 QUERIES: dict = {}
 D = 8
+LAGGED = ["fin_total", "fini_avg_discount", "fini_max_qty"]
 
 
 def query(f):
@@ -252,6 +253,36 @@ def delong_pooled(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, ["auc_a", "auc_b", "delta", "z"])
 
 
+@query
+def delong_paired_p(spark: SparkSession, d: str) -> DataFrame:
+    out = metrics.delong(fx.scores(spark, d).select("cell", "id", "y", "s_a", "s_b"), ["cell"])
+    return rounded(out, ["auc_a", "auc_b", "delta", "z", "p"])
+
+
+@query
+def delong_pooled_p(spark: SparkSession, d: str) -> DataFrame:
+    pooled = metrics.pooled(fx.seed_scores(spark, d), ["cell"], len(fx.SEEDS))
+    other = fx.scores(spark, d).select("cell", "id", F.col("s_u").alias("s_b"))
+    out = metrics.delong(pooled.withColumnRenamed("s", "s_a").join(other, ["cell", "id"]), ["cell"])
+    return rounded(out, ["auc_a", "auc_b", "delta", "z", "p"]).withColumn("stars", ex.stars(F.col("p")))
+
+
+@query
+def lagged_panel(spark: SparkSession, d: str) -> DataFrame:
+    """Each firm's features of exactly the year before; firms without orders in a year leave gaps."""
+    out = ops.lagged(fx.features(spark, d).select("firm_id", "year", *LAGGED), ["firm_id"], "year", LAGGED)
+    return rounded(rounded(out, [c for c in out.columns if c.startswith("fin_")], 6), ["fini_avg_discount", "fini_avg_discount_t1"])
+
+
+@query
+def industry_zscores(spark: SparkSession, d: str) -> DataFrame:
+    """Features standardised within each nation (the industry) and year; small tables have nations with one firm in a year."""
+    home = fx.read(spark, d, "customer", fx.firm("c_custkey").alias("firm_id"), F.col("c_nationkey").alias("industry"))
+    rows = fx.features(spark, d).select("firm_id", "year", *LAGGED).join(home, "firm_id")
+    out = ops.group_standardized(rows, ["industry", "year"], LAGGED)
+    return rounded(out.select("firm_id", "year", "industry", *[f"{c}_zind" for c in LAGGED]), [f"{c}_zind" for c in LAGGED], 6)
+
+
 @query
 def gcn_agg(spark: SparkSession, d: str) -> DataFrame:
     return rounded(graph.gcn(*fx.messages(spark, d)), ["v"])
@@ -358,6 +389,34 @@ def logreg_balanced(spark: SparkSession, d: str) -> DataFrame:
     return learners.scored(model, learners.assembled(rows.where("split = 'test'"), COLUMNS), ["firm_id", "year"], "label")
 
 
+def moment_table(spark: SparkSession, d: str) -> tuple[DataFrame, paths.Moments]:
+    """Panel rows in a split, and the moments of the training rows under balanced weights."""
+    rows = fx.panel(spark, d).where("split is not null").select("firm_id", "year", "split", "label", *COLUMNS)
+    return rows, paths.moments(learners.balanced(rows.where("split = 'train'"), "label"), COLUMNS, "label", F.col(learners.WEIGHT))
+
+
+@query
+def weighted_correlations(spark: SparkSession, d: str) -> DataFrame:
+    """What the paths of penalties are solved from: correlations of all pairs of columns and the label under balanced weights."""
+    _, m = moment_table(spark, d)
+    names = [*COLUMNS, "label"]
+    sd = [m.products[i, i] ** 0.5 or 1.0 for i in range(len(names))]
+    told = [(a, b, float(m.mean[i]), float(m.products[i, j] / (sd[i] * sd[j]))) for i, a in enumerate(names) for j, b in enumerate(names)]
+    return rounded(spark.createDataFrame(told, "a string, b string, mean_a double, r double"), ["mean_a", "r"], 6)
+
+
+@query
+def penalty_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Ridge and lasso at 20 penalties each, and the AUC of each fit on the validation and the test rows."""
+    rows, m = moment_table(spark, d)
+    fits = paths.path(m, "ridge", paths.ladder(m)) + paths.path(m, "lasso", paths.ladder(m))
+    s = paths.scored(rows.where("split <> 'train'"), COLUMNS, fits, ["split", "label"]).withColumnRenamed("label", "y").withColumn("s", r("s", 12))
+    by = ["kind", "step", "split"]
+    auc = metrics.grouped(metrics.curve(s, by), by, metrics.auc_of().alias("auc")).groupBy("kind", "step").pivot("split", ["val", "test"]).agg(F.first("auc"))
+    weights = paths.coefficients(spark, COLUMNS, fits).groupBy("kind", "step", "penalty").pivot("feature", [*COLUMNS, "intercept"]).agg(F.first("weight"))
+    return weights.join(auc.withColumnsRenamed({"val": "val_auc", "test": "test_auc"}), ["kind", "step"])
+
+
 TREES = (10, 20)
 
 

@@ -32,6 +32,9 @@ def test_learners_give_scores(spark, sf, name):
     assert rows
     if name in ("mlp_cell", "mlp_sweep"):
         assert {r.status for r in rows} == {"ok"} and len({(r.modal, r.seed, r.lr, r.hidden) for r in rows}) == (10 if name == "mlp_cell" else 4)
+    elif name == "penalty_paths":
+        assert len(rows) == 40 and all(0 <= r.val_auc <= 1 and 0 <= r.test_auc <= 1 for r in rows)
+        assert [r.feat_n_orders == r.rpt_n_parts == 0 for r in rows if r.kind == "lasso" and r.step == 0] == [True]
     else:
         assert all(0 <= r.s <= 1 and r.y in (0, 1) for r in rows)
 
