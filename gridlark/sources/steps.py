@@ -20,11 +20,11 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table of the shared folder, which goes when the driver ends."""
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df as a Parquet table of the shared folder, which goes when the driver ends. by: columns that make its folders."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gridlark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     atexit.register(drop, spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back.kept_at = path
