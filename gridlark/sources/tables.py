@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 from dataclasses import dataclass
 
@@ -70,18 +71,30 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(entries).alias("feature", "d")).select("feature", "d.*")
 
 
-def synthetic(spark: SparkSession, n: int, features: dict[str, dict], seed: int = 42, years: tuple[int, int] = (2010, 2024), labels: tuple[str, ...] = ()) -> DataFrame:
+def drawn(row: Column, stream: int, seed: int) -> Column:
+    """A number above 0 and below 1 that depends on (seed, row, stream) alone."""
+    return (F.shiftrightunsigned(F.xxhash64(row, F.lit(stream), F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(2**53))
+
+
+def normal(row: Column, stream: int, seed: int) -> Column:
+    """A standard normal number from two drawn ones."""
+    return F.sqrt(F.log(drawn(row, 2 * stream, seed)) * -2.0) * F.cos(drawn(row, 2 * stream + 1, seed) * (2 * math.pi))
+
+
+def synthetic(spark: SparkSession, n: int, features: dict[str, dict], seed: int = 42, years: tuple[int, int] = (2010, 2024), labels: tuple[str, ...] = (), partitions: int | None = None) -> DataFrame:
     """n rows with ids SYN00000 on, even years, labels 0, and each feature normal around its mean, clipped to its range and typed. Of a missing deviation
-    a quarter of the range is taken, of one of 0 or less 1e-6."""
+    a quarter of the range is taken, of one of 0 or less 1e-6. Each value depends on seed, row and the column's place alone: rows are the same for any number of partitions, and the first
+    rows are those of a shorter table."""
     kinds = {"float32": "float", "float64": "double"}
+    row = F.col("id")
 
     def feature(name: str, d: dict, k: int) -> Column:
         std = d.get("std")
         std = (d["max"] - d["min"]) / 4 if std is None else std
-        x = F.lit(float(d.get("mean", 0.0))) + F.lit(std if std > 0 else 1e-6) * F.randn(seed + 2 + k)
+        x = F.lit(float(d.get("mean", 0.0))) + F.lit(float(std) if std > 0 else 1e-6) * normal(row, k + 1, seed)
         x = F.least(F.lit(float(d["max"])), F.greatest(F.lit(float(d["min"])), x))
         return (F.round(x) if d["dtype"].startswith("int") else x).cast(kinds.get(d["dtype"], "int")).alias(name)
 
-    year = (F.floor(F.rand(seed + 1) * (years[1] - years[0] + 1)) + years[0]).cast("int")
+    year = (F.floor(drawn(row, 0, seed) * (years[1] - years[0] + 1)) + years[0]).cast("int")
     made = [feature(c, d, k) for k, (c, d) in enumerate(features.items())]
-    return spark.range(n).select(F.format_string("SYN%05d", "id").alias("firm_id"), year.alias("year"), *[F.lit(0).cast("byte").alias(c) for c in labels], *made)
+    return spark.range(0, n, 1, partitions).select(F.format_string("SYN%05d", "id").alias("firm_id"), year.alias("year"), *[F.lit(0).cast("byte").alias(c) for c in labels], *made)

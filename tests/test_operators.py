@@ -180,3 +180,22 @@ def test_streams(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(str(tmp_path / "in" / "e")).count()
     w = snapshots.windowed_counts(spark.read.parquet(f"{sf}/events.parquet"))
     assert w.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_synthetic_rows_depend_on_seed_and_row_alone(spark):
+    columns = {"feat_a": {"dtype": "float64", "min": -3.0, "max": 9.0, "mean": 2.0, "std": 1.5}, "fin_b": {"dtype": "int32", "min": 0, "max": 20, "mean": 10, "std": 3.0}, "fin_c": {"dtype": "float32", "min": -1e9, "max": 1e9, "mean": 0.0, "std": 1.0}}
+    one, three, many = (tables.synthetic(spark, 20_000, columns, partitions=k).collect() for k in (1, 3, 16))
+    assert sorted(one) == sorted(three) == sorted(many)
+    assert sorted(tables.synthetic(spark, 50, columns).collect()) == sorted(one)[:50]
+    assert sorted(tables.synthetic(spark, 50, columns, seed=7).collect()) != sorted(one)[:50]
+    a, b, c = (np.array([r[k] for r in one], float) for k in columns)
+    assert a.mean() == pytest.approx(2.0, abs=0.05) and a.std() == pytest.approx(1.5, abs=0.05) and -3.0 <= a.min() and a.max() <= 9.0
+    assert b.mean() == pytest.approx(10.0, abs=0.1) and b.min() >= 0 and b.max() <= 20 and (b == b.round()).all()
+    assert abs(np.corrcoef(a, c)[0, 1]) < 0.03 and abs(c.mean()) < 0.03 and c.std() == pytest.approx(1.0, abs=0.03)
+    years = np.bincount([r.year - 2010 for r in one], minlength=15)
+    assert len(years) == 15 and years.min() > 20_000 / 15 * 0.9
+
+
+def test_synthetic_without_rows_or_features(spark):
+    assert tables.synthetic(spark, 0, {}).collect() == []
+    assert [tuple(r)[0] for r in tables.synthetic(spark, 2, {}, labels=("y",)).collect()] == ["SYN00000", "SYN00001"]
