@@ -231,6 +231,7 @@ LAGS = {"fin_total": 6, "fini_avg_discount": 8, "fini_max_qty": 8}
 SQL |= {
     "delong_paired_p": with_p(SQL["delong_paired"]),
     "delong_pooled_p": with_p(SQL["delong_pooled"], stars=True),
+    "delong_pooled_stored": with_p(SQL["delong_pooled"], stars=True),
     "lagged_panel": f"WITH {FEATURES} SELECT a.firm_id, a.year, " + ", ".join(f"round(CAST(a.{c} AS DOUBLE), {k}) AS {c}, round(CAST(b.{c} AS DOUBLE), {k}) AS {c}_t1" for c, k in LAGS.items()) + " FROM features a LEFT JOIN features b ON a.firm_id = b.firm_id AND b.year = a.year - 1",
     "industry_zscores": f"""WITH {FEATURES}, x AS (SELECT features.*, c_nationkey AS industry FROM features JOIN customer ON firm_id = lpad(CAST(c_custkey AS VARCHAR), 6, '0'))
 SELECT firm_id, year, industry, """ + ", ".join(f"round(CASE WHEN {c} IS NOT NULL THEN CASE WHEN stddev_samp({c}) OVER g > 0 THEN ({c} - avg({c}) OVER g) / stddev_samp({c}) OVER g ELSE 0 END END, 6) AS {c}_zind" for c in LAGS) + " FROM x WINDOW g AS (PARTITION BY industry, year)",

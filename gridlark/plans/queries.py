@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlark.functions import expressions as ex, metrics
 from gridlark.operators import boosting, gated, graph, learners, networks, panel as ops, paths, reporting, training
 from gridlark.plans import fixtures as fx
-from gridlark.sources.steps import written
+from gridlark.sources import scores as store
+from gridlark.sources.steps import drop, shared_folder, written
 
 QUERIES: dict = {}
 D = 8
@@ -267,6 +271,20 @@ def delong_pooled_p(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, ["auc_a", "auc_b", "delta", "z", "p"]).withColumn("stars", ex.stars(F.col("p")))
 
 
+@query
+def delong_pooled_stored(spark: SparkSession, d: str) -> DataFrame:
+    """delong_pooled_p from a score store: each priority and seed is a set of it, and so is the model that they are compared with."""
+    path = f"{shared_folder(spark)}/gridlark-scores-{uuid.uuid4().hex}"
+    atexit.register(drop, spark, path)
+    row = lambda model, seed, s: [F.lit(model).alias("model"), F.col("cell").alias("modal"), F.lit("y").alias("label"), seed.alias("seed"), F.col("id").cast("string").alias("id"), "y", F.col(s).alias("s")]
+    store.save(fx.seed_scores(spark, d).select(*row("a", F.col("seed"), "s")), path)
+    store.save(fx.scores(spark, d).select(*row("u", F.lit(0), "s_u")), path)
+    of = lambda model: store.load(spark, path, model=model).select(F.col("modal").alias("cell"), "seed", F.col("id").cast("long").alias("id"), "y", "s")
+    pooled = metrics.pooled(of("a"), ["cell"], len(fx.SEEDS)).withColumnRenamed("s", "s_a")
+    out = metrics.delong(pooled.join(of("u").select("cell", "id", F.col("s").alias("s_b")), ["cell", "id"]), ["cell"])
+    return rounded(out, ["auc_a", "auc_b", "delta", "z", "p"]).withColumn("stars", ex.stars(F.col("p")))
+
+
 @query
 def lagged_panel(spark: SparkSession, d: str) -> DataFrame:
     """Each firm's features of exactly the year before; firms without orders in a year leave gaps."""
