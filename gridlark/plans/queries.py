@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlark.functions import expressions as ex, metrics
-from gridlark.operators import boosting, gated, graph, learners, networks, panel as ops, paths, reporting, training
+from gridlark.operators import attention, boosting, gated, graph, learners, networks, panel as ops, paths, reporting, training
 from gridlark.plans import fixtures as fx
 from gridlark.sources import scores as store
 from gridlark.sources.steps import drop, shared_folder, written
@@ -505,6 +505,18 @@ def rgcn_trained(spark: SparkSession, d: str) -> DataFrame:
     return network_cell(spark, d, networks.Network("RGCN", epochs=NETWORK_EPOCHS, relations=3))
 
 
+@query
+def gat_trained(spark: SparkSession, d: str) -> DataFrame:
+    """The attention network, four heads and then one: scores of the test rows under the weights of the best epoch."""
+    n, m = (written(x, name) for x, name in zip(fx.snapshots(spark, d, COLUMNS), ("snapshot", "messages"), strict=True))
+    train, val, test = ((n.where(y), m.where(y)) for y in (F.col("year").between(*s) for s in (fx.TRAIN, fx.VAL, fx.TEST)))
+    net = attention.Attention(epochs=NETWORK_EPOCHS)
+    fit = attention.train(*train, net, len(COLUMNS))
+    epoch, _ = networks.best_epoch(attention.scored(*val, net, fit.kept))
+    out = attention.scored(*test, net, {epoch: fit.kept[epoch]})
+    return out.select(F.lit("GAT").alias("model"), "year", "node", F.col("y").cast("int").alias("y"), (1 / (1 + F.exp(-F.col("s")))).alias("s"), F.col("epoch").alias("best_epoch"))
+
+
 @query
 def gated_trained(spark: SparkSession, d: str) -> DataFrame:
     """The gated network with a look at the validation years every fifth epoch: scores of the test rows under the weights of the best look."""
