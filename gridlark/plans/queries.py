@@ -281,7 +281,8 @@ def delong_pooled_stored(spark: SparkSession, d: str) -> DataFrame:
     store.save(fx.scores(spark, d).select(*row("u", F.lit(0), "s_u")), path)
     of = lambda model: store.load(spark, path, model=model).select(F.col("modal").alias("cell"), "seed", F.col("id").cast("long").alias("id"), "y", "s")
     pooled = metrics.pooled(of("a"), ["cell"], len(fx.SEEDS)).withColumnRenamed("s", "s_a")
-    out = metrics.delong(pooled.join(of("u").select("cell", "id", F.col("s").alias("s_b")), ["cell", "id"]), ["cell"])
+    pairs = written(pooled.join(of("u").select("cell", "id", F.col("s").alias("s_b")), ["cell", "id"]), "pairs")
+    out = metrics.delong(pairs, ["cell"])
     return rounded(out, ["auc_a", "auc_b", "delta", "z", "p"]).withColumn("stars", ex.stars(F.col("p")))
 
 

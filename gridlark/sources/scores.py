@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 SET = ["model", "modal", "label", "seed"]
 SCHEMA = "model string, modal string, label string, seed int, id string, y int, s double"
+PART_ROWS = 1_000_000
 ARROW = pa.schema([("model", pa.string()), ("modal", pa.string()), ("label", pa.string()), ("seed", pa.int32()), ("id", pa.string()), ("y", pa.int32()), ("s", pa.float64())])
 
 
@@ -49,7 +50,9 @@ class Written(WriterCommitMessage):
 
 @dataclass
 class Part(InputPartition):
-    file: str
+    """Files that one task reads: of PART_ROWS rows together, or one larger file."""
+
+    files: list[str]
 
 
 def runs(batch: pa.RecordBatch) -> list[tuple[int, int]]:
@@ -67,7 +70,8 @@ def runs(batch: pa.RecordBatch) -> list[tuple[int, int]]:
 
 
 class Writer(DataSourceArrowWriter):
-    """Tasks write files that no set names yet; the commit names them, set by set; an abort deletes them."""
+    """Tasks write files that no set names yet; the commit names them, set by set; an abort deletes those of the tasks that had ended. What tasks that are still at work
+    then leave behind is never named, and goes with vacuum."""
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path, overwrite
@@ -140,12 +144,19 @@ class Reader(DataSourceReader):
         at, root = place_of(self.path)
         found = [newest(at, root, folder) for folder in listed(at, f"{root}/sets", fs.FileType.Directory)]
         found = [s for s in found if s and all(str(v) == self.wanted.get(c, str(v)) for c, v in zip(SET, s["set"], strict=True))]
-        return [Part(name) for s in found for name, _ in s["files"]] or [Part("")]
+        parts, held = [Part([])], 0
+        for name, rows in (f for s in found for f in s["files"]):
+            if parts[-1].files and held + rows > PART_ROWS:
+                parts.append(Part([]))
+                held = 0
+            parts[-1].files.append(name)
+            held += rows
+        return parts
 
     def read(self, partition):
-        if partition.file:
-            at, root = place_of(self.path)
-            with at.open_input_file(f"{root}/files/{partition.file}") as f:
+        at, root = place_of(self.path)
+        for name in partition.files:
+            with at.open_input_file(f"{root}/files/{name}") as f:
                 yield from pq.ParquetFile(f).iter_batches()
 
 

@@ -1,4 +1,5 @@
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,14 +21,19 @@ def files(path):
     return sorted(os.listdir(f"{path}/files"))
 
 
-def test_round_trip_and_choice_of_sets(spark, tmp_path):
+def test_round_trip_and_choice_of_sets(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "store")
     wanted = rows_of(spark)
     scores.save(wanted, path)
     assert content(scores.load(spark, path)) == content(wanted)
     assert content(scores.load(spark, path, seed=2)) == content(wanted.where("seed = 2"))
     assert content(scores.load(spark, path, model="GCN")) == []
-    assert len(scores.Reader(path, {"seed": "2"}).partitions()) == 4 and len(scores.Reader(path, {}).partitions()) == 8
+    parts = lambda **wanted: [len(p.files) for p in scores.Reader(path, wanted).partitions()]
+    assert parts(seed="2") == [4] and parts() == [8]
+    monkeypatch.setattr(scores, "PART_ROWS", 100)
+    assert parts(seed="2") == [2, 2]
+    monkeypatch.setattr(scores, "PART_ROWS", 10)
+    assert parts(seed="2") == [1, 1, 1, 1] and content(scores.load(spark, path)) == content(wanted)
     with pytest.raises(ValueError, match="no fold"):
         scores.load(spark, path, fold=1)
 
@@ -54,7 +60,15 @@ def test_a_failed_task_leaves_the_old_set(spark, tmp_path):
     late = F.when(F.col("id") == "150", F.raise_error(F.lit("lost"))).otherwise(F.col("s"))
     with pytest.raises(Exception, match="lost"):
         scores.save(rows_of(spark, shift=5.0).withColumn("s", late.cast("double")), path)
-    assert content(scores.load(spark, path)) == before and files(path) == held
+    assert content(scores.load(spark, path)) == before and set(held) <= set(files(path))
+    for _ in range(40):  # tasks that were at work when another failed may end later; what they leave is never named
+        scores.vacuum(path)
+        if not spark.sparkContext.statusTracker().getActiveJobsIds():
+            break
+        time.sleep(0.5)
+    time.sleep(2)
+    scores.vacuum(path)
+    assert files(path) == held and content(scores.load(spark, path)) == before
 
 
 def test_files_of_tasks_that_ended_go_when_another_fails(spark, tmp_path):
