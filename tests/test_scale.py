@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gridlark.functions import expressions as ex
+from gridlark.functions import expressions as ex, metrics
 from gridlark.operators import graph
 from gridlark.plans import fixtures as fx, queries
 
@@ -51,3 +51,10 @@ def test_propagation_writes_messages_once_and_gives_each_node_one_row(spark, sf)
 def test_codes(spark):
     df = spark.createDataFrame([("600000",), ("1",), ("1234567",), ("812345",), ("",), (None,), ("x",)], "c string")
     assert [r[0] for r in df.select(ex.ts_code(F.col("c"))).collect()] == ["600000.SH", "000001.SZ", "1234567.SZ", "812345.BJ", "000000.SZ", None, "00000x.SZ"]
+
+
+def test_pooled_pairs_are_written_once_and_means_over_seeds_shuffle_nothing_more(spark, sf):
+    assert "lineitem" not in queries.pooled_pairs(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.createDataFrame([("a", i, i % 2, i / 7.0) for i in range(40)], "cell string, id long, y int, s_a double")
+    means = metrics.pooled(fx.seed_scores(spark, sf, rows), ["cell"], len(fx.SEEDS))
+    assert plan(means).split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1 and means.count() == 40
