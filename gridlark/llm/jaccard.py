@@ -121,11 +121,11 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def assigned(docs: DataFrame, words: int, posting: Posting, common: np.ndarray, buckets: int, crowd: int = CROWD) -> DataFrame:
-    """(bucket, shingles, docs, sizes, marks, crowd, long): each set under the tokens by which it can meet a partner, common ones last. Below a token is called a shingle.
+    """(bucket, shingles, docs, sizes, marks, homes, crowd, long): each set under the tokens by which it can meet a partner, common ones last. Below a token is called a shingle.
 
     A set that comes again in the same task is left out, its documents being linked
     by their signature. Under a shingle that `crowd` sets or more of a flush hold only the first of them goes on; the others are tied to it
-    in `crowd`, so that a shingle of very many documents is a few rows of each task. Rows travel as arrays: shingles as 64-bit numbers, docs as compressed differences, sizes of the sets, the first SKETCH bytes of their marks,
+    in `crowd`, so that a shingle of very many documents is a few rows of each task. Rows travel as arrays: shingles as 64-bit numbers, docs as compressed differences, sizes of the sets, the first SKETCH bytes of their marks, their homes (see home_of),
     crowd as triples (first, other, mask), long as the shingles that have a crowd.
     """
     tokens_of, prefix = posting.tokens, posting.prefix
@@ -138,7 +138,7 @@ def assigned(docs: DataFrame, words: int, posting: Posting, common: np.ndarray,
             return ((shingle & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
         def flush():
-            shingle, doc, many, marks = (np.concatenate(x) for x in zip(*held, strict=True))
+            shingle, doc, many, marks, homes = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             values, at, counts = np.unique(shingle, return_inverse=True, return_counts=True)
             crowded = counts[at] >= crowd
@@ -148,14 +148,14 @@ def assigned(docs: DataFrame, words: int, posting: Posting, common: np.ndarray,
                 np.minimum.at(first, at[crowded], doc[crowded])
                 ties = united(first[at[crowded]], doc[crowded], bits(shingle[crowded]))
                 stay = ~crowded | (doc == first[at])
-                shingle, doc, many, marks = shingle[stay], doc[stay], many[stay], marks[stay]
+                shingle, doc, many, marks, homes = shingle[stay], doc[stay], many[stay], marks[stay], homes[stay]
             long = values[counts >= crowd]
             rows = by_bucket(bucket_of(shingle), buckets)
             crowds = by_bucket(bucket_of(long), buckets)
             tied = by_bucket(ties[:, 1] % buckets, buckets)
-            out = [(b, shingle[i].tobytes(), pack(np.diff(doc[i], prepend=0).astype("<i8").tobytes()), pack(many[i].tobytes()), pack(marks[i].tobytes()), pack(ties[j].astype("<i8").tobytes()), long[k].tobytes()) for b, (i, j, k) in enumerate(zip(rows, tied, crowds, strict=True)) if len(i) or len(j)]
+            out = [(b, shingle[i].tobytes(), pack(np.diff(doc[i], prepend=0).astype("<i8").tobytes()), pack(many[i].tobytes()), pack(marks[i].tobytes()), pack(homes[i].tobytes()), pack(ties[j].astype("<i8").tobytes()), long[k].tobytes()) for b, (i, j, k) in enumerate(zip(rows, tied, crowds, strict=True)) if len(i) or len(j)]
             cols = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "shingles", "docs", "sizes", "marks", "crowd", "long"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "shingles", "docs", "sizes", "marks", "homes", "crowd", "long"])
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -168,10 +168,13 @@ def assigned(docs: DataFrame, words: int, posting: Posting, common: np.ndarray,
                     s, mark = tokens_of(s)
                     mark = np.frombuffer((mark or b"")[:SKETCH], np.uint8)
                     k = min(len(s), prefix(n))
+                    rare = len(s)
                     if len(common):
                         often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+                        rare = len(s) - int(often.sum())
                         s = np.concatenate([s[~often], s[often]])
-                    held.append((s[:k].copy(), np.full(k, doc), np.full(k, n, np.int32), np.broadcast_to(mark, (k, len(mark)))))
+                    s = s[:k].copy()
+                    held.append((s, np.full(k, doc), np.full(k, n, np.int32), np.broadcast_to(mark, (k, len(mark))), np.full(k, home_of(s, rare))))
                     size += k
                 if size >= CHUNK:
                     yield flush()
@@ -181,7 +184,13 @@ def assigned(docs: DataFrame, words: int, posting: Posting, common: np.ndarray,
         if held:
             yield flush()
 
-    return docs.mapInArrow(releasing(run), "bucket int, shingles binary, docs binary, sizes binary, marks binary, crowd binary, long binary")
+    return docs.mapInArrow(releasing(run), "bucket int, shingles binary, docs binary, sizes binary, marks binary, homes binary, crowd binary, long binary")
+
+
+def home_of(posted: np.ndarray, rare: int) -> np.uint64:
+    """The one of a set's posted shingles under which it meets all that have the same home: the first, or, where most are common, the first common one, which
+    near copies of a large group share."""
+    return posted[rare] if 2 * rare < len(posted) else posted[0]
 
 
 def bits(shingle: np.ndarray) -> np.ndarray:
@@ -209,27 +218,29 @@ def by_bucket(bucket: np.ndarray, buckets: int) -> list[np.ndarray]:
 def pivots(rows: DataFrame, percent: int, short: int = SHORT) -> DataFrame:
     """(pivot, doc, crowd, pair, mask) from assigned(): the documents that meet under a shingle each with the first of them, their pivot. Under a shingle of no more than `short` documents
     all that may link by their sizes are paired instead (pair), and have no pivot; where sets have marks, at least AGREE of their first SKETCH bytes agree (at a similarity of 0.8
-    fewer do with a probability under 3e-7). crowd: the pivot is that of a
+    fewer do with a probability under 3e-7). Two documents of one home are paired there only: both are posted under it, so it is a list of both, and if it is long it
+    gives both its pivot. crowd: the pivot is that of a
     crowd and may itself have one for the same shingle. mask has the bits of the shingles under which the two meet: documents that meet there too have
     one of them in common. Pairs come once a task."""
     names = ["pivot", "doc", "crowd", "pair", "mask"]
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
-        shingles, docs, sizes, marks, ties, longs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [], [np.zeros((0, 3), np.int64)], [np.zeros(0, np.uint64)]
+        shingles, docs, sizes, marks, homes, ties, longs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [], [np.zeros(0, np.uint64)], [np.zeros((0, 3), np.int64)], [np.zeros(0, np.uint64)]
         for batch in batches:
-            for shingle, doc, size, mark, tie, long in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3, 4, 5, 6)], strict=True):
+            for shingle, doc, size, mark, home, tie, long in zip(*[batch.column(k).to_pylist() for k in range(1, 8)], strict=True):
                 shingles.append(np.frombuffer(shingle, np.uint64))
                 docs.append(np.cumsum(np.frombuffer(unpack(doc), "<i8")))
                 sizes.append(np.frombuffer(unpack(size), "<i4"))
                 marks.append(np.frombuffer(unpack(mark), np.uint8))
+                homes.append(np.frombuffer(unpack(home), np.uint64))
                 ties.append(np.frombuffer(unpack(tie), "<i8").reshape(-1, 3))
                 longs.append(np.frombuffer(long, np.uint64))
-        shingle, doc, size, tie, long = (np.concatenate(x) for x in (shingles, docs, sizes, ties, longs))
+        shingle, doc, size, home, tie, long = (np.concatenate(x) for x in (shingles, docs, sizes, homes, ties, longs))
         mark = np.concatenate(marks).reshape(len(doc), -1) if len(doc) else np.zeros((0, 0), np.uint8)
-        del shingles, docs, sizes, marks, ties, longs
+        del shingles, docs, sizes, marks, homes, ties, longs
         order = np.lexsort((doc, shingle))
-        shingle, doc, size = shingle[order], doc[order], size[order]
+        shingle, doc, size, home = shingle[order], doc[order], size[order], home[order]
         start = np.flatnonzero(np.r_[len(shingle) > 0, shingle[1:] != shingle[:-1]][: len(shingle)])
         length = np.diff(np.r_[start, len(doc)])
         few = np.repeat((length <= short) & ~np.isin(shingle[start], long), length)
@@ -239,12 +250,13 @@ def pivots(rows: DataFrame, percent: int, short: int = SHORT) -> DataFrame:
             i = np.flatnonzero(few[d:] & (shingle[d:] == shingle[:-d]))
             if not len(i):
                 break
+            i = i[(home[i] != home[i + d]) | (home[i] == shingle[i])]
             if mark.shape[1]:
                 i = i[(mark[order[i]] == mark[order[i + d]]).sum(axis=1) >= AGREE]
             i = i[100 * np.minimum(size[i], size[i + d]).astype(np.int64) >= percent * np.maximum(size[i], size[i + d]).astype(np.int64)]
             pairs.append(united(doc[i], doc[i + d], np.zeros(len(i), np.int64)))
         found = [(united(*np.concatenate(pairs).T), False, True), (united(lead[~few], doc[~few], bits(shingle[~few])), False, False), (united(*tie.T), True, False)]
-        del shingle, doc, size, mark, lead, few, pairs
+        del shingle, doc, size, mark, home, lead, few, pairs
         for rows, crowd, pair in found:
             for a in range(0, len(rows), 50_000):
                 x = rows[a : a + 50_000]

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,40 @@ def test_other_columns_are_not_read(spark):
     df = spark.createDataFrame([(1, "a b c d e", 2)], "doc_id long, text string, component_id int")
     assert jaccard.jaccard_components(df).columns == ["doc_id", "n_shingles", "component_id"]
     assert jaccard.jaccard_components(df.withColumn("n", F.lit(1))).first().component_id == 1
+
+
+def test_pairs_come_once_however_many_tasks_there_are(spark):
+    """Near copies share most of their shingles, which many tasks hold; their pairs come from the task of their home alone, but for the few that have none in common."""
+    rnd = random.Random(11)
+    docs = []
+    for g in range(20):
+        base = [f"w{g}x{i}" for i in range(200)]
+        for k in range(6):
+            w = list(base)
+            w[rnd.randrange(len(w))] = f"y{g}x{k}"
+            docs.append((len(docs), " ".join(w)))
+    df = spark.createDataFrame(docs, "doc long, text string").repartition(3)
+    rows = jaccard.assigned(df, 5, jaccard.by_shingles(80), np.zeros(0, np.uint64), 32).repartitionById(32, F.col("bucket"))
+    got = [(r.pivot, r.doc) for r in jaccard.pivots(rows, 80).where("pair").collect()]
+    assert set(got) == {(a, b) for a in range(120) for b in range(a + 1, 120) if a // 6 == b // 6}
+    assert len(got) < 5 * len(set(got))
+
+
+def test_pairs_of_a_large_group_of_near_copies(spark):
+    """2,000 near copies: short lists of words that a few of them share must not pair them over and over, as the long lists hold them all."""
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(2_000):
+        w = list(base)
+        for _ in range(3):
+            w[rnd.randrange(len(w))] = f"y{rnd.randrange(3)}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc long, text string").repartition(3)
+    counts = {}
+    for _, t in docs:
+        for h in Shingler(5).sets([t])[0].tolist():
+            counts[h] = counts.get(h, 0) + 1
+    common = np.sort(np.array([h for h, n in counts.items() if n >= jaccard.COMMON_AT], np.uint64))
+    rows = jaccard.assigned(df, 5, jaccard.by_shingles(80), common, 32).repartitionById(32, F.col("bucket"))
+    assert jaccard.pivots(rows, 80).where("pair").select("pivot", "doc").distinct().count() < 12 * len(docs)
