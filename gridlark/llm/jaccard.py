@@ -470,7 +470,8 @@ def several(spark: SparkSession, regions: DataFrame, component: DataFrame, point
     more than region_pairs pairs to compare (large); and how many pairs that makes, and whether there are large ones."""
     rows = regions.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     of_pivot = component.select(F.col("node").alias("pivot"), F.col("component").alias("of_pivot"))
-    rows = rows.join(of_pivot, "pivot", "left").withColumn("main", F.col("component") == F.coalesce("of_pivot", "pivot")).drop("of_pivot")
+    # written, as the bounds of the regions, their sizes and the rows themselves are all read from it
+    placed = rows = materialize(spark, rows.join(of_pivot, "pivot", "left").withColumn("main", F.col("component") == F.coalesce("of_pivot", "pivot")).drop("of_pivot"), "placed")
     other = lambda c: F.when(~F.col("main"), F.col(c))
     per = rows.groupBy("region").agg(F.min(other("lo")).alias("nearest"), F.max(F.when(F.col("main"), F.col("hi"))).alias("farthest"), (F.min(other("component")) < F.max(other("component"))).alias("many")).where("nearest is not null")
     # a document goes on if its distance lets it link with one of another component
@@ -480,6 +481,7 @@ def several(spark: SparkSession, regions: DataFrame, component: DataFrame, point
     size = rows.groupBy("region").agg((F.count("*") * F.count_if(~F.col("main"))).alias("pairs")).select("region", "pairs", (F.col("pairs") > region_pairs).alias("large"))
     rows = spread_join(rows, size, ["region"], "doc").drop("pairs").join(points.drop("fine", "sig"), "doc")
     mixed = materialize(spark, rows.select("region", "pivot", "doc", "mask", "lo", "hi", "component", "main", "large", "n", *PARITIES), "mixed")
+    discard(spark, placed)
     per = mixed.groupBy("region").agg((F.count("*") * F.count_if(~F.col("main"))).alias("pairs"), F.first("large").alias("large"))
     return mixed, per.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.max("large"), F.lit(False)).alias("large")).first()
 

@@ -163,3 +163,17 @@ def test_pairs_of_a_large_group_of_near_copies(spark):
     common = np.sort(np.array([h for h, n in counts.items() if n >= jaccard.COMMON_AT], np.uint64))
     rows = jaccard.assigned(df, 5, jaccard.by_shingles(80), common, 32).repartitionById(32, F.col("bucket"))
     assert jaccard.pivots(rows, 80).where("pair").select("pivot", "doc").distinct().count() < 12 * len(docs)
+
+
+def test_components_are_joined_to_regions_once(spark, monkeypatch):
+    plans, write = [], jaccard.materialize
+
+    def told(spark, df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(spark, df, name)
+
+    monkeypatch.setattr(jaccard, "materialize", told)
+    texts = corpus(3)
+    jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), common_at=2, region_pairs=0, crowd=3, short=1).collect()
+    mixed = [p for name, p in plans if name == "mixed"]
+    assert mixed and not any("Join LeftOuter" in p for p in mixed)
