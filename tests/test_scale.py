@@ -34,6 +34,12 @@ def test_parts_follow_the_rows(spark, sf, monkeypatch):
     assert fx.party_edges(spark, sf).rdd.getNumPartitions() in (20, 21)
 
 
+def test_edges_broadcast_no_relation_with_string_keys(spark, sf):
+    text = plan(fx.edges(spark, sf))
+    sent = [line for line in text.splitlines() if "HashedRelationBroadcastMode" in line]
+    assert sent and not any("string" in line for line in sent)
+
+
 def test_distinct_counts_multiply_no_rows(spark, sf):
     assert "Expand" not in plan(fx.features(spark, sf))
 
