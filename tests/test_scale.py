@@ -64,3 +64,8 @@ def test_pooled_pairs_are_written_once_and_means_over_seeds_shuffle_nothing_more
     rows = spark.createDataFrame([("a", i, i % 2, i / 7.0) for i in range(40)], "cell string, id long, y int, s_a double")
     means = metrics.pooled(fx.seed_scores(spark, sf, rows), ["cell"], len(fx.SEEDS))
     assert plan(means).split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1 and means.count() == 40
+
+
+def test_scores_of_penalty_paths_are_rounded_and_written_once(spark, sf):
+    text = queries.QUERIES["penalty_paths"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "gridlark-panel" not in text and "round(" not in text
