@@ -86,3 +86,22 @@ def test_one_class_and_no_rows(spark):
     for rows in ([], [(f"r{i}", 1, 1.0, 2.0, float(i)) for i in range(9)]):
         fit = boosting.boost(spark.createDataFrame(rows, SCHEMA), COLUMNS, [Booster(depth=2, trees=1)])
         assert [len(t.value) for t in fit.trees[0]] == [1]
+
+
+def test_boosters_of_one_seed_draw_a_blocks_rows_once(monkeypatch):
+    import pyarrow as pa
+
+    class Blocks:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            self.run = run
+            return self
+
+    rng = np.random.default_rng(0)
+    columns = [rng.integers(0, 99, 50), rng.integers(0, 2, 50).astype(float), rng.integers(0, 4, (50, 3)).astype(np.uint8), rng.normal(size=(50, 6))]
+    batch = pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=boosting.BLOCK_NAMES)
+    drawn, uniform = [], boosting.uniform
+    monkeypatch.setattr(boosting, "uniform", lambda rows, *salt: (drawn.append(len(rows)) if len(salt) == 2 else None, uniform(rows, *salt))[1])
+    monkeypatch.setattr(boosting, "summed", lambda blocks, partitions: [{"cell": c, "g": g} for x in blocks.run([batch]) for c, g in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)])
+    boosters = boosting.grid("depth", (2, 3, 4), 1, (1,), (0.1, 0.2))
+    found = boosting.level(Blocks(), boosters, {m: boosting.Tree() for m in range(6)}, {m: [0] for m in range(6)}, 0, 1.0, 3, 1)
+    assert len(found) == 6 and drawn == [50]
