@@ -2,7 +2,7 @@
 
 import pytest
 
-from gridlark.operators import gated, networks
+from gridlark.operators import attention, gated, networks
 from gridlark.plans import queries
 
 
@@ -25,7 +25,7 @@ def given(spark, monkeypatch, module, name):
     return e.value.args[0]
 
 
-@pytest.mark.parametrize("module, name", [(networks, "gcn_trained"), (networks, "sage_trained"), (networks, "rgcn_trained"), (gated, "gated_trained")])
+@pytest.mark.parametrize("module, name", [(networks, "gcn_trained"), (networks, "sage_trained"), (networks, "rgcn_trained"), (attention, "gat_trained"), (gated, "gated_trained")])
 def test_networks_learn_for_a_hundred_epochs_with_64_units(spark, monkeypatch, module, name):
     net = given(spark, monkeypatch, module, name)
     assert (net.epochs, net.hidden) == (100, 64)
