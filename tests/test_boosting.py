@@ -105,3 +105,24 @@ def test_boosters_of_one_seed_draw_a_blocks_rows_once(monkeypatch):
     boosters = boosting.grid("depth", (2, 3, 4), 1, (1,), (0.1, 0.2))
     found = boosting.level(Blocks(), boosters, {m: boosting.Tree() for m in range(6)}, {m: [0] for m in range(6)}, 0, 1.0, 3, 1)
     assert len(found) == 6 and drawn == [50]
+
+
+def test_rows_dealt_to_tasks_give_the_trees_of_boosters_in_tasks(spark, monkeypatch):
+    df = spark.createDataFrame(rows_of(400, 2), SCHEMA).repartition(3)
+    boosters = boosting.grid("depth", (3,), 5, (1, 2)) + boosting.grid("leaf", (6,), 4, (1,), leaves=5)
+    found = []
+    for rows in (1_000, 0):
+        monkeypatch.setattr(boosting, "HELD_ROWS", rows)
+        monkeypatch.setattr(boosting, "CUT", 2)
+        found.append(boosting.boost(df, COLUMNS, boosters).trees)
+    assert [len(t) for t in found[0]] == [5, 5, 5, 5, 4, 4]
+    for a, b in zip(*found, strict=True):
+        for t, u in zip(a, b, strict=True):
+            assert (t.feature, t.bin, t.left, t.right) == (u.feature, u.bin, u.left, u.right) and np.allclose(t.value, u.value, atol=1e-12)
+
+
+def test_a_leafwise_tree_opens_only_nodes_its_leaves_can_come_from():
+    t = boosting.Tree()
+    for gain, node in ((9.0, 0), (5.0, 1), (1.0, 2)):
+        t.gain[node], t.left[node], t.right[node] = gain, t.child(0.0), t.child(0.0)
+    assert t.chosen(3) == {0, 1} and t.chosen(4) == {0, 1, 2} and t.chosen(1) == set()
