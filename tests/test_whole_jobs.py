@@ -31,7 +31,7 @@ def test_networks_learn_for_a_hundred_epochs_with_64_units(spark, monkeypatch, m
     assert (net.epochs, net.hidden) == (100, 64)
 
 
-@pytest.mark.parametrize("name, depths, leaves", [("gbt_grid", {4, 6}, None)])
+@pytest.mark.parametrize("name, depths, leaves", [("gbt_grid", {4, 6}, None), ("leafwise_grid", {8, 6}, 31)])
 def test_boosters_grow_400_and_800_trees(spark, monkeypatch, name, depths, leaves):
     rows = spark.createDataFrame([], "firm_id string, year int, label int, split string, " + ", ".join(f"{c} double" for c in queries.COLUMNS))
 
